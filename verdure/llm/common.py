@@ -67,7 +67,7 @@ class AtomicFile:
         self.system.create_dir(root, recursive=True)
         self.name = f"{stem}-{uuid.uuid4().hex}{suffix}"
         self.path = f"{root}/{self.name}"
-        self.stream = self.system.open_output_stream(self.path + ".part")
+        self.stream = self.system.open_output_stream(self.path + ".part", compression=None)
         self.size = 0
 
     def write(self, data: bytes) -> int:

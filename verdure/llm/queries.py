@@ -3,17 +3,42 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from verdure.llm import near_dup
+from verdure.llm import near_dup, quality, warc
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/pages.parquet")
+
+
+def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    records = warc.archive_round_trip(spark, pages(spark, sf_dir))
+    return records.select(F.col("record_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+OP2_SQL = """
+WITH p AS (SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest FROM pages),
+m AS (SELECT payload_digest, payload_bytes, max(page_id) AS last FROM p WHERE payload_bytes >= 1000 GROUP BY ALL)
+SELECT page_id, payload_bytes, payload_digest,
+       CASE WHEN last > page_id THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN last > page_id THEN last END AS refers_to
+FROM p LEFT JOIN m USING (payload_digest, payload_bytes)
+"""
+
+
 def op4_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.near_duplicates(documents(spark, sf_dir).select("doc_id", "text"), k=2, percent=80)
 
 
-QUERIES = {f.__name__: f for f in (op4_minhash_near_dedup,)}
-SQL: dict[str, str] = {}
+def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    return quality.rules(docs, quality.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
+
+
+QUERIES = {f.__name__: f for f in (op2_warc, op4_minhash_near_dedup, op5_quality_rules)}
+SQL: dict[str, str] = {"op2_warc": OP2_SQL}
