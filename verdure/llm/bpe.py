@@ -24,6 +24,7 @@ from __future__ import annotations
 import hashlib
 import json
 import re
+import struct
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -32,9 +33,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from verdure.llm import common
+from verdure.llm import common, text_units
 
 _UNIT = re.compile("[^ \t-\r]+")
+#: The rule in the tokenizer file that ``text_units.WORDS`` mirrors (fixed value).
+_WORD_RULE = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
 
 class Vocabulary:
@@ -57,9 +60,14 @@ class Vocabulary:
         self.spaces_matter = not any(p.get("type") == "Split" and p["behavior"] == "Removed" for p in (spec["pre_tokenizer"] or {}).get("pretokenizers", []))
         if self.spaces_matter:
             raise ValueError("this vocabulary encodes white space; units are cut for those that drop it")
-        self._stable: dict[str, bool] = {}
-        self._beside: dict[tuple[str, str], bool] = {}
-        self._symbols: dict[str, list[str]] = {}
+        self.known_beside: dict[tuple[str, str], bool] = {}
+        self.byte_name = {b: c for c, b in text_units.byte_names().items()}
+        pre = (spec["pre_tokenizer"] or {}).get("pretokenizers", [{}])
+        kinds = [n["type"] for n in (spec["normalizer"] or {}).get("normalizers", [])]
+        #: the vocabulary whose cutting ``text_units.WORDS`` mirrors
+        self.is_word_kind = kinds == ["NFC", "Replace", "Lowercase"] and pre[0].get("pattern") == {"Regex": _WORD_RULE}
+
+        self.stable = {t for t in self.ids if self.merged(self.symbols(t)) == [t]}  # tokens whose own encoding they are
 
     def symbols(self, token: str) -> list[str]:
         """The starting symbols of a token; only its last may carry the word-end mark."""
@@ -78,108 +86,108 @@ class Vocabulary:
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
         return parts
 
-    def stable(self, token: str) -> bool:
-        if (known := self._stable.get(token)) is None:
-            known = self._stable[token] = token in self.ids and self.merged(self.symbols(token)) == [token]
-        return known
-
     def beside(self, left: str, right: str) -> bool:
-        if (known := self._beside.get((left, right))) is None:
-            if len(self._beside) > 1_000_000:
-                self._beside.clear()
-            known = self._beside[left, right] = self.merged(self.symbols(left) + self.symbols(right)) == [left, right]
-        return known
+        """Whether merging the joined symbols of two tokens gives these two again; remembered."""
+        if len(self.known_beside) > 1_000_000:
+            self.known_beside.clear()
+        out = self.known_beside[left, right] = self.merged(self.symbols(left) + self.symbols(right)) == [left, right]
+        return out
 
 
 class TrieEncoder:
-    """Encodes sets of words; remembers the ids of the units of text it has met."""
+    """Encodes sets of words; remembers the ids of the words and units of text it has met."""
 
-    def __init__(self, path: str, most: int = 150_000):
+    def __init__(self, path: str, most: int = 450_000):
         self.vocabulary = Vocabulary(path)
         self.most = most
         self.longest = max(map(len, self.vocabulary.ids))
+        self.words: dict[str, list[int]] = {}
         self.units: dict[str, tuple[bytes, str]] = {}
         marks = sorted(self.vocabulary.special, key=len, reverse=True)
         self.cut = re.compile("(" + "|".join(map(re.escape, marks)) + ")") if marks else None
 
     def encode_words(self, words: Iterable[str]) -> dict[str, list[int]]:
         """Ids of distinct words by one depth-first walk over their trie."""
-        v, tail = self.vocabulary, self.vocabulary.tail
+        v, longest, tail = self.vocabulary, self.longest, self.vocabulary.tail
+        ids, stable, known, beside = v.ids, v.stable, v.known_beside, v.beside
         root: dict = {}
-        for word in set(words):
+        for word in words:
             node = root
-            for s in (*word[:-1], word[-1] + tail):
-                node = node.setdefault(s, {})
-            node[""] = word  # no symbol is empty
+            for c in word[:-1]:
+                node = node.setdefault(c, {})
+            node[word[-1], tail] = word  # the last symbol carries the word-end mark
         out: dict[str, list[int]] = {}
-        path: list[str] = []
-        last: list[str] = []  # the last token of each prefix on the path
-        todo: list[tuple] = [(root, iter(list(root)))]
+        prefix: list[str] = [""]  # by depth: the characters so far
+        last: list[str] = [""]  # and the last token of their encoding
+        back: list[int] = [0]  # and the depth at which that token begins
+        todo: list[tuple] = [(n, 1, s) for s, n in root.items()]
         while todo:
-            node, rest = todo[-1]
-            s = next(rest, None)
-            if s is None:
-                todo.pop()
-                if path:
-                    path.pop()
-                    last.pop()
-                continue
-            if s == "":
-                out[node[s]] = self._trace(path, last)
-                continue
-            path.append(s)
-            last.append(self._last(path, last))
-            todo.append((node[s], iter(list(node[s]))))
+            node, depth, symbol = todo.pop()
+            ends = symbol.__class__ is tuple
+            own = prefix[depth - 1] + (symbol[0] if ends else symbol)
+            del prefix[depth:], last[depth:], back[depth:]
+            for at in range(max(0, depth - longest), depth):
+                token = own[at:] + tail if ends else own[at:]
+                if token in stable:
+                    if not at:
+                        break
+                    side = (last[at], token)
+                    if (fits := known.get(side)) is None:
+                        fits = beside(*side)
+                    if fits:
+                        break
+            else:  # a symbol that the vocabulary lacks
+                at, token = depth - 1, own[-1] + tail if ends else own[-1]
+            prefix.append(own)
+            last.append(token)
+            back.append(at)
+            if ends:
+                found = []
+                while depth:
+                    if (i := ids.get(last[depth])) is not None:  # symbols outside the vocabulary have no id
+                        found.append(i)
+                    depth = back[depth]
+                out[node] = found[::-1]
+            else:
+                todo += [(n, depth + 1, s) for s, n in node.items()]
         return out
 
-    def _last(self, path: list[str], last: list[str]) -> str:
-        v, n = self.vocabulary, len(path)
-        for size in range(min(n, self.longest), 0, -1):
-            token = "".join(path[n - size :])
-            if token in v.ids and v.stable(token) and (size == n or v.beside(last[n - size - 1], token)):
-                return token
-        return path[-1]
-
-    def _trace(self, path: list[str], last: list[str]) -> list[int]:
-        v, found, at = self.vocabulary, [], len(path)
-        while at:
-            token = last[at - 1]
-            if (i := v.ids.get(token)) is not None:  # symbols outside the vocabulary have no id
-                found.append(i)
-            at -= len(v.symbols(token)) if token in v.ids else 1
-        return found[::-1]
-
     def _pieces(self, unit: str) -> list:
         """Words of a unit, and the ids of special tokens, in order."""
-        t, out = self.vocabulary.tokenizer, []
-        for part in self.cut.split(unit) if self.cut else [unit]:
-            if part in self.vocabulary.special:
-                out.append(self.vocabulary.special[part])
+        v, out = self.vocabulary, []
+        for part in self.cut.split(unit) if self.cut and "<" in unit else [unit]:
+            if part in v.special:
+                out.append(v.special[part])
+            elif v.is_word_kind and text_units._PLAIN.fullmatch(part):
+                for w in text_units.WORDS.findall(part.lower()):
+                    out.append(w if w.isascii() and w.isprintable() else "".join(map(v.byte_name.__getitem__, w.encode())))
             elif part:
+                t = v.tokenizer
                 out += [w for w, _ in t.pre_tokenizer.pre_tokenize_str(t.normalizer.normalize_str(part) if t.normalizer else part)]
         return out
 
     def learn(self, units: Iterable[str]) -> None:
-        """Adds units to the memory with one trie for all their words."""
+        """Adds units to the memory with one trie for all their new words."""
         pieces = {u: self._pieces(u) for u in units}
-        ids = self.encode_words({w for p in pieces.values() for w in p if isinstance(w, str)})
-        names = self.vocabulary.names
+        met = {w for p in pieces.values() for w in p if isinstance(w, str)}
+        if len(self.words) + len(met) > self.most:
+            self.words.clear()
+        self.words.update(self.encode_words(met.difference(self.words)))
+        names, ids = self.vocabulary.names, self.words
         for unit, parts in pieces.items():
             own = [i for p in parts for i in (ids[p] if isinstance(p, str) else [p])]
-            self.units[unit] = (np.asarray(own, "<u4").tobytes(), " ".join(names[i] for i in own))
+            self.units[unit] = (struct.pack(f"<{len(own)}I", *own), " ".join(map(names.__getitem__, own)))
 
     def encode(self, texts: list[str]) -> list[tuple[bytes, str]]:
         """For each whole text its ids as little-endian 32-bit integers and its decoded text."""
+        cut = [_UNIT.findall(t) for t in texts]
+        new = {u for own in cut for u in own}
+        if len(self.units) + len(new) > self.most:
+            self.units.clear()
+        self.learn(new.difference(self.units))
         out = []
-        for text in texts:
-            units = _UNIT.findall(text)
-            new = {u for u in units if u not in self.units}
-            if new:
-                if len(self.units) + len(new) > self.most:
-                    self.units.clear()
-                    new = set(units)
-                self.learn(new)
-            found = [self.units[u] for u in units]
+        for own in cut:
+            found = [self.units[u] for u in own]
             ids = b"".join([f[0] for f in found])
             if self.vocabulary.has_decoder:
                 text = self.vocabulary.tokenizer.decode(np.frombuffer(ids, "<u4").tolist(), skip_special_tokens=False)
@@ -189,19 +197,29 @@ class TrieEncoder:
         return out
 
 
+_encoders: dict[str, TrieEncoder] = {}
+
+
+def trie_encoder(path: str) -> TrieEncoder:
+    """One encoder a process and vocabulary."""
+    if path not in _encoders:
+        _encoders[path] = TrieEncoder(path)
+    return _encoders[path]
+
+
 def encoded(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", digests: bool = False) -> DataFrame:
     """id_col, n_tokens, ids (array of int) and decoded text; with ``digests`` SHA-256 sums in place of the last two."""
     common.prepare(docs.sparkSession)
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = TrieEncoder(path)
+        encoder = trie_encoder(path)
         schema = pa.schema([("id", pa.int64()), ("n_tokens", pa.int64()), *([("ids_sha256", pa.string()), ("decoded_sha256", pa.string())] if digests else [("ids", pa.list_(pa.int32())), ("decoded", pa.string())])])
 
         def rows():
             for part in parts:
                 keys, texts = part.column(0).to_pylist(), part.column(1).to_pylist()
-                for at in range(0, len(texts), 256):
-                    for i, (ids, decoded) in zip(keys[at : at + 256], encoder.encode(texts[at : at + 256]), strict=True):
+                for at in range(0, len(texts), 1024):
+                    for i, (ids, decoded) in zip(keys[at : at + 1024], encoder.encode(texts[at : at + 1024]), strict=True):
                         row = {"id": i, "n_tokens": len(ids) // 4}
                         if digests:
                             yield row | {"ids_sha256": hashlib.sha256(ids).hexdigest(), "decoded_sha256": hashlib.sha256(decoded.encode()).hexdigest()}

@@ -119,7 +119,7 @@ def cut(docs: DataFrame, tokenizer: str, end_id: int, keeps_space: bool, capacit
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        encoder = text_units.UnitEncoder(tokenizer, keeps_space)
+        encoder = text_units.encoder(tokenizer, keeps_space)
         number, seen = TaskContext.get().partitionId(), np.zeros(capacity + 1, np.int64)
 
         def rows():

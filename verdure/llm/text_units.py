@@ -1,52 +1,115 @@
-"""Exact encoding with the tokenizers library, once for each distinct unit of text.
+"""Exact and fast encoding with byte-pair vocabularies.
 
-A unit is a run of white space with the run of other characters that
-follows.  No pre-token of the two vocabularies reaches past a unit, so the
-ids of a text are those of its units in order.  Ids are held as bytes of
-little-endian unsigned 32-bit integers.
+``ByteEncoder`` serves byte-level vocabularies that keep white space,
+``WordEncoder`` those that drop it and mark word ends.  Both read the
+tokenizers library's file, apply its merges through tiktoken's engine (merge
+order equals id order in such files, which is checked) and give the ids that
+the library gives; what the fast way does not cover goes to the library.  Ids
+are bytes of little-endian unsigned 32-bit integers.
 """
 
 from __future__ import annotations
 
+import json
 import re
 
 import numpy as np
+import regex
+import tiktoken
 from tokenizers import Tokenizer
 
-#: Unicode's White_Space property (fixed values).
-WHITE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
-_WITH_SPACE = re.compile(f"[{WHITE}]*[^{WHITE}]+|[{WHITE}]+")
-_WITHOUT = re.compile("[^ \t-\r]+")
+#: How byte-level vocabularies without a pattern of their own cut text (fixed value).
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+#: How the word vocabulary cuts lower-case text; its white space is Unicode's (fixed value).
+WORDS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\t-\r \x85\xa0\p{L}\p{N}]+")
+_PLAIN = re.compile("[\0-\x1d\x1f-ɏ]*")  # composed, stable characters; 0x1E marks word ends
+_UNIT = re.compile("[^ \t-\r]+")
+_END = b"\x1e"
 
 
-class UnitEncoder(dict):
-    """Maps units to the bytes of their ids; encodes what it has not seen.
+def byte_names() -> dict[str, int]:
+    """The printable stand-ins of byte-level vocabularies, by rule: other bytes follow from U+0100."""
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in shown]
+    return {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(rest)}
 
-    ``keeps_space`` says whether the vocabulary encodes white space.  At most
-    ``most`` units are remembered, so memory stays bounded.
-    """
 
-    def __init__(self, path: str, keeps_space: bool, most: int = 250_000):
-        super().__init__()
+class _Spec:
+    def __init__(self, path: str):
+        with open(path, encoding="utf-8") as f:
+            self.spec = json.load(f)
+        model, names = self.spec["model"], byte_names()
+        tail = model.get("end_of_word_suffix") or ""
+        self.ranks: dict[bytes, int] = {}
+        for token, i in model["vocab"].items():
+            mark = tail and token.endswith(tail) and len(token) > len(tail)
+            body = token[: -len(tail)] if mark else token
+            self.ranks[bytes(map(names.__getitem__, body)) + (_END if mark else b"")] = i
+        merges = ["".join(m.split(" ") if isinstance(m, str) else m) for m in model["merges"]]
+        order = [model["vocab"][m] for m in merges]
+        if model["type"] != "BPE" or model.get("dropout") or order != sorted(order) or any(p["normalized"] or p["lstrip"] or p["rstrip"] or p["single_word"] for p in self.spec["added_tokens"]):
+            raise ValueError("this vocabulary needs another encoder")
+        self.special = {t["content"]: t["id"] for t in self.spec["added_tokens"]}
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.find = (_WITH_SPACE if keeps_space else _WITHOUT).findall
-        self.most = most
 
-    def __missing__(self, unit: str) -> bytes:
-        ids = self.tokenizer.encode(unit, add_special_tokens=False).ids
-        self[unit] = out = np.asarray(ids, "<u4").tobytes()
-        return out
+
+class ByteEncoder:
+    """Whole texts through the engine, special tokens included."""
+
+    def __init__(self, path: str):
+        own = _Spec(path)
+        if own.spec["normalizer"] or own.spec["pre_tokenizer"] != {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": True}:
+            raise ValueError("this vocabulary needs another encoder")
+        self.engine = tiktoken.Encoding("bytes", pat_str=PATTERN, mergeable_ranks=own.ranks, special_tokens=own.special)
+
+    def encode(self, text: str) -> bytes:
+        return self.engine.encode_to_numpy(text, allowed_special="all").astype("<u4").tobytes()
+
+
+class WordEncoder(dict):
+    """Remembers the ids of units (runs without white space); at most ``most``, so memory stays bounded."""
+
+    def __init__(self, path: str, most: int = 400_000):
+        super().__init__()
+        own = _Spec(path)
+        self.tokenizer, self.most = own.tokenizer, most
+        self.engine = tiktoken.Encoding("words", pat_str=r"[^\x1e]*\x1e", mergeable_ranks=own.ranks, special_tokens={})
+        self.ends = np.zeros(max(own.ranks.values()) + 1, bool)
+        self.ends[[i for t, i in own.ranks.items() if t.endswith(_END)]] = True
+        self.marks = tuple(own.special)
+
+    def _learn(self, units: list[str]) -> None:
+        plain = [u for u in units if _PLAIN.fullmatch(u) and not ("<" in u and any(m in u for m in self.marks))]
+        for u in set(units).difference(plain):
+            self[u] = np.asarray(self.tokenizer.encode(u, add_special_tokens=False).ids, "<u4").tobytes()
+        pieces = [WORDS.findall(u.lower()) for u in plain]
+        joined = "".join(p + "\x1e" for own in pieces for p in own)
+        ids = self.engine.encode_to_numpy(joined).astype("<u4")
+        cuts = np.concatenate(([0], np.flatnonzero(self.ends[ids]) + 1))
+        at = 0
+        for u, own in zip(plain, pieces, strict=True):
+            self[u] = ids[cuts[at] : cuts[at + len(own)]].tobytes()
+            at += len(own)
 
     def encode(self, text: str) -> bytes:
-        units = self.find(text)
+        units = _UNIT.findall(text)
         new = [u for u in dict.fromkeys(units) if u not in self]
-        if len(self) + len(new) > self.most:
-            self.clear()
-            new = list(dict.fromkeys(units))
-        for at in range(0, len(new), 10_000):
-            part = new[at : at + 10_000]
-            for unit, e in zip(part, self.tokenizer.encode_batch(part, add_special_tokens=False), strict=True):
-                self[unit] = np.asarray(e.ids, "<u4").tobytes()
+        if new:
+            if len(self) + len(new) > self.most:
+                self.clear()
+                new = list(dict.fromkeys(units))
+            self._learn(new)
         return b"".join(map(self.__getitem__, units))
+
+
+_encoders: dict[tuple, object] = {}
+
+
+def encoder(path: str, keeps_space: bool):
+    """One encoder a process and vocabulary."""
+    key = (path, keeps_space)
+    if key not in _encoders:
+        _encoders[key] = (ByteEncoder if keeps_space else WordEncoder)(path)
+    return _encoders[key]

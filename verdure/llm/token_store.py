@@ -174,7 +174,7 @@ def _write(folder: str, tokenizer: str, keeps_space: bool, end_id: int, width: i
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        encoder, number = text_units.UnitEncoder(tokenizer, keeps_space), TaskContext.get().partitionId()
+        encoder, number = text_units.encoder(tokenizer, keeps_space), TaskContext.get().partitionId()
         held: list[bytes] = []
         docs: list[tuple[int | None, int]] = []
         done: list[tuple] = []
