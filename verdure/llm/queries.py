@@ -55,10 +55,15 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secrets.scan(documents(spark, sf_dir))
-    count = {f"n_{k}": F.size(F.filter("spans", lambda s, k=k: s.kind == k)).cast("long") for k in ("assign", "access", "hex")}
-    joined = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s.kind, s.start, s.stop)), ",")
+
+    def count(kind: str):
+        return F.size(F.filter("spans", lambda s: s.kind == kind)).cast("long").alias(f"n_{kind}")
+
+    def joined(spans):
+        return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s.kind, s.start.cast("string"), s.stop.cast("string"))), ",")
+
     base = F.sha2(joined(F.filter("spans", lambda s: s.kind != "crf")), 256)
-    return found.select("doc_id", *(c.alias(n) for n, c in count.items()), base.alias("base_sha256"), joined(F.col("spans")).alias("spans"))
+    return found.select("doc_id", *map(count, ("assign", "access", "hex")), base.alias("base_sha256"), joined(F.col("spans")).alias("spans"))
 
 
 def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
