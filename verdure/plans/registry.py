@@ -3,10 +3,578 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from verdure import search
+from verdure.config import DATES, NO_VALUE, QUALITY, STAGES, Phenology, Reflectance
+from verdure.functions import calendar, masks, text
+from verdure.operators import admin, composite, focal, grid, layers, phenology, series, stages, summary
+from verdure.plans import bindings as b
+from verdure.streaming import composites as streaming
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
+LOOSE = Phenology(min_obs=4, peak_search=(2, 27), pre_peak_days=11, post_peak_days=9, min_amplitude=0.05, min_peak=0.2, max_base=0.95, season_length=(1, 28))
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def _rounded(df: DataFrame, *names: str, digits: int = 6) -> DataFrame:
+    return df.select(*(F.round(c, digits).alias(c) if c in names else c for c in df.columns))
+
+
+def _dates_as_text(df: DataFrame) -> DataFrame:
+    return df.select(*(F.col(c).cast("string").alias(c) if kind == "date" else c for c, kind in df.dtypes))
+
+
+def _round_sql(sql: str, names: tuple, keep: str, digits: int = 6) -> str:
+    return f"SELECT {keep}, " + ", ".join(f"round({n}, {digits}) AS {n}" for n in names) + f" FROM ({sql})"
+
+
+# ---- masks and observations ------------------------------------------------
+
+_DN = "greatest((CAST({0} AS DOUBLE) - CASE WHEN ts >= TIMESTAMP '2024-01-15' THEN 10.0 ELSE 0.0 END) / 10000.0, 0.0001)"
+_INDEX = "greatest(-1.0, least(1.0, ({1} - {0}) / ({1} + {0})))"
+
+
+@query(f"SELECT event_id, round(CASE WHEN red > 0 AND nir > 0 AND cls <> 'error' AND list_contains({list(b.REFLECTANCE.clear_classes)}, cls) THEN {_INDEX.format(_DN.format('red'), _DN.format('nir'))} END, 9) AS ndvi FROM ({b.SCENES}) WHERE red > 0")
+def scan_filter_ndvi(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = b.scenes(spark, sf_dir).where("red > 0")
+    ndvi = masks.ndvi_from_classes(F.col("red"), F.col("nir"), F.col("cls"), F.col("ts"), b.REFLECTANCE)
+    return rows.select("event_id", F.round(ndvi, 9).alias("ndvi"))
+
+
+_HLS = "greatest(CAST({0} AS DOUBLE) / 10000.0, 0.0001)"
+
+
+@query(f"SELECT event_id, (qa & 31) = 0 AND ((qa >> 6) & 3) <> 3 AND qa <> 255 AS clear, round(CASE WHEN red <> -9999 AND nir <> -9999 AND (qa & 31) = 0 AND ((qa >> 6) & 3) <> 3 AND qa <> 255 THEN {_INDEX.format(_HLS.format('red'), _HLS.format('nir'))} END, 9) AS ndvi FROM ({b.SCENES})")
+def qa_bitmask(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows, c = b.scenes(spark, sf_dir), Reflectance()
+    return rows.select("event_id", masks.clear_bits(F.col("qa"), c).alias("clear"), F.round(masks.ndvi_from_bits(F.col("red"), F.col("nir"), F.col("qa"), c), 9).alias("ndvi"))
+
+
+@query(f"SELECT pixel_id, min(event_id) AS event_id, CAST(day AS VARCHAR) AS day, arg_min(nir, event_id) AS nir FROM (SELECT *, CAST(ts AS DATE) AS day FROM ({b.SCENES}) WHERE cls <> 'error') GROUP BY pixel_id, day")
+def same_day_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = b.scenes(spark, sf_dir).where("cls <> 'error'").withColumnRenamed("event_id", "scene_id")
+    return composite.fuse(rows, ["nir"]).select("pixel_id", F.col("scene_id").alias("event_id"), F.col("day").cast("string").alias("day"), "nir")
+
+
+@query(f"SELECT pixel_id, k, max(ndvi) AS v FROM ({b.BINNED}) WHERE k BETWEEN 0 AND 29 GROUP BY ALL")
+def composite_max(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return composite.composite(b.observations(spark, sf_dir), b.EVENT_FIRST, 1, b.EVENT_N, "max")
+
+
+@query(f"SELECT pixel_id, k, round(median(ndvi), 9) AS v FROM ({b.BINNED}) WHERE k BETWEEN 0 AND 29 GROUP BY ALL")
+def composite_median(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(composite.composite(b.observations(spark, sf_dir), b.EVENT_FIRST, 1, b.EVENT_N, "median"), "v", digits=9)
+
+
+@query(b.EVENT_SERIES)
+def composite_dense(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return composite.dense(b.observations(spark, sf_dir), b.EVENT_FIRST, 1, b.EVENT_N)
+
+
+_ORDER_SPAN = "SELECT o_custkey, CAST(min(o_orderdate) AS DATE) AS s, CAST(max(o_orderdate) AS DATE) AS e FROM orders GROUP BY o_custkey"
+
+
+def _spans(spark, sf_dir):
+    return b.read(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.to_date(F.min("o_orderdate")).alias("s"), F.to_date(F.max("o_orderdate")).alias("e"))
+
+
+@query(f"SELECT o_custkey, CAST(CAST(unnest(generate_series(s, e, INTERVAL 10 DAY)) AS DATE) AS VARCHAR) AS anchor FROM ({_ORDER_SPAN})")
+def anchors_start(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _spans(spark, sf_dir).select("o_custkey", F.explode(composite.anchors(F.col("s"), F.col("e"), 10)).alias("anchor")).withColumn("anchor", F.col("anchor").cast("string"))
+
+
+@query(f"SELECT o_custkey, CAST(CAST(unnest(generate_series(e - to_days(CAST(floor((e - s) / 10) * 10 AS INT)), e, INTERVAL 10 DAY)) AS DATE) AS VARCHAR) AS anchor FROM ({_ORDER_SPAN})")
+def anchors_end(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _spans(spark, sf_dir).select("o_custkey", F.explode(composite.anchors(F.col("s"), F.col("e"), 10, "end")).alias("anchor")).withColumn("anchor", F.col("anchor").cast("string"))
+
+
+# ---- series ------------------------------------------------------------------
+
+
+def _events(spark, sf_dir):
+    return composite.dense(b.observations(spark, sf_dir), b.EVENT_FIRST, 1, b.EVENT_N)
+
+
+def _series_sql(programme, keep: str, names: tuple) -> str:
+    return _round_sql(layers.render(b.EVENT_SERIES, programme), names, keep)
+
+
+@query(f"SELECT pixel_id, n_obs, first_obs, last_obs, max_gap, last_obs_day FROM ({layers.render(b.EVENT_SERIES, series.observation_layers())}) WHERE k = 0")
+def observation_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return layers.apply(_events(spark, sf_dir), series.observation_layers()).where("k = 0").select("pixel_id", "n_obs", "first_obs", "last_obs", "max_gap", "last_obs_day")
+
+
+@query(_series_sql(series.fill_layers("v", "f"), "pixel_id, k", ("f",)))
+def gap_fill_linear(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(layers.apply(_events(spark, sf_dir), series.fill_layers("v", "f")).select("pixel_id", "k", "f"), "f")
+
+
+_DESPIKE = [*series.fill_layers("v", "f0"), *series.despike_layers("v", "f0", "d", Phenology())]
+
+
+@query(_series_sql(_DESPIKE, "pixel_id, k, v IS NOT NULL AND d IS NULL AS dropped", ("d",)))
+def despike(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = layers.apply(_events(spark, sf_dir), _DESPIKE)
+    return done.select("pixel_id", "k", F.expr("v IS NOT NULL AND d IS NULL").alias("dropped"), F.round("d", 6).alias("d"))
+
+
+@query(_series_sql(series.clean_layers(b.EVENT_N, Phenology()), "pixel_id, k", ("f", "s")))
+def sg_smooth(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(series.smooth_series(_events(spark, sf_dir), b.EVENT_N).select("pixel_id", "k", "f", "s"), "f", "s")
+
+
+_GRADIENTS = [*series.clean_layers(b.EVENT_N, Phenology()), *series.gradient_layers("s", "g", b.EVENT_N, 1), *series.gradient_layers("g", "gg", b.EVENT_N, 1)]
+
+
+@query(_series_sql(_GRADIENTS, "pixel_id, k", ("g", "gg")))
+def gradients(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(layers.apply(_events(spark, sf_dir), _GRADIENTS).select("pixel_id", "k", "g", "gg"), "g", "gg")
+
+
+# ---- cycles ------------------------------------------------------------------
+
+MAX, LAST = Phenology(), Phenology(peak_select="last", peak_search=(30, 240))
+OTHER = Phenology(base_mode="single", tiller_rule="norm", plant_from="raw")
+_NUMBERS = (*DATES, "season_length", "ndvi_min", "ndvi_max", "ndvi15")
+
+
+def _cycles(spark, sf_dir, c=MAX):
+    return phenology.extract(b.pixels(spark, sf_dir), b.N, b.DAYS, b.FIRST_DAY, c)
+
+
+def _cycles_sql(c=MAX):
+    return phenology.extract_sql(b.PIXELS, b.N, b.DAYS, b.FIRST_DAY, c)
+
+
+def _cycle_query(name: str, c: Phenology) -> None:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return _rounded(_cycles(spark, sf_dir, c), *_NUMBERS, digits=4)
+
+    run.__name__ = name
+    query(_round_sql(_cycles_sql(c), _NUMBERS, "pixel_id, n_obs, max_gap_days, last_obs, qc", 4))(run)
+
+
+_cycle_query("phenology_dates", MAX)
+_cycle_query("phenology_last_cycle", LAST)
+_cycle_query("phenology_variants", OTHER)
+
+
+@query(_round_sql(phenology.extract_sql(b.EVENT_SERIES, b.EVENT_N, 1, 19723, LOOSE), _NUMBERS, "pixel_id, n_obs, max_gap_days, last_obs, qc", 4))
+def phenology_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(phenology.extract(_events(spark, sf_dir), b.EVENT_N, 1, 19723, LOOSE), *_NUMBERS, digits=4)
+
+
+def _peak(c):
+    return f"SELECT pixel_id, ip, s_top IS NOT NULL AS in_range FROM ({layers.render(b.PIXELS, phenology.cycle_layers(b.N, b.DAYS, b.FIRST_DAY, c))}) WHERE k = 0"
+
+
+@query(_peak(MAX))
+def peak_max(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return layers.apply(b.pixels(spark, sf_dir), phenology.cycle_layers(b.N, b.DAYS, b.FIRST_DAY, MAX)).where("k = 0").selectExpr("pixel_id", "ip", "s_top IS NOT NULL AS in_range")
+
+
+@query(_peak(LAST))
+def last_cycle_peak(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return layers.apply(b.pixels(spark, sf_dir), phenology.cycle_layers(b.N, b.DAYS, b.FIRST_DAY, LAST)).where("k = 0").selectExpr("pixel_id", "ip", "s_top IS NOT NULL AS in_range")
+
+
+@query(f"SELECT qc, count(*) AS pixels FROM ({_cycles_sql()}) GROUP BY qc")
+def qc_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return summary.quality_histogram(_cycles(spark, sf_dir))
+
+
+@query("SELECT c.qc, q.name, c.pixels FROM (SELECT qc, count(*) AS pixels FROM (" + _cycles_sql() + ") GROUP BY qc) c JOIN (VALUES " + ", ".join(f"({c}, '{n}')" for c, n in QUALITY.items()) + ") q(qc, name) USING (qc)")
+def quick_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    names = F.create_map(*(x for c, n in QUALITY.items() for x in (F.lit(c), F.lit(n))))
+    return summary.quality_histogram(_cycles(spark, sf_dir)).select("qc", F.try_element_at(names, F.col("qc")).alias("name"), "pixels")
+
+
+# ---- stages ------------------------------------------------------------------
+
+
+def _stage_sql(day: str) -> str:
+    return f"CAST(CASE WHEN qc IS NULL THEN -1 WHEN qc >= 10 THEN 0 WHEN harvest <= {day} THEN 5 WHEN peak <= {day} THEN 4 WHEN panicle_init <= {day} THEN 3 WHEN emergence <= {day} THEN 2 ELSE 1 END AS SMALLINT)"
+
+
+def _dominant_sql(a: str, z: str) -> str:
+    far, s = "CAST('Infinity' AS DOUBLE)", {1: "CAST('-Infinity' AS DOUBLE)"}
+    s |= {c: f"coalesce(CAST({n} AS DOUBLE), CAST('Infinity' AS DOUBLE))" for c, n in ((2, "emergence"), (3, "panicle_init"), (4, "peak"), (5, "harvest"))}
+    days = {c: f"greatest(least({', '.join([s[x] for x in s if x > c] + [far, z])}) - greatest({s[c]}, {a}), 0.0)" for c in s}
+    top = f"greatest({', '.join(days.values())})"
+    return f"CAST(CASE WHEN qc IS NULL THEN -1 WHEN qc >= 10 THEN 0 {' '.join(f'WHEN {days[c]} = {top} THEN {c}' for c in (5, 4, 3, 2, 1))} END AS SMALLINT)"
+
+
+@query(f"SELECT pixel_id, {_stage_sql('20544')} AS growth_stage FROM ({_cycles_sql()})")
+def stage_as_of(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _cycles(spark, sf_dir).select("pixel_id", stages.stage_at(F.unix_date(F.lit("2026-04-01").cast("date"))).alias("growth_stage"))
+
+
+_MONTHS = [("202512", "2025-12-01", "2026-01-01", 20423, 20454), ("202602", "2026-02-01", "2026-03-01", 20485, 20513), ("202605", "2026-05-01", "2026-06-01", 20574, 20605)]
+_PERIODS = "(VALUES " + ", ".join(f"('{l}', {a}.0, {z}.0)" for l, _, _, a, z in _MONTHS) + ") p(label, a, z)"
+
+
+def _periods(spark):
+    return spark.createDataFrame([(l, s, e) for l, s, e, _, _ in _MONTHS], "label string, s string, e string").select("label", F.to_date("s").alias("p_start"), F.to_date("e").alias("p_end"))
+
+
+@query(f"SELECT pixel_id, label, {_dominant_sql('a', 'z')} AS growth_stage FROM ({_cycles_sql()}) CROSS JOIN {_PERIODS}")
+def stage_period_dominant(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stages.stage_maps(_cycles(spark, sf_dir), _periods(spark))
+
+
+@query(f"SELECT pixel_id, label, {_stage_sql('(a + (z - a) / 2)')} AS growth_stage FROM ({_cycles_sql()}) CROSS JOIN {_PERIODS}")
+def stage_period_midpoint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stages.stage_maps(_cycles(spark, sf_dir), _periods(spark), "midpoint")
+
+
+@query(f"SELECT pixel_id, {_stage_sql('20499')} AS midmonth, {_dominant_sql('20485.0', '20513.0')} AS dominant FROM ({_cycles_sql()})")
+def stage_month(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _cycles(spark, sf_dir).select("pixel_id", stages.stage_in_month("2026-02", "midmonth").alias("midmonth"), stages.stage_in_month("2026-02").alias("dominant"))
+
+
+@query(f"SELECT pixel_id, {_stage_sql('20544')} AS growth_stage, 20544 - last_obs AS data_age_days, qc FROM ({_cycles_sql(LAST)})")
+def recent_stage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stages.recent(_cycles(spark, sf_dir, LAST), "2026-04-01")
+
+
+_FIRST_2026 = 20454
+
+
+def _pack(e: str) -> str:
+    return f"CAST(coalesce(least(greatest(round_even({e}, 0), -32767), 32767), {NO_VALUE}) AS SMALLINT)"
+
+
+_CODED = {n: _pack(f"{n} - {_FIRST_2026} + 1" if n in (*DATES, "last_obs") else f"{n} * 10000" if n.startswith("ndvi") else f"CAST({n} AS DOUBLE)") for n in phenology.OUTPUT[1:]}
+_ENCODED = "SELECT pixel_id, " + ", ".join(f"{e} AS {n}" for n, e in _CODED.items()) + f" FROM ({_cycles_sql()})"
+
+
+@query(_ENCODED)
+def encode_qa(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stages.encoded(_cycles(spark, sf_dir), 2026)
+
+
+_DECODED = ", ".join(f"CASE WHEN {n} <> {NO_VALUE} THEN {n} + {_FIRST_2026 - 1} END AS {n}" for n in DATES)
+
+
+@query(f"SELECT pixel_id, {_stage_sql('20544')} AS growth_stage FROM (SELECT pixel_id, qc, {_DECODED} FROM ({_ENCODED}))")
+def stage_from_stored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = stages.decoded(stages.encoded(_cycles(spark, sf_dir), 2026), 2026)
+    return rows.select("pixel_id", stages.stage_at(F.unix_date(F.lit("2026-04-01").cast("date"))).alias("growth_stage"))
+
+
+# ---- areas -------------------------------------------------------------------
+
+_HA = "pow(0.01 * 111320, 2) * cos(radians(15 - CAST(floor(pixel_id / 40) AS INT) * 0.01)) / 10000"
+
+
+def _stage_cells(spark, sf_dir):
+    cells = _cycles(spark, sf_dir).select("pixel_id", stages.stage_at(F.lit(20544)).alias("growth_stage"))
+    return b.grid(cells).withColumn("ha", grid.cell_area_ha(15 - F.col("row") * b.RES, b.RES))
+
+
+_STAGE_CELLS = f"SELECT pixel_id, {_stage_sql('20544')} AS growth_stage, {b.GRID}, {_HA} AS ha FROM ({_cycles_sql()})"
+_NAMES = "(VALUES " + ", ".join(f"({c}, '{n}')" for c, n in STAGES.items()) + ") n(growth_stage, name)"
+
+
+@query(f"SELECT c.growth_stage, n.name, c.pixels, round_even(ha, 1) AS hectares, CASE WHEN sum(ha) OVER () > 0 THEN round_even(100 * ha / sum(ha) OVER (), 1) ELSE 0.0 END AS share_pct FROM (SELECT growth_stage, count(*) AS pixels, sum(ha) AS ha FROM ({_STAGE_CELLS}) WHERE growth_stage >= 0 GROUP BY ALL) c JOIN {_NAMES} USING (growth_stage)")
+def area_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return summary.shares(summary.counts(_stage_cells(spark, sf_dir), []), [])
+
+
+_UNIT_CELLS = f"SELECT s.growth_stage, s.ha, n_name AS unit, r_name AS region FROM ({_STAGE_CELLS}) s JOIN customer ON c_custkey = pixel_id JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey"
+
+
+def _unit_cells(spark, sf_dir):
+    owner = b.read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("pixel_id"), F.col("c_nationkey").alias("n_nationkey"))
+    names = b.units(spark, sf_dir).select("n_nationkey", F.col("name").alias("unit"), "region")
+    return _stage_cells(spark, sf_dir).join(owner, "pixel_id").join(names, "n_nationkey")
+
+
+@query(f"SELECT region, unit, growth_stage, count(*) AS pixels, round(sum(ha), 3) AS hectares FROM ({_UNIT_CELLS}) WHERE growth_stage >= 0 GROUP BY ROLLUP (region, unit, growth_stage)")
+def area_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(summary.rollup(_unit_cells(spark, sf_dir), ["region", "unit", "growth_stage"]), "hectares", digits=3)
+
+
+@query(f"SELECT unit, growth_stage, count(*) AS pixels, round(sum(ha), 3) AS hectares FROM ({_UNIT_CELLS}) WHERE growth_stage >= 0 GROUP BY ALL")
+def unit_areas(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(summary.counts(_unit_cells(spark, sf_dir), ["unit"]).select("unit", "growth_stage", "pixels", "hectares"), "hectares", digits=3)
+
+
+# ---- neighbourhoods and grids ------------------------------------------------
+
+_LAST_CELLS = f"SELECT {b.GRID}, max(CASE WHEN k = 12 THEN v END) AS v FROM ({b.PIXELS}) GROUP BY pixel_id"
+_NEAR = "abs(a.row - b.row) <= 1 AND abs(a.col - b.col) <= 1"
+
+
+def _cells(spark, sf_dir):
+    return b.grid(b.pixels(spark, sf_dir).where("k = 12")).select("row", "col", "v")
+
+
+@query(f"WITH c AS ({_LAST_CELLS}) SELECT a.row, a.col, round(CASE WHEN a.v IS NOT NULL THEN median(b.v) END, 7) AS v FROM c a JOIN c b ON {_NEAR} GROUP BY a.row, a.col, a.v")
+def focal_median(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(focal.median(_cells(spark, sf_dir), ["v"]), "v", digits=7)
+
+
+@query(f"WITH c AS (SELECT row, col, growth_stage AS g FROM ({_STAGE_CELLS})), m AS (SELECT a.row, a.col, a.g AS own, b.g, count(*) AS n FROM c a JOIN c b ON {_NEAR} WHERE b.g <> -1 GROUP BY ALL), t AS (SELECT row, col, own, g, row_number() OVER (PARTITION BY row, col ORDER BY n DESC, g) AS r FROM m) SELECT row, col, g AS growth_stage FROM t WHERE r = 1")
+def majority_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = focal.majority(_stage_cells(spark, sf_dir).select("row", "col", "growth_stage"), "growth_stage")
+    return out.select("row", "col", F.col("growth_stage").cast("smallint").alias("growth_stage"))
+
+
+_SMOOTH = f"WITH c AS (SELECT {b.GRID}, emergence, harvest FROM ({_cycles_sql()})), s AS (SELECT a.row, a.col, CASE WHEN a.emergence IS NOT NULL THEN median(b.emergence) END AS emergence, CASE WHEN a.harvest IS NOT NULL THEN median(b.harvest) END AS harvest FROM c a JOIN c b ON {_NEAR} GROUP BY a.row, a.col, a.emergence, a.harvest)"
+
+
+@query(f"{_SMOOTH} SELECT row, col, round(emergence, 4) AS emergence, round(harvest, 4) AS harvest, round(harvest - emergence, 4) AS season_length FROM s")
+def smooth_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cells = b.grid(_cycles(spark, sf_dir)).select("row", "col", "emergence", "harvest")
+    return _rounded(focal.smooth_dates(cells, ["emergence", "harvest"]), "emergence", "harvest", "season_length", digits=4)
+
+
+@query(f"WITH c AS ({_LAST_CELLS}) SELECT CAST(floor(row / 3) AS INT) AS row, CAST(floor(col / 3) AS INT) AS col, round(avg(v), 6) AS v FROM c GROUP BY ALL")
+def resample_average(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(grid.coarser(_cells(spark, sf_dir), 3, "v"), "v")
+
+
+@query(f"WITH c AS (SELECT CAST(floor(row / 3) AS INT) AS row, CAST(floor(col / 3) AS INT) AS col, growth_stage AS g, count(*) AS n FROM ({_STAGE_CELLS}) GROUP BY ALL) SELECT row, col, g AS growth_stage FROM c QUALIFY row_number() OVER (PARTITION BY row, col ORDER BY n DESC, g) = 1")
+def resample_mode(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return grid.coarser(_stage_cells(spark, sf_dir), 3, "growth_stage", "mode")
+
+
+_XY = "p_partkey * 37 % 1000 / 100.0 AS x, p_partkey * 53 % 1000 / 100.0 AS y"
+
+
+def _points(spark, sf_dir):
+    return b.read(spark, sf_dir, "part").select("p_partkey", (F.col("p_partkey") * 37 % 1000 / 100.0).alias("x"), (F.col("p_partkey") * 53 % 1000 / 100.0).alias("y"))
+
+
+@query(f"SELECT p_partkey, CAST(floor(x / 0.25) AS INT) AS col, CAST(floor(-y / 0.25) AS INT) AS row FROM (SELECT p_partkey, {_XY} FROM part)")
+def grid_snap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    col, row = grid.cell(F.col("x"), F.col("y"), 0.25)
+    return _points(spark, sf_dir).select("p_partkey", col.alias("col"), row.alias("row"))
+
+
+_TILES = "SELECT w, s, w + 0.5 AS e, s + 0.5 AS n FROM (SELECT range * 0.5 AS w FROM range(20)) CROSS JOIN (SELECT range * 0.5 AS s FROM range(20))"
+
+
+@query(f"SELECT w, s, count(*) AS points FROM (SELECT {_XY} FROM part) JOIN ({_TILES}) ON x >= w AND x < e AND y >= s AND y < n GROUP BY w, s")
+def tile_assign(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each point in one half-open tile, by arithmetic instead of a range join."""
+    rows = _points(spark, sf_dir).select((F.floor(F.col("x") / 0.5) * 0.5).alias("w"), (F.floor(F.col("y") / 0.5) * 0.5).alias("s"))
+    return rows.groupBy(F.col("w").cast("double").alias("w"), F.col("s").cast("double").alias("s")).agg(F.count("*").alias("points"))
+
+
+_BOXES = "l_w < r_e AND l_e > r_w AND l_s < r_n AND l_n > r_s"
+
+
+@query(f"SELECT l_id, r_id FROM ({b.boxes_sql('part', 'p_partkey', 'l_', 0.3)}) JOIN ({b.boxes_sql('supplier', 's_suppkey', 'r_', 0.7)}) ON {_BOXES}")
+def bbox_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return grid.join_boxes(b.boxes(spark, sf_dir, "part", "p_partkey", "l_", 0.3), b.boxes(spark, sf_dir, "supplier", "s_suppkey", "r_", 0.7), 1.0).select("l_id", "r_id")
+
+
+@query(f"SELECT l_id FROM ({b.boxes_sql('part', 'p_partkey', 'l_', 0.3)}) SEMI JOIN ({b.boxes_sql('supplier', 's_suppkey', 'r_', 0.7)}) ON {_BOXES}")
+def tile_semi_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return grid.join_boxes(b.boxes(spark, sf_dir, "part", "p_partkey", "l_", 0.3), b.boxes(spark, sf_dir, "supplier", "s_suppkey", "r_", 0.7), 1.0, "semi").select("l_id")
+
+
+_MASK = "SELECT CAST(s_suppkey % 40 AS INT) AS col, CAST(floor(s_suppkey / 40) AS INT) AS row FROM supplier WHERE s_nationkey % 2 = 0"
+
+
+@query(f"SELECT c.row, c.col, CASE WHEN m.row IS NOT NULL THEN round(v, 6) END AS v FROM ({_LAST_CELLS}) c LEFT JOIN ({_MASK}) m ON m.row = c.row AND m.col = c.col")
+def mask_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cells outside the cropland mask become null; the mask's side is left to the optimizer's size check."""
+    mask = b.read(spark, sf_dir, "supplier").where("s_nationkey % 2 = 0").select((F.col("s_suppkey") % 40).cast("int").alias("col"), F.floor(F.col("s_suppkey") / 40).cast("int").alias("row"), F.lit(True).alias("crop"))
+    return _cells(spark, sf_dir).join(mask, ["row", "col"], "left").select("row", "col", F.when(F.col("crop"), F.round("v", 6)).alias("v"))
+
+
+@query(f"SELECT min(row) AS row0, max(row) AS row1, min(col) AS col0, max(col) AS col1 FROM ({_MASK})")
+def mask_extent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mask = b.read(spark, sf_dir, "supplier").where("s_nationkey % 2 = 0").select((F.col("s_suppkey") % 40).cast("int").alias("col"), F.floor(F.col("s_suppkey") / 40).cast("int").alias("row"))
+    return mask.agg(F.min("row").alias("row0"), F.max("row").alias("row1"), F.min("col").alias("col0"), F.max("col").alias("col1"))
+
+
+@query(f"WITH r AS (SELECT CAST(floor(s_suppkey * 37 % 1000 / 100.0 / 0.5 + 0.5) AS BIGINT) AS i, CAST(floor(s_suppkey * 53 % 1000 / 100.0 / 0.5 + 0.5) AS BIGINT) AS j, max(s_acctbal) AS s_acctbal FROM supplier GROUP BY ALL) SELECT p_partkey, s_acctbal FROM (SELECT p_partkey, {_XY} FROM part) LEFT JOIN r ON i = CAST(floor(x / 0.5 + 0.5) AS BIGINT) AND j = CAST(floor(y / 0.5 + 0.5) AS BIGINT)")
+def nearest_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    right = b.read(spark, sf_dir, "supplier").select((F.col("s_suppkey") * 37 % 1000 / 100.0).alias("x"), (F.col("s_suppkey") * 53 % 1000 / 100.0).alias("y"), "s_acctbal")
+    return grid.nearest(_points(spark, sf_dir), right, "x", "y", "s_acctbal", 0.5).select("p_partkey", "s_acctbal")
+
+
+_RING = [(0.05, -0.25), (0.33, -0.25), (0.33, -0.02), (0.05, -0.02)]
+
+
+@query("SELECT row, col FROM (SELECT CAST(floor(c_custkey / 40) AS INT) AS row, CAST(c_custkey % 40 AS INT) AS col FROM customer) WHERE col * 0.01 < 0.33 AND col * 0.01 + 0.01 > 0.05 AND -row * 0.01 > -0.25 AND -row * 0.01 - 0.01 < -0.02")
+def clip_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return grid.clip(_cells(spark, sf_dir).select("row", "col"), [_RING], b.RES).select("row", "col")
+
+
+_INPUTS = f"SELECT CAST(floor(pixel_id / 40) AS INT) + 3 * i AS row, CAST(pixel_id % 40 AS INT) AS col, i AS input_order, CASE WHEN (pixel_id + i) % 3 = 0 THEN CAST(-1 AS SMALLINT) ELSE growth_stage END AS growth_stage FROM ({_STAGE_CELLS}) CROSS JOIN (SELECT CAST(range AS INT) AS i FROM range(3))"
+
+
+@query(f"SELECT row, col, arg_min(growth_stage, input_order) AS growth_stage FROM ({_INPUTS}) WHERE growth_stage <> -1 GROUP BY row, col")
+def mosaic_first_valid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cells = _stage_cells(spark, sf_dir).withColumn("input_order", F.explode(F.array(F.lit(0), F.lit(1), F.lit(2))))
+    own = F.when((F.col("pixel_id") + F.col("input_order")) % 3 == 0, F.lit(-1).cast("smallint")).otherwise(F.col("growth_stage"))
+    cells = cells.select((F.col("row") + 3 * F.col("input_order")).alias("row"), "col", "input_order", own.alias("growth_stage"))
+    return focal.first_valid(cells, "input_order", ["growth_stage"], -1)
+
+
+# ---- units, seasons and plans ------------------------------------------------
+
+
+@query("SELECT n_name AS name, r_name AS region FROM nation JOIN region ON n_regionkey = r_regionkey WHERE upper(trim(r_name)) IN (SELECT upper(trim(r_name)) FROM region WHERE r_regionkey IN (1, 3)) AND NOT regexp_matches(upper(trim(n_name)), 'NATION_1')")
+def unit_select(spark: SparkSession, sf_dir: str) -> DataFrame:
+    wanted = [r[0] for r in b.read(spark, sf_dir, "region").where("r_regionkey IN (1, 3)").select("r_name").collect()]
+    return admin.select_units(b.units(spark, sf_dir), "regional", wanted, ["nation_1"]).select("name", "region")
+
+
+@query("SELECT DISTINCT n_name AS name FROM nation WHERE upper(n_name) LIKE '%2%'")
+def list_areas(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return admin.list_areas(b.units(spark, sf_dir), contains="2")
+
+
+@query(f"SELECT n_nationkey, {b.MONTH.replace('raw', 'planting_month_raw')} AS month FROM ({b.UNITS})")
+def parse_month(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return b.units(spark, sf_dir).select("n_nationkey", calendar.parse_month(F.col("planting_month_raw")).alias("month"))
+
+
+_MUN = f"SELECT name, {b.MONTH.replace('raw', 'planting_month_raw')} AS month FROM ({b.MUNICIPAL})"
+_KEPT = f"SELECT name, month, n, n >= greatest(1, 0.1 * sum(n) OVER (PARTITION BY name)) AS keep FROM (SELECT name, month, count(*) AS n FROM ({_MUN}) WHERE month IS NOT NULL GROUP BY ALL)"
+
+
+@query(f"SELECT name, coalesce(string_agg(month, ',' ORDER BY month) FILTER (keep), '6') AS months, coalesce(string_agg(month, ',' ORDER BY month) FILTER (NOT keep), '') AS rare, string_agg(concat(month, ':', n), ',' ORDER BY month) AS counts FROM ({_KEPT}) GROUP BY name")
+def planting_months(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = admin.planting(b.municipal(spark, sf_dir), 6, "wet")
+    joined = lambda c: F.concat_ws(",", F.transform(c, lambda x: x.cast("string")))
+    pairs = F.concat_ws(",", F.transform(F.map_entries("counts"), lambda e: F.concat_ws(":", e.key.cast("string"), e.value.cast("string"))))
+    return found.select("name", joined("months").alias("months"), joined("rare").alias("rare"), pairs.alias("counts"))
+
+
+_WIN = "SELECT name, CAST(make_date(2026, CAST(month AS BIGINT), 1) - INTERVAL 1 MONTH AS DATE) AS s, last_day(CAST(make_date(2026, CAST(month AS BIGINT), 1) + INTERVAL 6 MONTH AS DATE)) AS e, month FROM ({0})"
+_WINDOWS = f"SELECT name, min(s) AS season_start, max(e) AS season_end, arg_min(month, s) AS plant_month FROM ({_WIN.format(f'SELECT name, month FROM ({_KEPT}) WHERE keep')}) GROUP BY name"
+
+
+def _windows(spark, sf_dir):
+    return admin.season_windows(admin.planting(b.municipal(spark, sf_dir), 6, "wet"), 2026, "wet")
+
+
+@query(f"SELECT name, CAST(season_start AS DATE)::VARCHAR AS season_start, CAST(season_end AS DATE)::VARCHAR AS season_end, plant_month FROM ({_WINDOWS})")
+def season_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _dates_as_text(_windows(spark, sf_dir))
+
+
+@query("SELECT o_orderkey, strftime(o_orderdate, '%Y%m') || CASE WHEN day(o_orderdate) > 15 THEN 'H2' ELSE 'H1' END AS label, CAST(CASE WHEN day(o_orderdate) > 15 THEN date_trunc('month', o_orderdate) + INTERVAL 15 DAY ELSE date_trunc('month', o_orderdate) END AS DATE)::VARCHAR AS p_start, CAST(date_trunc('month', CAST(date_trunc('month', o_orderdate) AS DATE) - 1) AS DATE)::VARCHAR AS last_month, CAST(year(o_orderdate) + CASE WHEN month(o_orderdate) >= 7 THEN 1 ELSE 0 END AS INT) AS dry_year FROM orders")
+def period_of(spark: SparkSession, sf_dir: str) -> DataFrame:
+    day = F.to_date("o_orderdate")
+    start = calendar.period_start(day, "semimonthly")
+    return _dates_as_text(b.read(spark, sf_dir, "orders").select("o_orderkey", calendar.period_label(start, "semimonthly").alias("label"), start.alias("p_start"), calendar.last_complete(day).alias("last_month"), calendar.default_season_year(day, "dry").alias("dry_year")))
+
+
+@query(f"SELECT o_custkey, strftime(m, '%Y%m') AS label FROM (SELECT o_custkey, unnest(generate_series(date_trunc('month', s), date_trunc('month', e), INTERVAL 1 MONTH)) AS m FROM ({_ORDER_SPAN}))")
+def periods_between(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _spans(spark, sf_dir).select("o_custkey", F.explode(calendar.periods_between(F.col("s"), F.col("e"))).alias("p"))
+    return rows.select("o_custkey", calendar.period_label(F.col("p")).alias("label"))
+
+
+_PLAN = f"SELECT name, season_start, season_end, plant_month, strftime(p, '%Y%m') AS label, CAST(p AS DATE) AS p_start, CAST(p + INTERVAL 1 MONTH AS DATE) AS p_end FROM (SELECT *, unnest(generate_series(date_trunc('month', season_start), date_trunc('month', season_end), INTERVAL 1 MONTH)) AS p FROM ({_WINDOWS})) WHERE p <= TIMESTAMP '2026-09-10'"
+
+
+def _plan(spark, sf_dir):
+    return admin.unit_periods(_windows(spark, sf_dir), "2026-09-10", "season")
+
+
+@query(f"SELECT name, plant_month, label, " + ", ".join(f"CAST({n} AS DATE)::VARCHAR AS {n}" for n in ("season_start", "season_end", "p_start", "p_end")) + f" FROM ({_PLAN})")
+def plan_periodic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _dates_as_text(_plan(spark, sf_dir).select("name", "season_start", "season_end", "plant_month", "label", "p_start", "p_end"))
+
+
+@query(f"SELECT name, label FROM ({_PLAN}) WHERE NOT EXISTS (SELECT 1 FROM nation WHERE n_name = name AND n_nationkey % 3 = 0 AND label < '202607')")
+def missing_anti_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    saved = b.read(spark, sf_dir, "nation").where("n_nationkey % 3 = 0").select(F.col("n_name").alias("name"))
+    expected = _plan(spark, sf_dir).select("name", "label")
+    return admin.missing(expected, expected.where("label < '202607'").join(saved, "name", "left_semi"))
+
+
+# ---- catalog scans -----------------------------------------------------------
+
+
+@query("SELECT o_orderkey, o_totalprice FROM orders WHERE o_orderstatus = 'F' AND o_orderdate >= TIMESTAMP '1996-01-01' AND o_orderdate < TIMESTAMP '1997-01-01' AND o_totalprice < 200000")
+def catalog_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A catalog search: collection, date range and a limit, all pushed to the scan."""
+    return b.read(spark, sf_dir, "orders").where("o_orderstatus = 'F' AND o_orderdate >= TIMESTAMP_NTZ '1996-01-01' AND o_orderdate < TIMESTAMP_NTZ '1997-01-01' AND o_totalprice < 200000").select("o_orderkey", "o_totalprice")
+
+
+@query("SELECT l_returnflag, count(*) AS items FROM lineitem ANTI JOIN (SELECT o_orderkey FROM orders WHERE o_orderpriority LIKE '1%') ON l_orderkey = o_orderkey GROUP BY l_returnflag")
+def bad_asset_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scenes on a quarantine list are left out by an anti join."""
+    bad = b.read(spark, sf_dir, "orders").where("o_orderpriority LIKE '1%'").select(F.col("o_orderkey").alias("l_orderkey"))
+    return b.read(spark, sf_dir, "lineitem").join(bad, "l_orderkey", "left_anti").groupBy("l_returnflag").agg(F.count("*").alias("items"))
+
+
+@query("SELECT s_nationkey, max(s_suppkey) AS newest, arg_max(s_acctbal, s_suppkey) > 0 AS crop FROM supplier GROUP BY s_nationkey")
+def latest_land_cover(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return b.read(spark, sf_dir, "supplier").groupBy("s_nationkey").agg(F.max("s_suppkey").alias("newest"), (F.max_by("s_acctbal", "s_suppkey") > 0).alias("crop"))
+
+
+# ---- search ------------------------------------------------------------------
+
+_QUERY = "the theand of_the heat ouand heat"
+_TOKENS = "list_filter(list_concat(regexp_extract_all(lower(text), '[a-z0-9_]+'), flatten(list_transform(list_filter(regexp_extract_all(lower(text), '[a-z0-9_]+'), lambda w: contains(w, '_')), lambda w: list_filter(string_split(w, '_'), lambda p: p <> '')))), lambda w: NOT list_contains(" + str(list(text.STOP)) + ", w))"
+
+
+@query(f"SELECT doc_id, len({_TOKENS}) AS n_tokens, len(list_distinct({_TOKENS})) AS n_terms FROM documents")
+def tokenize(spark: SparkSession, sf_dir: str) -> DataFrame:
+    words = text.tokens(F.col("text"))
+    return b.read(spark, sf_dir, "documents").select("doc_id", F.size(words).cast("long").alias("n_tokens"), F.size(F.array_distinct(words)).cast("long").alias("n_terms"))
+
+
+_BM25 = f"""WITH d AS (SELECT doc_id, {_TOKENS} AS words FROM documents), q(term, qn) AS (VALUES ('theand', 1), ('of_the', 1), ('heat', 2), ('ouand', 1)),
+s AS (SELECT count(*) AS n, avg(len(words)) AS mean FROM d),
+t AS (SELECT doc_id, len(words) AS len, term, qn, len(list_filter(words, lambda w: w = term)) AS tf FROM d CROSS JOIN q),
+f AS (SELECT term, count(*) FILTER (tf > 0) AS df FROM t GROUP BY term)
+SELECT doc_id, round(sum(qn * ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * len / mean))), 6) AS score FROM t JOIN f USING (term) CROSS JOIN s WHERE tf > 0 GROUP BY doc_id ORDER BY sum(qn * ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * len / mean))) DESC, doc_id DESC LIMIT 10"""
+
+
+@query(_BM25)
+def bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = search.search(b.read(spark, sf_dir, "documents"), _QUERY, 10, "doc_id", "text")
+    return found.select(F.col("id").alias("doc_id"), F.round("score", 6).alias("score"))
+
+
+@query(f"SELECT term, count(*) AS df, sum(tf) AS total FROM (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest({_TOKENS}) AS term FROM documents) GROUP BY ALL) GROUP BY term")
+def term_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search.terms(b.read(spark, sf_dir, "documents"), "doc_id", "text").groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("total"))
+
+
+# ---- streaming and runs ------------------------------------------------------
+
+
+@query(f"SELECT pixel_id, k, max(ndvi) AS v FROM ({b.BINNED}) WHERE k BETWEEN 0 AND 29 GROUP BY ALL")
+def streaming_composite(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The table read as a stream; the result equals the batch composites."""
+    events = b.read(spark, sf_dir, "events")
+    rows = spark.readStream.schema(events.schema).option("pathGlobFilter", "events.parquet*").parquet(f"{sf_dir}")
+    k = F.when(F.col("event_type") != "error", F.col("value") / 500)
+    obs = rows.select(F.col("user_id").alias("pixel_id"), "ts", k.alias("ndvi"))
+    return streaming.run_once(streaming.composites(obs, b.EVENT_FIRST, 24, b.EVENT_N), "verdure_stream_composite")
+
+
+@query()
+def run_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Outcome of a whole periodic run over the analytic pixels, one row a unit."""
+    from verdure.plans import runner
+
+    return runner.dry_log(spark, sf_dir)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/events.parquet").limit(1)
+    return phenology_events(spark, sf_dir)
