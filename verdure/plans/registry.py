@@ -568,7 +568,12 @@ def streaming_composite(spark: SparkSession, sf_dir: str) -> DataFrame:
     return streaming.run_once(streaming.composites(obs, b.EVENT_FIRST, 24, b.EVENT_N), "verdure_stream_composite")
 
 
-@query()
+_UNIT_MONTH = f"SELECT n_nationkey, name, coalesce({b.MONTH.replace('raw', 'planting_month_raw')}, 6) AS month FROM ({b.UNITS})"
+_UNIT_SPAN = "SELECT n_nationkey, name, make_date(2026, CAST(month AS BIGINT), 1) - INTERVAL 1 MONTH AS s, make_date(2026, CAST(month AS BIGINT), 1) + INTERVAL 6 MONTH AS e FROM (" + _UNIT_MONTH + ")"
+
+
+@query(f"""WITH p AS (SELECT n_nationkey, name, len(list_filter(generate_series(s, e, INTERVAL 1 MONTH), lambda x: x <= TIMESTAMP '2026-09-10')) AS periods FROM ({_UNIT_SPAN}))
+SELECT name, periods, CASE WHEN periods = 0 THEN 'out_of_season' WHEN NOT EXISTS (SELECT 1 FROM customer WHERE c_nationkey = n_nationkey) THEN 'no_coverage' ELSE 'success' END AS status FROM p""")
 def run_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Outcome of a whole periodic run over the analytic pixels, one row a unit."""
     from verdure.plans import runner

@@ -1,0 +1,209 @@
+"""Periodic and recent runs, their plans, outputs, mosaics and logs.
+
+All units and periods of a run are one DataFrame plan: cycles once, stages for
+every period by the small calendar, one partitioned write, one aggregation of
+areas.  Finished (unit, period) pairs are left out by an anti join.
+"""
+
+from __future__ import annotations
+
+import datetime as dt
+from collections.abc import Callable
+from dataclasses import replace
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from verdure.config import QUALITY, Phenology, Settings
+from verdure.functions.text import file_name
+from verdure.operators import admin, composite, focal, grid, phenology, stages, summary
+
+
+def _day(s: str | None) -> str:
+    return str(dt.date.fromisoformat(s)) if s else str(dt.datetime.now(dt.UTC).date())
+
+
+class Runner:
+    """Holds settings, unit tables and a folder of outputs.
+
+    ``units``: (name, region, planting_month_raw), one row a unit or several.
+    ``obs``: (row, col, unit, ts, ndvi) observations on cropland.
+    """
+
+    def __init__(self, spark: SparkSession, settings: Settings, units: DataFrame, obs: DataFrame, log: Callable[[str], None] = print):
+        self.spark, self.settings, self.units, self.obs, self.log = spark, settings, units, obs, log
+        self.last: dict | None = None
+
+    # settings and areas
+    def update(self, **changes) -> Settings:
+        """All changes or, if one is not allowed, none."""
+        self.settings = self.settings.updated(**changes)
+        return self.settings
+
+    def select(self, level: str | None = None, names: list[str] = ()) -> DataFrame:
+        c = self.settings
+        return admin.select_units(self.units, level or c.level, list(names), list(c.exclude))
+
+    def areas(self, kind: str = "name", region: str | None = None, contains: str | None = None) -> DataFrame:
+        return admin.list_areas(self.units, kind, region, contains)
+
+    def plan(self, level: str | None = None, names: list[str] = (), as_of: str | None = None) -> DataFrame:
+        """Units and periods that a run would make; touches no observation."""
+        c, day = self.settings, _day(as_of)
+        year = c.season_year or int(day[:4]) + int(c.season == "dry" and int(day[5:7]) >= 7)
+        windows = admin.season_windows(admin.planting(self.select(level, names), c.fallback, c.season), year, c.season)
+        return admin.unit_periods(windows, day, c.which, c.period)
+
+    def plan_totals(self, plan: DataFrame) -> dict:
+        row = plan.agg(F.count_distinct("name").alias("units"), F.count("*").alias("periods"), F.min("season_start").alias("first"), F.max("season_end").alias("last")).head()
+        return {k: str(v) if isinstance(v, dt.date) else v for k, v in row.asDict().items()}
+
+    # the pipeline
+    def cycles(self, obs: DataFrame, start: str, end: str, config: Phenology | None = None, align: str = "start") -> DataFrame:
+        """Cycle dates of every pixel that was seen, on the anchor grid of a window."""
+        c = self.settings
+        days = (dt.date.fromisoformat(end) - dt.date.fromisoformat(start)).days
+        n = days // c.interval_days + 1
+        first = dt.date.fromisoformat(start) + dt.timedelta(days=days % c.interval_days if align == "end" else 0)
+        pixel = F.struct("unit", "row", "col")
+        rows = obs.select(pixel.alias("pixel_id"), "ts", "ndvi")
+        if c.composite == "max":
+            series = composite.dense(rows, str(first), c.interval_days, n)
+        else:
+            made = composite.composite(rows, str(first), c.interval_days, n, c.composite)
+            t = F.unix_date(F.lit(str(first)).cast("date")) + F.col("k") * c.interval_days
+            bins = made.select("pixel_id").distinct().select("pixel_id", F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("k"))
+            series = bins.join(made, ["pixel_id", "k"], "left").select("pixel_id", "k", t.alias("t"), "v")
+        start_day = (dt.date.fromisoformat(start) - dt.date(1970, 1, 1)).days
+        out = phenology.extract(series, n, c.interval_days, start_day, config or c.phenology)
+        return out.select(F.col("pixel_id.unit").alias("unit"), F.col("pixel_id.row").alias("row"), F.col("pixel_id.col").alias("col"), *out.columns[1:])
+
+    def smoothed(self, cycles: DataFrame) -> DataFrame:
+        """Date medians over neighbours of the whole grid."""
+        radius = self.settings.median_radius
+        if radius < 1:
+            return cycles
+        dates = [d for d in ("plant", "emergence", "tillering", "panicle_init", "heading", "peak", "maturity", "harvest")]
+        kept = [c for c in cycles.columns if c not in dates and c != "season_length"]
+        return cycles.select(*kept).join(focal.smooth_dates(cycles.select("row", "col", *dates), dates, radius), ["row", "col"])
+
+    def _areas(self, stage_rows: DataFrame, by: list[str]) -> DataFrame:
+        res = self.settings.grid_degrees
+        cells = stage_rows.withColumn("ha", grid.cell_area_ha(-(F.col("row") + 0.5) * res, res))
+        return summary.shares(summary.counts(cells, by), by)
+
+    def run_periodic(self, out_dir: str, level: str | None = None, names: list[str] = (), as_of: str | None = None, only: list[str] = (), start_from: str | None = None) -> dict:
+        """Runs all units and periods that are due and not saved; returns paths and outcome counts."""
+        c = self.settings
+        plan = self.plan(level, names, as_of).select("name", "season_start", "season_end", "label", "p_start", "p_end")
+        if only:
+            plan = plan.where(F.col("name").isin(list(only)))
+        if start_from:
+            plan = plan.where(F.col("name") >= start_from)
+        saved = self.saved(out_dir)
+        due = plan if saved is None or not c.skip_existing else admin.missing(plan, saved)
+        due = due.cache()
+        try:
+            windows = due.agg(F.min("season_start").alias("a"), F.max("season_end").alias("z")).head()
+            all_units = plan.select("name").distinct()
+            if windows["a"] is None:
+                log = all_units.select("name", F.lit("skipped").alias("status"))
+            else:
+                obs = self.obs.join(due.select(F.col("name").alias("unit")).distinct(), "unit", "left_semi")
+                cycles = self.smoothed(self.cycles(obs, str(windows["a"]), str(windows["z"])))
+                rows = cycles.join(due.select(F.col("name").alias("unit"), "label", "p_start", "p_end"), "unit")
+                stage = stages.stage_over(F.unix_date("p_start"), F.unix_date("p_end"), c.classify)
+                rows = rows.select(file_name(F.col("unit")).alias("unit_file"), "unit", "label", "row", "col", stage.alias("growth_stage"))
+                rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("label", "unit_file").parquet(f"{out_dir}/stages")
+                if c.save_quality:
+                    year = int(str(windows["a"])[:4])
+                    stages.encoded(cycles.withColumn("pixel_id", F.struct("unit", "row", "col")).drop("unit", "row", "col"), year).write.mode("overwrite").parquet(f"{out_dir}/quality-{year}")
+                made = self.spark.read.parquet(f"{out_dir}/stages")
+                seen = made.select("unit", "label").distinct()
+                self._areas(made, ["unit", "label"]).write.mode("overwrite").option("header", True).csv(f"{out_dir}/summary")
+                status = F.when(F.col("due").isNull(), "skipped").when(F.col("seen").isNull(), "no_coverage").otherwise("success")
+                log = all_units.join(due.select("name", F.lit(1).alias("due")).distinct(), "name", "left")
+                log = log.join(seen.select(F.col("unit").alias("name"), F.lit(1).alias("seen")).distinct(), "name", "left").select("name", status.alias("status"))
+            self._save_log(log, out_dir)
+            counts = {r["status"]: r["n"] for r in log.groupBy("status").agg(F.count("*").alias("n")).collect()}
+        finally:
+            due.unpersist()
+        self.last = {"outputs": out_dir, "outcomes": counts}
+        return self.last
+
+    def saved(self, out_dir: str) -> DataFrame | None:
+        """(name, label) pairs with stored stages."""
+        try:
+            return self.spark.read.parquet(f"{out_dir}/stages").select(F.col("unit").alias("name"), F.col("label").cast("string").alias("label")).distinct()
+        except Exception as e:  # nothing stored yet
+            if "PATH_NOT_FOUND" in str(e) or "UNABLE_TO_INFER" in str(e):
+                return None
+            raise
+
+    def _save_log(self, log: DataFrame, out_dir: str) -> None:
+        """Never fails a run."""
+        try:
+            stamp = dt.datetime.now(dt.UTC).strftime("%Y%m%dT%H%M%S")
+            log.write.mode("overwrite").option("header", True).csv(f"{out_dir}/logs/{stamp}")
+        except Exception as e:  # noqa: BLE001
+            self.log(f"the run log was not saved: {e}")
+
+    def mosaic(self, out_dir: str, level: str | None = None, names: list[str] = (), as_of: str | None = None) -> dict:
+        """Joins the stored units of every period: the first unit with data wins a cell; lists what is missing."""
+        plan = self.plan(level, names, as_of).select("name", "label")
+        saved = self.saved(out_dir)
+        missing = admin.missing(plan, saved) if saved is not None else plan
+        rows = self.spark.read.parquet(f"{out_dir}/stages").withColumn("label", F.col("label").cast("string"))
+        rows = rows.join(plan.select(F.col("name").alias("unit"), "label"), ["unit", "label"], "left_semi").where("growth_stage >= 0")
+        best = rows.groupBy("label", "row", "col").agg(F.min(F.struct("unit", "growth_stage")).alias("s")).select("label", "row", "col", F.col("s.growth_stage").alias("growth_stage"))
+        best.write.mode("overwrite").partitionBy("label").parquet(f"{out_dir}/mosaic")
+        made = self.spark.read.parquet(f"{out_dir}/mosaic").withColumn("label", F.col("label").cast("string"))
+        self._areas(made, ["label"]).write.mode("overwrite").option("header", True).csv(f"{out_dir}/mosaic-summary")
+        lack = {r["label"]: r["names"] for r in missing.groupBy("label").agg(F.sort_array(F.collect_list("name")).alias("names")).collect()}
+        return {"outputs": f"{out_dir}/mosaic", "missing": lack}
+
+    def run_recent(self, names: list[str] = (), as_of: str | None = None, lookback_days: int | None = None) -> DataFrame:
+        """Stage, data age and quality on a date from a rolling window that ends on it; always the latest cycle."""
+        c, day = self.settings, _day(as_of)
+        back = lookback_days or c.lookback_days
+        start = str(dt.date.fromisoformat(day) - dt.timedelta(days=back))
+        obs = self.obs.where(F.col("unit").isin(list(names))) if names else self.obs
+        config = replace(c.phenology, peak_select="last", peak_search=(30, back))
+        cycles = self.smoothed(self.cycles(obs, start, day, config, align="end"))
+        at = F.unix_date(F.lit(day).cast("date"))
+        return cycles.select("unit", "row", "col", stages.stage_at(at).alias("growth_stage"), (at - F.col("last_obs")).alias("data_age_days"), "qc")
+
+    def recent_summary(self, recent: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """Areas per unit and stage, and the median data age per unit."""
+        return self._areas(recent, ["unit"]), recent.groupBy("unit").agg(F.median("data_age_days").alias("median_age"))
+
+    def quick_check(self, start: str, end: str) -> dict[str, int]:
+        """Quality histogram of a window."""
+        return {QUALITY[r["qc"]]: r["pixels"] for r in summary.quality_histogram(self.cycles(self.obs, start, end)).collect()}
+
+    def list_outputs(self, store, kind: str = "", contains: str = "", limit: int = 60) -> list[str]:
+        """The last names that match."""
+        return [n for n in store.list(kind) if contains.lower() in n.lower()][-limit:]
+
+    def read_summary(self, path: str) -> list[dict]:
+        return [r.asDict() for r in self.spark.read.csv(path, header=True, inferSchema=True).collect()]
+
+
+def per_tile(obs: DataFrame, tile_cells: int, fn, schema) -> DataFrame:
+    """A user function on the rows of each tile: fn(pandas frame) -> pandas frame."""
+    tile = lambda c: F.floor(F.col(c) / tile_cells)
+    return obs.withColumns({"tile_x": tile("col"), "tile_y": tile("row")}).groupBy("tile_x", "tile_y").applyInPandas(fn, schema)
+
+
+def dry_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The outcomes that a run over the analytic pixels would log: units with and without pixels."""
+    from verdure.plans import bindings as b
+
+    units = b.units(spark, sf_dir)
+    planted = admin.planting(units, 6, "wet")
+    windows = admin.season_windows(planted, 2026, "wet")
+    plan = admin.unit_periods(windows, "2026-09-10", "season").groupBy("name").agg(F.count("*").alias("periods"))
+    owner = b.read(spark, sf_dir, "customer").groupBy(F.col("c_nationkey").alias("n_nationkey")).agg(F.count("*").alias("pixels"))
+    rows = units.select("n_nationkey", "name").join(plan, "name", "left").join(owner, "n_nationkey", "left")
+    status = F.when(F.col("periods").isNull(), "out_of_season").when(F.col("pixels").isNull(), "no_coverage").otherwise("success")
+    return rows.select("name", F.coalesce("periods", F.lit(0)).alias("periods"), status.alias("status"))
