@@ -102,7 +102,10 @@ class TrieEncoder:
         self.most = most
         self.longest = max(map(len, self.vocabulary.ids))
         self.words: dict[str, list[int]] = {}
-        self.units: dict[str, tuple[bytes, str]] = {}
+        self.states: dict[str, tuple[str, int]] = {}  # of prefixes: the last token and where it begins
+        self.ids: dict[str, bytes] = {}  # of units
+        self.texts: dict[str, str] = {}
+        self.blank = False  # whether some unit has no ids
         marks = sorted(self.vocabulary.special, key=len, reverse=True)
         self.cut = re.compile("(" + "|".join(map(re.escape, marks)) + ")") if marks else None
 
@@ -117,6 +120,9 @@ class TrieEncoder:
                 node = node.setdefault(c, {})
             node[word[-1], tail] = word  # the last symbol carries the word-end mark
         out: dict[str, list[int]] = {}
+        states = self.states
+        if len(states) > self.most:
+            states.clear()
         prefix: list[str] = [""]  # by depth: the characters so far
         last: list[str] = [""]  # and the last token of their encoding
         back: list[int] = [0]  # and the depth at which that token begins
@@ -126,18 +132,23 @@ class TrieEncoder:
             ends = symbol.__class__ is tuple
             own = prefix[depth - 1] + (symbol[0] if ends else symbol)
             del prefix[depth:], last[depth:], back[depth:]
-            for at in range(max(0, depth - longest), depth):
-                token = own[at:] + tail if ends else own[at:]
-                if token in stable:
-                    if not at:
-                        break
-                    side = (last[at], token)
-                    if (fits := known.get(side)) is None:
-                        fits = beside(*side)
-                    if fits:
-                        break
-            else:  # a symbol that the vocabulary lacks
-                at, token = depth - 1, own[-1] + tail if ends else own[-1]
+            if not ends and (state := states.get(own)):
+                token, at = state
+            else:
+                for at in range(depth - longest if depth > longest else 0, depth):
+                    token = own[at:] + tail if ends else own[at:]
+                    if token in stable:
+                        if not at:
+                            break
+                        side = (last[at], token)
+                        if (fits := known.get(side)) is None:
+                            fits = beside(*side)
+                        if fits:
+                            break
+                else:  # a symbol that the vocabulary lacks
+                    at, token = depth - 1, own[-1] + tail if ends else own[-1]
+                if not ends:
+                    states[own] = (token, at)
             prefix.append(own)
             last.append(token)
             back.append(at)
@@ -158,6 +169,8 @@ class TrieEncoder:
         for part in self.cut.split(unit) if self.cut and "<" in unit else [unit]:
             if part in v.special:
                 out.append(v.special[part])
+            elif v.is_word_kind and part.isascii() and part.isalpha():
+                out.append(part.lower())
             elif v.is_word_kind and text_units._PLAIN.fullmatch(part):
                 for w in text_units.WORDS.findall(part.lower()):
                     out.append(w if w.isascii() and w.isprintable() else "".join(map(v.byte_name.__getitem__, w.encode())))
@@ -173,27 +186,32 @@ class TrieEncoder:
         if len(self.words) + len(met) > self.most:
             self.words.clear()
         self.words.update(self.encode_words(met.difference(self.words)))
-        names, ids = self.vocabulary.names, self.words
+        names, words = self.vocabulary.names, self.words
         for unit, parts in pieces.items():
-            own = [i for p in parts for i in (ids[p] if isinstance(p, str) else [p])]
-            self.units[unit] = (struct.pack(f"<{len(own)}I", *own), " ".join(map(names.__getitem__, own)))
+            if len(parts) == 1 and isinstance(parts[0], str):
+                own = words[parts[0]]
+            else:
+                own = [i for p in parts for i in (words[p] if isinstance(p, str) else [p])]
+                self.blank |= not own
+            self.ids[unit] = struct.pack(f"<{len(own)}I", *own)
+            self.texts[unit] = " ".join([names[i] for i in own])
 
     def encode(self, texts: list[str]) -> list[tuple[bytes, str]]:
         """For each whole text its ids as little-endian 32-bit integers and its decoded text."""
         cut = [_UNIT.findall(t) for t in texts]
-        new = {u for own in cut for u in own}
-        if len(self.units) + len(new) > self.most:
-            self.units.clear()
-        self.learn(new.difference(self.units))
-        out = []
+        new = set().union(*cut)
+        if len(self.ids) + len(new) > self.most:
+            self.ids.clear()
+            self.texts.clear()
+        self.learn(new.difference(self.ids))
+        ids, names, out = self.ids.__getitem__, self.texts.__getitem__, []
         for own in cut:
-            found = [self.units[u] for u in own]
-            ids = b"".join([f[0] for f in found])
+            found = b"".join(map(ids, own))
             if self.vocabulary.has_decoder:
-                text = self.vocabulary.tokenizer.decode(np.frombuffer(ids, "<u4").tolist(), skip_special_tokens=False)
+                text = self.vocabulary.tokenizer.decode(np.frombuffer(found, "<u4").tolist(), skip_special_tokens=False)
             else:
-                text = " ".join([f[1] for f in found if f[0]])
-            out.append((ids, text))
+                text = " ".join([t for t in map(names, own) if t] if self.blank else map(names, own))
+            out.append((found, text))
         return out
 
 
