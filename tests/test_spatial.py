@@ -87,3 +87,28 @@ def test_catalog(spark):
     with pytest.raises(catalog.NoLandCover):
         catalog.cropland(spark.createDataFrame([], "row int, col int, x double, y double, cls int, time int"), (0, 0, 1, 1), attempts=3, sleep=waits.append)
     assert waits == [1.0, 2.0]
+
+
+def test_areas_of_any_form(spark):
+    assert grid.box_of((1, 2, 3, 4)) == (1, 2, 3, 4)
+    assert grid.box_of([(0, 0), (2, 1), (1, 5)]) == (0, 0, 2, 5)
+    assert len(grid.rings_of([[(0, 0), (1, 0), (1, 1)], (5, 5, 6, 6)])) == 2
+    inner = [(120.0, 10.0), (120.15, 10.0), (120.15, 10.15), (120.0, 10.15)]
+    assert grid.tiles_within(inner, 0.1, spark).count() == 4
+    assert catalog.normalised_axes(spark.createDataFrame([(1, 2, 3)], "lon int, latitude int, v int")).columns == ["x", "y", "v"]
+
+
+def test_bands_of_sensors(spark):
+    rows = [("a", 0, 0, "2026-01-01 00:00:00", 500, 3000, 0), ("b", 0, 1, "2026-01-01 00:00:00", 500, 3000, 2)]
+    obs = spark.createDataFrame(rows, "scene_id string, row int, col int, ts string, red int, nir int, qa int").withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+    got = {r["col"]: r["ndvi"] for r in catalog.merged([catalog.ndvi(obs, "hls"), catalog.ndvi(obs.where("col = 5"), "hls")]).collect()}
+    assert got[0] == pytest.approx(2500 / 3500) and got[1] is None
+    cover = spark.createDataFrame([(0, 0, 1.0, 1.0, 10, 1), (0, 0, 1.0, 1.0, 40, 2), (0, 1, 1.0, 1.0, 40, 1)], "row int, col int, x double, y double, cls int, time int")
+    crop = catalog.cropland(cover, (0, 0, 2, 2))
+    assert crop.count() == 2 and catalog.masked(catalog.ndvi(obs, "hls"), crop).count() == 2
+
+
+@pytest.mark.parametrize("kind,want", [("average", 2.0), ("mode", 1.0), ("nearest", 1.0)])
+def test_resampling(spark, kind, want):
+    a = np.array([[1.0, 1.0, 4.0], [2.0, 1.0, 3.0], [1.0, 2.0, 3.0]])
+    assert grid.coarser(cells(spark, a), 3, "v", kind).head()["v"] == want

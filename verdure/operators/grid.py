@@ -114,3 +114,31 @@ def coarser(cells: DataFrame, factor: int, value: str, kind: str = "average") ->
         return cells.where((F.col("row") % factor == mid) & (F.col("col") % factor == mid)).select(*block, value)
     agg = F.avg(value) if kind == "average" else F.mode(value, True)
     return cells.groupBy(*block).agg(agg.alias(value))
+
+
+Ring = list[tuple[float, float]]
+
+
+def rings_of(area) -> list[Ring]:
+    """Rings of an area given as a box (w, s, e, n), one ring of points, or a list of rings."""
+    if len(area) == 4 and all(isinstance(v, (int, float)) for v in area):
+        w, s, e, n = area
+        return [[(w, s), (e, s), (e, n), (w, n)]]
+    if all(len(p) == 2 and isinstance(p[0], (int, float)) for p in area):
+        return [[tuple(p) for p in area]]
+    return [ring for part in area for ring in rings_of(part)]
+
+
+def box_of(area) -> tuple[float, float, float, float]:
+    """The box around all rings of an area."""
+    points = [p for ring in rings_of(area) for p in ring]
+    return min(x for x, _ in points), min(y for _, y in points), max(x for x, _ in points), max(y for _, y in points)
+
+
+def tiles_within(area, size: float, spark) -> DataFrame:
+    """Tiles (w, s, e, n) of the area's box of which a part lies in one of its rings."""
+    df = spark.createDataFrame(tiles(box_of(area), size), "w double, s double, e double, n double")
+    test = F.lit(False)
+    for ring in rings_of(area):
+        test = test | cell_touches(F.col("w"), F.col("s"), F.col("e"), F.col("n"), ring)
+    return df.where(test)

@@ -103,3 +103,12 @@ def masked(obs: DataFrame, crop: DataFrame) -> DataFrame:
 
 def read_csv(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.csv(path, header=True, inferSchema=True)
+
+
+#: Names that coordinate columns may have (fixed values).
+AXES = {"x": ("x", "X", "lon", "longitude"), "y": ("y", "Y", "lat", "latitude")}
+
+
+def normalised_axes(df: DataFrame) -> DataFrame:
+    """Coordinate columns under the names x and y, whatever their source calls them."""
+    return df.withColumnsRenamed({old: new for new, names in AXES.items() for old in names if old in df.columns})
