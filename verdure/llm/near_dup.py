@@ -4,20 +4,22 @@ A document's set holds its distinct word shingles (``textnum.shingles``).
 Documents are linked when ``100 * intersection >= percent * union``; the
 result is the connected component of every document.
 
-1. Every text becomes, in Arrow batches, a set key, ``bands * rows`` MinHash
-   samples folded into band keys, and an odd sketch: each (slot, sample) pair
-   toggles one bit, so the population count of the XOR of two sketches
-   estimates how many samples differ and thereby the similarity.
+1. Every text becomes, in Arrow batches, a set key and ``BANDS * ROWS`` MinHash
+   samples folded into band keys.
 2. Equal sets collapse into one class with its smallest id, so a group of
    thousands of copies costs one row from here on.
-3. Classes that share a band key are candidates.  Each class is first held
+3. Classes that share a band key are candidates.  They alone get an odd sketch
+   of ``SAMPLES`` MinHash samples: each (slot, sample) pair toggles one bit, so
+   the population count of the XOR of two sketches estimates how many samples
+   differ and thereby the similarity, precisely where it is high.  Each class is first held
    against the smallest class of its bucket only; verified links are joined
    into components.  Then, in each bucket that still spans several
    components, sketches are compared in blocks of bounded size across
    components, first one best partner each, then all that remain.  A bucket
    that one component fills never forms pairs.
-4. Candidates whose sketches differ too much are dismissed (miss probability
-   below 1e-8 at the threshold); all others are confirmed on the full sets.
+4. Candidates whose sizes rule a link out, or whose sketches differ by five
+   deviations more than expected at the threshold, are dismissed; all others
+   are confirmed on the full sets.
 
 Components are found by distributed minimum-label propagation with pointer
 jumping.  Every round is written to the shared checkpoint folder.
@@ -40,61 +42,74 @@ from pyspark.sql import functions as F
 
 from verdure.llm import common, textnum
 
-BANDS, ROWS, SKETCH_WORDS, BLOCK = 40, 5, 16, 512
-_SIGNATURE = "id long, n_shingles long, set_key string, bands array<long>, sketch array<long>"
+BANDS, ROWS, SAMPLES, SKETCH_WORDS, BLOCK = 40, 5, 1024, 32, 4096
 _seeds = np.random.default_rng(7)
-_MUL = (_seeds.integers(1, 2**32, BANDS * ROWS, dtype=np.uint64) | np.uint64(1)).astype(np.uint32)[:, None]
-_ADD = _seeds.integers(0, 2**32, BANDS * ROWS, dtype=np.uint64).astype(np.uint32)[:, None]
-_SLOT = textnum.mix(np.arange(1, BANDS * ROWS + 1, dtype=np.uint64))
+_MUL = (_seeds.integers(1, 2**32, SAMPLES, dtype=np.uint64) | np.uint64(1)).astype(np.uint32)[:, None]
+_ADD = _seeds.integers(0, 2**32, SAMPLES, dtype=np.uint64).astype(np.uint32)[:, None]
+_SLOT = textnum.mix(np.arange(1, SAMPLES + 1, dtype=np.uint64))
 
 
-def samples(shingles: np.ndarray) -> np.ndarray:
-    """One minimum per hash function over the whole set."""
+def samples(shingles: np.ndarray, n: int) -> np.ndarray:
+    """One minimum for each of n hash functions over the whole set."""
     x = (shingles >> np.uint64(32)).astype(np.uint32)[None, :]
-    least = np.full(len(_MUL), 2**32 - 1, np.uint32)
-    for at in range(0, x.shape[1], 4096):
-        part = _MUL * x[:, at : at + 4096]
-        part += _ADD
+    least, step = np.full(n, 2**32 - 1, np.uint32), max(64, 131_072 // n)
+    for at in range(0, x.shape[1], step):
+        part = _MUL[:n] * x[:, at : at + step]
+        part += _ADD[:n]
         np.minimum(least, part.min(axis=1), out=least)
     return least
 
 
-def odd_sketch(least: np.ndarray) -> np.ndarray:
+def band_keys(shingles: np.ndarray) -> np.ndarray:
+    least = samples(shingles, BANDS * ROWS).astype(np.uint64) ^ _SLOT[: BANDS * ROWS]
+    return textnum.windows(least, ROWS)[::ROWS].view(np.int64)
+
+
+def odd_sketch(shingles: np.ndarray) -> np.ndarray:
     """Parities of the (slot, sample) pairs that fall on each bit."""
     bits = 64 * SKETCH_WORDS
-    spots = textnum.mix(least.astype(np.uint64) ^ _SLOT) % np.uint64(bits)
+    spots = textnum.mix(samples(shingles, SAMPLES).astype(np.uint64) ^ _SLOT) % np.uint64(bits)
     odd = (np.bincount(spots.astype(np.int64), minlength=bits) & 1).astype(np.uint8)
     return np.packbits(odd, bitorder="little").view(np.int64)
 
 
 def largest_difference(percent: int) -> int:
-    """Bits by which sketches of linked sets differ at most, six deviations over the mean."""
-    k, bits, j = BANDS * ROWS, 64 * SKETCH_WORDS, percent / 100
+    """Bits by which sketches of linked sets differ at most: five deviations over the mean at the threshold."""
+    k, n, j = SAMPLES, 64 * SKETCH_WORDS, percent / 100
     delta = 2 * k * (1 - j)
-    mean = bits / 2 * (1 - math.exp(-2 * delta / bits))
-    spread = math.sqrt(4 * k * j * (1 - j) * math.exp(-4 * delta / bits) + mean * (1 - mean / bits))
-    return min(bits, math.ceil(mean + 6 * spread))
+    mean = n / 2 * (1 - (1 - 2 / n) ** delta)
+    toggles = n * (n - 1) / 4 * (1 - 4 / n) ** delta + n / 4 - n * n / 4 * (1 - 2 / n) ** (2 * delta)
+    spread = math.sqrt(4 * k * j * (1 - j) * (1 - 2 / n) ** (2 * delta) + max(0.0, toggles))
+    return min(n, math.ceil(mean + 5 * spread))
 
 
 def _sign(k: int):
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import hashlib
 
-        schema = pa.schema([("id", pa.int64()), ("n_shingles", pa.int64()), ("set_key", pa.string()), ("bands", pa.list_(pa.int64())), ("sketch", pa.list_(pa.int64()))])
+        schema = pa.schema([("id", pa.int64()), ("n_shingles", pa.int64()), ("set_key", pa.string()), ("bands", pa.list_(pa.int64()))])
 
         def rows():
             for part in parts:
                 for i, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
                     found = textnum.shingles(text.encode("utf-8", "replace"), k)
-                    if not len(found):
-                        yield {"id": i, "n_shingles": 0, "set_key": None, "bands": None, "sketch": None}
-                        continue
-                    least = samples(found)
-                    keys = textnum.windows(least.astype(np.uint64) ^ _SLOT, ROWS)[::ROWS].view(np.int64)
-                    key = hashlib.md5(found.tobytes(), usedforsecurity=False).hexdigest()
-                    yield {"id": i, "n_shingles": len(found), "set_key": key, "bands": keys, "sketch": odd_sketch(least)}
+                    if len(found):
+                        key = hashlib.md5(found.tobytes(), usedforsecurity=False).hexdigest()
+                        yield {"id": i, "n_shingles": len(found), "set_key": key, "bands": band_keys(found)}
+                    else:
+                        yield {"id": i, "n_shingles": 0, "set_key": None, "bands": None}
+
+        yield from common.batches(schema, rows(), 8 << 20, lambda _: 400)
+
+    return run
+
 
-        yield from common.batches(schema, rows(), 8 << 20, lambda _: 800)
+def _sketch(k: int):
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in parts:
+            found = [textnum.shingles(t.encode("utf-8", "replace"), k) for t in part.column(1).to_pylist()]
+            sketches = pa.array([odd_sketch(f) for f in found], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(f) for f in found], pa.int64()), sketches, part.column(1)], names=["id", "n", "sketch", "text"])
 
     return run
 
@@ -122,30 +137,33 @@ def _verify(k: int, percent: int):
     return run
 
 
-def _across(most: int, best: bool):
+def _across(most: int, percent: int, best: bool):
     """Pairs from different components within (bucket, block, block) groups, which arrive whole and in order."""
     names = ["a", "b", "bits"]
 
-    def pairs(ids, labels, sketches, sides, same):
+    def pairs(ids, labels, sizes, sketches, sides, same):
         left, right = (np.arange(len(ids)),) * 2 if same else (np.flatnonzero(sides == 0), np.flatnonzero(sides == 1))
         for at in range(0, len(left), 128):
             own = left[at : at + 128]
-            bits = np.zeros((len(own), len(right)), np.int32)
-            for w in range(SKETCH_WORDS):
-                bits += np.bitwise_count(sketches[own, w][:, None] ^ sketches[right, w][None, :])
-            ok = (bits <= most) & (labels[own][:, None] != labels[right][None, :])
+            x, y = sizes[own][:, None], sizes[right][None, :]
+            ok = (labels[own][:, None] != labels[right][None, :]) & (100 * np.minimum(x, y) >= percent * np.maximum(x, y))
             if same:
                 ok &= ids[own][:, None] < ids[right][None, :]
             i, j = np.nonzero(ok)
-            if not len(i):
+            bits = np.zeros(len(i), np.int64)
+            for at_ in range(0, len(i), 16_384):
+                part = slice(at_, at_ + 16_384)
+                bits[part] = np.bitwise_count(sketches[own[i[part]]] ^ sketches[right[j[part]]]).sum(1)
+            near = bits <= most
+            if not near.any():
                 continue
-            p, q, d = own[i], right[j], bits[i, j]
+            p, q, d = own[i[near]], right[j[near]], bits[near]
             if best:  # one partner for each class and other component
                 order = np.lexsort((d, labels[q], ids[p]))
                 p, q, d = p[order], q[order], d[order]
                 new = np.r_[True, (ids[p][1:] != ids[p][:-1]) | (labels[q][1:] != labels[q][:-1])]
                 p, q, d = p[new], q[new], d[new]
-            yield np.minimum(ids[p], ids[q]), np.maximum(ids[p], ids[q]), d.astype(np.int64)
+            yield np.minimum(ids[p], ids[q]), np.maximum(ids[p], ids[q]), d
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest = None
@@ -161,13 +179,13 @@ def _across(most: int, best: bool):
             yield from _emit(rest, rest.column("place").to_numpy())
 
     def _emit(t: pa.Table, key: np.ndarray) -> Iterator[pa.RecordBatch]:
-        ids, labels, sides, same = (t.column(n).to_numpy() for n in ("id", "label", "side", "same"))
+        ids, labels, sizes, sides, same = (t.column(n).to_numpy() for n in ("id", "label", "n", "side", "same"))
         sketches = t.column("sketch").combine_chunks().flatten().to_numpy().view(np.uint64).reshape(-1, SKETCH_WORDS)  # bitwise_count takes the absolute value of signed numbers
         cuts = np.flatnonzero(np.r_[True, key[1:] != key[:-1], True])
         found = []
         for i, j in zip(cuts[:-1], cuts[1:], strict=True):
             if j - i > 1:
-                found += pairs(ids[i:j], labels[i:j], sketches[i:j], sides[i:j], bool(same[i]))
+                found += pairs(ids[i:j], labels[i:j], sizes[i:j], sketches[i:j], sides[i:j], bool(same[i]))
         if found:
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*found, strict=True)], names=names)
 
@@ -195,40 +213,40 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     at = common.shared_dir(spark, "near-dup")
     most = largest_difference(percent)
     plain = docs.select(F.col(id_col).cast("long").alias("id"), common.text_of(text_col).alias("text"))
-    signed = common.table(spark, plain.mapInArrow(_sign(k), _SIGNATURE), f"{at}/signed")
+    signed = common.table(spark, plain.mapInArrow(_sign(k), "id long, n_shingles long, set_key string, bands array<long>"), f"{at}/signed")
     classes = common.table(spark, signed.where("set_key is not null and id is not null").groupBy("set_key").agg(F.min("id").alias("rep")), f"{at}/classes")
-    reps = common.table(spark, signed.where("id is not null").join(classes, "set_key").where("id = rep").select("id", "set_key", "bands", "sketch").dropDuplicates(["id", "set_key"]), f"{at}/reps")
+    reps = common.table(spark, signed.where("id is not null").join(classes, "set_key").where("id = rep").select("id", "bands").dropDuplicates(["id"]), f"{at}/reps")
     bands = reps.select("id", F.posexplode("bands").alias("band", "value")).select("id", F.xxhash64("band", "value").alias("bucket"))
     buckets = common.table(spark, bands.groupBy("bucket").agg(F.min("id").alias("hub"), F.count("*").alias("size")).where("size > 1"), f"{at}/buckets")
     members = common.table(spark, bands.join(buckets, "bucket").select("bucket", "hub", "size", "id"), f"{at}/members")
-    sketches = reps.select("id", "sketch")
+    # the full texts move once, and only those of candidates go on
+    near = plain.join(members.select("id").distinct(), "id").dropDuplicates(["id"])
+    texts = common.table(spark, near.mapInArrow(_sketch(k), "id long, n long, sketch array<long>, text string"), f"{at}/texts")
+    sketches = texts.select("id", "n", "sketch")
 
     def bits(pairs: DataFrame) -> DataFrame:
-        x, y = (sketches.select(F.col("id").alias(n), F.col("sketch").alias(f"{n}_s")) for n in "ab")
+        x, y = (sketches.select(F.col("id").alias(n), F.col("n").alias(f"{n}_n"), F.col("sketch").alias(f"{n}_s")) for n in "ab")
         differ = sum((F.bit_count(F.col("a_s")[i].bitwiseXOR(F.col("b_s")[i])) for i in range(SKETCH_WORDS)), F.lit(0))
-        return pairs.join(y, "b").join(x, "a").select("a", "b", differ.cast("long").alias("bits")).where(F.col("bits") <= most)
+        both = pairs.join(y, "b").join(x, "a").where(100 * F.least("a_n", "b_n") >= percent * F.greatest("a_n", "b_n"))
+        return both.select("a", "b", differ.cast("long").alias("bits")).where(F.col("bits") <= most)
 
     def confirm(pairs: DataFrame, n: int) -> tuple[DataFrame, DataFrame]:
         pairs = common.table(spark, pairs.select("a", "b").distinct(), f"{at}/pairs{n}")
-        ends = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
-        texts = common.table(spark, plain.join(ends, "id").dropDuplicates(["id"]), f"{at}/texts{n}")
         x, y = (texts.select(F.col("id").alias(i), F.col("text").alias(f"{i}_t")) for i in "ab")
         both = pairs.join(y, "b").join(x, "a").select("a", "b", "a_t", "b_t")
-        links = common.table(spark, both.mapInArrow(_verify(k, percent), "a long, b long"), f"{at}/links{n}")
-        common.remove(spark, f"{at}/texts{n}")
-        return pairs, links
+        return pairs, common.table(spark, both.mapInArrow(_verify(k, percent), "a long, b long"), f"{at}/links{n}")
 
     def unsettled(labels: DataFrame, best: bool) -> DataFrame:
         own = members.join(labels, "id", "left").withColumn("label", F.coalesce("label", "id"))
         open_ = own.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("bucket")
         rows = own.join(open_, "bucket").join(sketches, "id")
-        n = F.ceil(F.col("size") / BLOCK).cast("int")
-        block = F.pmod(F.xxhash64("id"), n).cast("int")
-        other = F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("other")
-        dealt = rows.withColumn("n", n).withColumn("block", block).select("*", other)
+        blocks = F.ceil(F.col("size") / BLOCK).cast("int")
+        block = F.pmod(F.xxhash64("id"), blocks).cast("int")
+        other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
+        dealt = rows.withColumn("blocks", blocks).withColumn("block", block).select("*", other)
         low, high = F.least("block", "other"), F.greatest("block", "other")
-        dealt = dealt.select(F.xxhash64("bucket", low, high).alias("place"), "id", "label", "sketch", (F.col("block") > F.col("other")).cast("int").alias("side"), (F.col("block") == F.col("other")).alias("same"))
-        met = dealt.repartition("place").sortWithinPartitions("place").mapInArrow(_across(most, best), "a long, b long, bits long")
+        dealt = dealt.select(F.xxhash64("bucket", low, high).alias("place"), "id", "label", "n", "sketch", (F.col("block") > F.col("other")).cast("int").alias("side"), (F.col("block") == F.col("other")).alias("same"))
+        met = dealt.repartition("place").sortWithinPartitions("place").mapInArrow(_across(most, percent, best), "a long, b long, bits long")
         return met.groupBy("a", "b").agg(F.min("bits").alias("bits"))
 
     def strongest(pairs: DataFrame) -> DataFrame:
@@ -247,7 +265,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             labels = components(spark, links, f"{at}/cc{n}")
     named = classes.join(labels.withColumnRenamed("id", "rep"), "rep", "left").select("set_key", F.coalesce("label", "rep").alias("component"))
     named = common.table(spark, named, f"{at}/named")
-    for x in ("members", "buckets", "reps", "classes"):
+    for x in ("members", "buckets", "reps", "classes", "texts"):
         common.remove(spark, f"{at}/{x}")
     out = signed.select("id", "n_shingles", "set_key").join(named, "set_key", "left")
     component = F.when(F.col("id").isNotNull(), F.coalesce("component", "id"))
