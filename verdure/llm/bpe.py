@@ -21,6 +21,7 @@ result.  Very long texts cost memory in proportion to themselves only.
 
 from __future__ import annotations
 
+import gc
 import hashlib
 import json
 import re
@@ -97,7 +98,7 @@ class Vocabulary:
 class TrieEncoder:
     """Encodes sets of words; remembers the ids of the words and units of text it has met."""
 
-    def __init__(self, path: str, most: int = 450_000):
+    def __init__(self, path: str, most: int = 650_000):
         self.vocabulary = Vocabulary(path)
         self.most = most
         self.longest = max(map(len, self.vocabulary.ids))
@@ -109,7 +110,7 @@ class TrieEncoder:
         marks = sorted(self.vocabulary.special, key=len, reverse=True)
         self.cut = re.compile("(" + "|".join(map(re.escape, marks)) + ")") if marks else None
 
-    def encode_words(self, words: Iterable[str]) -> dict[str, list[int]]:
+    def encode_words(self, words: set[str]) -> dict[str, list[int]]:
         """Ids of distinct words by one depth-first walk over their trie."""
         v, longest, tail = self.vocabulary, self.longest, self.vocabulary.tail
         ids, stable, known, beside = v.ids, v.stable, v.known_beside, v.beside
@@ -123,15 +124,15 @@ class TrieEncoder:
         states = self.states
         if len(states) > self.most:
             states.clear()
-        prefix: list[str] = [""]  # by depth: the characters so far
-        last: list[str] = [""]  # and the last token of their encoding
-        back: list[int] = [0]  # and the depth at which that token begins
+        room = 1 + max(map(len, words), default=0)
+        prefix = [""] * room  # by depth: the characters so far
+        last = [""] * room  # and the last token of their encoding
+        back = [0] * room  # and the depth at which that token begins
         todo: list[tuple] = [(n, 1, s) for s, n in root.items()]
         while todo:
             node, depth, symbol = todo.pop()
             ends = symbol.__class__ is tuple
             own = prefix[depth - 1] + (symbol[0] if ends else symbol)
-            del prefix[depth:], last[depth:], back[depth:]
             if not ends and (state := states.get(own)):
                 token, at = state
             else:
@@ -149,9 +150,7 @@ class TrieEncoder:
                     at, token = depth - 1, own[-1] + tail if ends else own[-1]
                 if not ends:
                     states[own] = (token, at)
-            prefix.append(own)
-            last.append(token)
-            back.append(at)
+            prefix[depth], last[depth], back[depth] = own, token, at
             if ends:
                 found = []
                 while depth:
@@ -181,6 +180,15 @@ class TrieEncoder:
 
     def learn(self, units: Iterable[str]) -> None:
         """Adds units to the memory with one trie for all their new words."""
+        collects = gc.isenabled()
+        gc.disable()  # tries hold no cycles; scanning millions of small objects for some would cost more than the walk
+        try:
+            self._learn(units)
+        finally:
+            if collects:
+                gc.enable()
+
+    def _learn(self, units: Iterable[str]) -> None:
         pieces = {u: self._pieces(u) for u in units}
         met = {w for p in pieces.values() for w in p if isinstance(w, str)}
         if len(self.words) + len(met) > self.most:
