@@ -12,7 +12,7 @@ result is the connected component of every document.
    of ``SAMPLES`` MinHash samples: each (slot, sample) pair toggles one bit, so
    the population count of the XOR of two sketches estimates how many samples
    differ and thereby the similarity, precisely where it is high.  Each class is first held
-   against the smallest class of its bucket only; verified links are joined
+   against one smallest class of a bucket only, the one it shares most bands with; verified links are joined
    into components.  Then, in each bucket that still spans several
    components, sketches are compared in blocks of bounded size across
    components, first one best partner each, then all that remain.  A bucket
@@ -252,8 +252,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     def strongest(pairs: DataFrame) -> DataFrame:
         return pairs.groupBy(F.col("b").alias("own")).agg(F.min(F.struct("bits", "a")).alias("best")).select(F.col("best.a").alias("a"), F.col("own").alias("b"))
 
-    stars = bits(members.where("id > hub").select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct())
-    tried, links = confirm(strongest(stars), 0)
+    # first each class against the bucket hub with which it shares most bands
+    shared = members.where("id > hub").groupBy("id", "hub").agg(F.count("*").alias("bands"))
+    stars = shared.groupBy(F.col("id").alias("b")).agg(F.max(F.struct("bands", (-F.col("hub")).alias("hub"))).alias("best"))
+    tried, links = confirm(bits(stars.select((-F.col("best.hub")).alias("a"), "b")), 0)
     labels = components(spark, links, f"{at}/cc0")
     for n, best in ((1, True), (2, False)):
         pairs = unsettled(labels, best).join(tried, ["a", "b"], "left_anti")
