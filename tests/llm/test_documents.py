@@ -170,6 +170,15 @@ def test_near_duplicate_edges(spark):
     assert near_dup.near_duplicates(table(spark, rows).where("doc_id = 77")).count() == 0
 
 
+def test_components_of_long_chains(spark, tmp_path):
+    n = 1000
+    ends = [*range(0, n, 2), *reversed(range(1, n, 2))]  # ids grow from both ends to the middle
+    mixed = random.Random(3).sample(range(n, 2 * n), n)
+    edges = [x for chain in (ends, mixed) for x in zip(chain, chain[1:], strict=False)]
+    got = near_dup.components(spark, spark.createDataFrame(edges, "a long, b long"), str(tmp_path / "cc")).collect()
+    assert {r["id"]: r["label"] for r in got} == {i: i // n * n for i in range(2 * n)}
+
+
 def test_sketches_estimate_similarity():
     rng = np.random.default_rng(0)
     most = near_dup.largest_difference(80)

@@ -21,8 +21,9 @@ result is the connected component of every document.
    deviations more than expected at the threshold, are dismissed; all others
    are confirmed on the full sets.
 
-Components are found by distributed minimum-label propagation with pointer
-jumping.  Every round is written to the shared checkpoint folder.
+Components are found by distributed minimum-label propagation with hooking of
+roots and pointer jumping, in rounds until no label moves.  Every round is
+written to the shared checkpoint folder.
 
 Edge cases: a null or empty text, or one without words, has an empty set and
 is linked with nothing.  Rows without an id take no part: their component is
@@ -196,13 +197,17 @@ def components(spark: SparkSession, edges: DataFrame, at: str) -> DataFrame:
     """(id, label): the smallest id reachable from each end of the edges (a, b)."""
     both = common.table(spark, edges.select("a", "b").union(edges.select("b", "a")).distinct(), f"{at}/edges")
     labels = common.table(spark, both.groupBy(F.col("a").alias("id")).agg(F.least(F.col("id"), F.min("b")).alias("label"), F.lit(True).alias("moved")), f"{at}/0")
-    for n in range(1, 200):
+    n, moved = 0, True
+    while moved:  # labels only fall, so this ends; when none moves, both ends of every edge agree
+        n += 1
         near = both.join(labels.select(F.col("id").alias("b"), "label"), "b").groupBy(F.col("a").alias("id")).agg(F.min("label").alias("near"))
         step = labels.join(near, "id").select("id", F.col("label").alias("old"), F.least("label", "near").alias("mid"))
+        # the smaller label goes to the node and to the root of the label that it replaces
+        sent = step.union(step.where("mid < old").select(F.col("old").alias("id"), F.lit(None).cast("long").alias("old"), "mid"))
+        step = sent.groupBy("id").agg(F.max("old").alias("old"), F.min("mid").alias("mid"))
         jump = step.join(labels.select(F.col("id").alias("mid"), F.col("label").alias("far")), "mid")
         labels = common.table(spark, jump.select("id", F.col("far").alias("label"), (F.col("far") < F.col("old")).alias("moved")), f"{at}/{n}")
-        if labels.where("moved").isEmpty():
-            break
+        moved = not labels.where("moved").isEmpty()
         common.remove(spark, f"{at}/{n - 1}")
     return labels.select("id", "label")
 
