@@ -265,6 +265,17 @@ def test_base_spans_against_plain_code(spark, field):
             assert kind != "crf" or not any(x < b and y > a for _, x, y in base_by_hand(text))
 
 
+def test_field_adds_what_base_spans_leave(spark, field, monkeypatch):
+    tag_all = lambda self, scores: np.array([secrets.BEGIN] + [secrets.INSIDE] * (len(scores) - 1), np.int8)
+    monkeypatch.setattr(secrets.Field, "decode", tag_all)
+    cut = lambda t: [(k, t.encode()[a:b].decode()) for k, a, b in secrets.spans(t, field)]
+    assert cut("password=Abcdefghijkl!mn$opqr") == [("assign", "password=Abcdefghijkl"), ("crf", "!mn$opqr")]
+    assert cut("postgres://u:PASS@host/db?token=abcdefghijkl") == [("crf", "postgres://u:PASS@host/db?"), ("assign", "token=abcdefghijkl")]
+    assert cut("KEY aa 0123456789abcdef é🙂 END") == [("crf", "KEY aa"), ("hex", "0123456789abcdef"), ("crf", "é🙂 END")]
+    assert cut("token='abcdefghijkl', token='abcdefghijkl'") == [("assign", "token='abcdefghijkl")] * 2
+    assert [secrets.uncovered(0, 9, x) and list(secrets.uncovered(0, 9, x)) for x in ([], [(0, 9)], [(2, 5), (3, 4), (4, 6)])] == [[(0, 9)], [], [(0, 2), (6, 9)]]
+
+
 def test_op6_digests(spark):
     texts = dict(documents(spark))
     for r in queries.op6_secret_scans(spark, SF).collect():

@@ -3,7 +3,8 @@
 The patterns (``BASE``) give the base spans.  The field tags words as begin,
 inside or outside of a secret from their shape, their neighbours and features
 of the whole file; Viterbi decoding finds the best tags of whole texts, and
-tagged words that no base span touches are added as kind ``crf``.
+the parts of tagged words that no base span covers are added as kind ``crf``
+(parts of white space and quotes or stops alone are left out).
 
 The model is fitted by maximum likelihood (forward-backward) on texts that
 ``synthetic`` makes from a seed: prose, tables, shouting, code, numbers and
@@ -316,6 +317,16 @@ def model() -> Field:
     return _model
 
 
+def uncovered(a: int, b: int, taken) -> Iterator[tuple[int, int]]:
+    """The parts of a..b outside the taken (start, end), which come by start."""
+    for x, y in taken:
+        if a < x:
+            yield a, int(x)
+        a = max(a, int(y))
+    if a < b:
+        yield a, b
+
+
 def spans(text: str, field: Field) -> list[tuple[str, int, int]]:
     """All (kind, start, end) in bytes, by start and then kind as listed."""
     data = text.encode("utf-8", "replace")
@@ -332,8 +343,11 @@ def spans(text: str, field: Field) -> list[tuple[str, int, int]]:
             a, b = int(starts[i]), int(ends[j - 1])
             word = data[a:b]
             a, b = a + len(word) - len(word.lstrip(_STRIP.encode())), b - (len(word) - len(word.rstrip(b"\"'`,;.:()[]{}<>")))
-            if a < b and not ((taken[:, 0] < b) & (taken[:, 1] > a)).any():
-                found.append(("crf", a, b))
+            for x, y in uncovered(a, b, taken[(taken[:, 0] < b) & (taken[:, 1] > a)]):
+                piece = data[x:y]
+                x, y = x + len(piece) - len(piece.lstrip()), y - (len(piece) - len(piece.rstrip()))
+                if data[x:y].strip(_STRIP.encode()):
+                    found.append(("crf", x, y))
     return sorted(found, key=lambda s: (s[1], KINDS.index(s[0])))
 
 
