@@ -97,6 +97,24 @@ def field_obs(spark):
     return rows.select("row", "col", "unit", "ts", curve.alias("ndvi"))
 
 
+def test_units_run_over_their_own_windows(spark, tmp_path):
+    months = spark.createDataFrame([("EARLY", "R", "10"), ("LATE", "R", "1")], "name string, region string, planting_month_raw string")
+    days = spark.range(80).select(F.explode(F.array(F.lit("EARLY"), F.lit("LATE"))).alias("unit"), (F.col("id") * 5).cast("int").alias("d"))
+    rows = days.withColumn("ts", F.expr("timestamp_ntz'2025-09-01' + make_dt_interval(d)")).withColumn("row", F.lit(0)).withColumn("col", F.when(F.col("unit") == "LATE", 50).otherwise(0))
+    peak = F.when(F.col("unit") == "LATE", 250).otherwise(110)  # day 159 of the later unit's own window, past day 210 of the earlier one's
+    obs = rows.select("row", "col", "unit", "ts", (0.15 + 0.7 * F.exp(-0.5 * F.pow((F.col("d") - peak) / 25.0, F.lit(2)))).alias("ndvi"))
+    r = Runner(spark, Settings(season="dry", season_year=2026, which="season", level="provincial"), months, obs, log=lambda *_: None)
+
+    def made(name, seen=obs, **how):
+        r.obs = seen
+        r.run_periodic(str(tmp_path / name), names=["EARLY", "LATE"], as_of="2026-06-20", **how)
+        return {(x["unit"], str(x["label"])): x["growth_stage"] for x in spark.read.parquet(str(tmp_path / name / "stages")).collect()}
+
+    both, late = made("both"), made("late", only=["LATE"])
+    assert {k: v for k, v in both.items() if k[0] == "LATE"} == late and max(late.values()) > 0
+    assert made("cut", obs.where("ts < timestamp_ntz'2026-06-21'")) == both  # nothing after the day of the run counts
+
+
 def test_runs(spark, field_obs, tmp_path, capsys):
     c = Settings(season="dry", season_year=2026, which="season", level="provincial")
     r = Runner(spark, c, units(spark).where("name <> 'BETA'"), field_obs, log=lambda *_: None)

@@ -1,8 +1,8 @@
 """Periodic and recent runs, their plans, outputs, mosaics and logs.
 
-All units and periods of a run are one DataFrame plan: cycles once, stages for
-every period by the small calendar, one partitioned write, one aggregation of
-areas.  Finished (unit, period) pairs are left out by an anti join.
+All units and periods of a run are one DataFrame plan: cycles once for each
+distinct season window, stages for every period by the small calendar, one
+partitioned write, one aggregation of areas.  Finished (unit, period) pairs are left out by an anti join.
 """
 
 from __future__ import annotations
@@ -10,6 +10,7 @@ from __future__ import annotations
 import datetime as dt
 from collections.abc import Callable
 from dataclasses import replace
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -94,8 +95,8 @@ class Runner:
 
     def run_periodic(self, out_dir: str, level: str | None = None, names: list[str] = (), as_of: str | None = None, only: list[str] = (), start_from: str | None = None) -> dict:
         """Runs all units and periods that are due and not saved; returns paths and outcome counts."""
-        c = self.settings
-        plan = self.plan(level, names, as_of).select("name", "season_start", "season_end", "label", "p_start", "p_end")
+        c, day = self.settings, _day(as_of)
+        plan = self.plan(level, names, day).select("name", "season_start", "season_end", "label", "p_start", "p_end")
         if only:
             plan = plan.where(F.col("name").isin(list(only)))
         if start_from:
@@ -104,19 +105,25 @@ class Runner:
         due = plan if saved is None or not c.skip_existing else admin.missing(plan, saved)
         due = due.cache()
         try:
-            windows = due.agg(F.min("season_start").alias("a"), F.max("season_end").alias("z")).head()
+            # each unit has its own season, up to the day of the run; few windows differ, as planting months make them
+            own = due.select(F.col("name").alias("unit"), "season_start", F.least("season_end", F.lit(day).cast("date")).alias("season_end")).distinct()
+            windows = own.select("season_start", "season_end").distinct().orderBy("season_start", "season_end").collect()
             all_units = plan.select("name").distinct()
-            if windows["a"] is None:
+            if not windows:
                 log = all_units.select("name", F.lit("skipped").alias("status"))
             else:
-                obs = self.obs.join(due.select(F.col("name").alias("unit")).distinct(), "unit", "left_semi")
-                cycles = self.smoothed(self.cycles(obs, str(windows["a"]), str(windows["z"])))
+                obs = self.obs.where(F.to_date("ts") <= F.lit(day).cast("date"))
+                parts = []
+                for a, z in windows:
+                    units = own.where((F.col("season_start") == F.lit(a)) & (F.col("season_end") == F.lit(z))).select("unit")
+                    parts.append(self.cycles(obs.join(units, "unit", "left_semi"), str(a), str(z)))
+                cycles = self.smoothed(reduce(DataFrame.unionByName, parts))
                 rows = cycles.join(due.select(F.col("name").alias("unit"), "label", "p_start", "p_end"), "unit")
                 stage = stages.stage_over(F.unix_date("p_start"), F.unix_date("p_end"), c.classify)
                 rows = rows.select(file_name(F.col("unit")).alias("unit_file"), "unit", "label", "row", "col", stage.alias("growth_stage"))
                 rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("label", "unit_file").parquet(f"{out_dir}/stages")
                 if c.save_quality:
-                    year = int(str(windows["a"])[:4])
+                    year = windows[0]["season_start"].year
                     stages.encoded(cycles.withColumn("pixel_id", F.struct("unit", "row", "col")).drop("unit", "row", "col"), year).write.mode("overwrite").parquet(f"{out_dir}/quality-{year}")
                 made = self.spark.read.parquet(f"{out_dir}/stages")
                 seen = made.select("unit", "label").distinct()
