@@ -575,7 +575,7 @@ _UNIT_SPAN = "SELECT n_nationkey, name, make_date(2026, CAST(month AS BIGINT), 1
 @query(f"""WITH p AS (SELECT n_nationkey, name, len(list_filter(generate_series(s, e, INTERVAL 1 MONTH), lambda x: x <= TIMESTAMP '2026-09-10')) AS periods FROM ({_UNIT_SPAN}))
 SELECT name, periods, CASE WHEN periods = 0 THEN 'out_of_season' WHEN NOT EXISTS (SELECT 1 FROM customer WHERE c_nationkey = n_nationkey) THEN 'no_coverage' ELSE 'success' END AS status FROM p""")
 def run_log(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Outcome of a whole periodic run over the analytic pixels, one row a unit."""
+    """Statuses to expect of a plan, one row a unit: its periods, and if the unit has analytic pixels; nothing is run."""
     from verdure.plans import runner
 
     return runner.dry_log(spark, sf_dir)

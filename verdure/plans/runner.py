@@ -203,7 +203,7 @@ def per_tile(obs: DataFrame, tile_cells: int, fn, schema) -> DataFrame:
 
 
 def dry_log(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The outcomes that a run over the analytic pixels would log: units with and without pixels."""
+    """Statuses to expect of a plan, without a run: units out of season (which a run does not log), and with and without analytic pixels."""
     from verdure.plans import bindings as b
 
     units = b.units(spark, sf_dir)
