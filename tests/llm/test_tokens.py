@@ -149,6 +149,34 @@ def test_plans_hold_every_capacity(counts, documents, attention, rule):
         assert at <= 64 and len(places) <= (documents or 64) and sum(s * s for _, s in places) <= (attention or 4096)
 
 
+@settings(max_examples=60, deadline=None)
+@given(st.dictionaries(st.integers(1, 64), st.integers(1, 12), min_size=1, max_size=12), st.sampled_from([None, 3]), st.sampled_from([None, 2500]), st.sampled_from(["norm", "dot"]))
+def test_plans_are_the_choice_piece_by_piece(counts, documents, attention, rule):
+    """Against the rule applied to one piece after the other."""
+    counts = {s: n for s, n in counts.items() if not attention or s * s <= attention}
+    limit = np.array([64, documents or 64, attention or 4096])
+    bins: list = []
+    for size in sorted(counts, reverse=True):
+        need = np.array([size, 1, size * size])
+        for _ in range(counts[size]):
+            fits = [i for i, b in enumerate(bins) if (b[0] >= need).all()]
+            if not fits:
+                bins.append([limit.copy(), []])
+                best = len(bins) - 1
+            elif rule == "norm":
+                best = min(fits, key=lambda i: round(float((((bins[i][0] - need) / limit) ** 2).sum()), 12))
+            else:
+                best = max(fits, key=lambda i: round(float((bins[i][0] / limit * need / limit).sum()), 12))
+            bins[best][0] -= need
+            bins[best][1].append(size)
+    plan = packing.Plan(counts, 64, documents=documents, attention=attention, rule=rule)
+    got = defaultdict(list)
+    for size, n in counts.items():
+        for s in plan.place(np.full(n, size), np.arange(n))[0].tolist():
+            got[s].append(size)
+    assert sorted(sorted(x) for x in got.values()) == sorted(sorted(b[1]) for b in bins)
+
+
 def test_plan_is_near_the_least():
     rng = np.random.default_rng(0)
     sizes, n = np.unique(np.minimum(4096, rng.lognormal(6, 1, 20_000).astype(int) + 1), return_counts=True)
@@ -184,6 +212,20 @@ def test_shards_detect_damage():
         token_store.open_shard(bytes(broken))
 
 
+@pytest.mark.parametrize("n", [1_000_000, 2_000_000, 10_000_000])
+def test_long_white_space(byte, n):
+    for text in [" " * n] if n > 2_000_000 else [" " * n, "a" + "\n" * n + "b", "\t" * n + "<|endoftext|>" + "\u3000 " * (n // 2) + "\n1"]:
+        assert ids(byte[1].encode(text)) == byte[0].encode(text, add_special_tokens=False).ids
+
+
+def test_runs_of_white_space_are_cut_by_the_pattern(byte, monkeypatch):
+    monkeypatch.setattr(text_units, "_LONG_SPACE", text_units.re.compile(text_units._LONG_SPACE.pattern.replace("1000", "2")))
+    rng = random.Random(5)
+    for _ in range(1000):
+        text = "".join(rng.choices(["a", "b", " ", "  ", "\n", "\t", "\xa0", "\u3000", "'s", "<|endoftext|>", "1", "!", "\x1c", "\x85"], k=20))
+        assert byte[1]._pieces(text) == byte[0].encode(text, add_special_tokens=False).ids
+
+
 def check_shards(got, docs, library):
     at = 0
     for (i, text), r in zip(docs, got, strict=True):

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import os
 import tempfile
 import uuid
@@ -25,16 +27,40 @@ def prepare(spark: SparkSession) -> None:
 def shared_dir(spark: SparkSession, tag: str) -> str:
     """A new folder name below the cluster's shared checkpoint folder.
 
-    ``spark.checkpoint.dir`` names that folder.  Only where it is unset, as in
-    tests on one machine, a local temporary folder takes its place.
+    ``spark.checkpoint.dir`` names that folder.  Where it is unset, a session
+    whose executors are threads of this process (``local[...]``, as in tests)
+    takes a temporary folder, and any other raises.  What is still there when
+    the driver ends is deleted then.
     """
     prepare(spark)
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         root = os.environ.get("VERDURE_TEST_SHARED")
         if not root:
             root = os.environ["VERDURE_TEST_SHARED"] = tempfile.mkdtemp(prefix="verdure-shared-")
-    return f"{root.rstrip('/')}/{tag}-{uuid.uuid4().hex}"
+    path = f"{root.rstrip('/')}/{tag}-{uuid.uuid4().hex}"
+    if not _scratch:
+        atexit.register(_clear)
+    _scratch.append((spark, path))
+    return path
+
+
+_scratch: list[tuple[SparkSession, str]] = []
+
+
+def _clear() -> None:
+    for spark, path in _scratch:
+        with contextlib.suppress(Exception):  # the session may have ended
+            remove(spark, path)
+    _scratch.clear()
+
+
+def planned_bytes(df: DataFrame, text_col: str) -> int:
+    """The optimizer's estimate of a frame's size, from its files; where it has none, the sum of the texts' lengths."""
+    found = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return found if found < 1 << 60 else df.agg(F.coalesce(F.sum(F.length(text_col)), F.lit(0))).head()[0]
 
 
 def table(spark: SparkSession, df: DataFrame, path: str) -> DataFrame:

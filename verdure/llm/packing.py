@@ -4,14 +4,19 @@ A sequence (bin) has three capacities: tokens, documents and attention cost
 (the sum of squared piece lengths).  Pieces are placed in descending length
 into an open bin that fits under every constraint, the one whose residual
 vector has the least weighted norm afterwards, or whose weighted dot product
-with the piece is largest.
+with the piece is largest.  All three count alike by default.  A bin is opened
+only where none fits.
 
 Pieces of one length are alike, so the plan is made from the histogram of
 lengths alone: at most ``capacity`` counts come to the driver, however large
 the input.  Bins in the same state are handled together with their number, so
 the plan is a bounded list of patterns too.  The executors then look up the
 sequence and offset of each piece by its length and its rank among pieces of
-that length; ranks come from a count for each (writer part, length).
+that length; ranks come from a count for each (writer part, length).  Placing
+pieces of one length together is the choice piece by piece: under the norm rule
+the bin just filled leaves the least residual again as long as it fits, under
+the dot rule bins in one state come one after the other, and a new bin is the
+only one that fits until it is full.
 
 Only documents longer than the capacity are cut, into pieces of the capacity
 and a shorter last one.
@@ -40,7 +45,7 @@ CAPACITY = 4096
 class Plan:
     """Where the r-th piece of a length goes: tables of bounded size."""
 
-    def __init__(self, counts: dict[int, int], capacity: int = CAPACITY, documents: int | None = None, attention: int | None = None, weights: tuple[float, float, float] = (1.0, 0.01, 0.01), rule: str = "norm"):
+    def __init__(self, counts: dict[int, int], capacity: int = CAPACITY, documents: int | None = None, attention: int | None = None, weights: tuple[float, float, float] = (1.0, 1.0, 1.0), rule: str = "norm"):
         if rule not in ("norm", "dot"):
             raise ValueError(rule)
         self.limit = np.array([capacity, documents or capacity, attention or capacity * capacity], np.int64)
@@ -60,7 +65,7 @@ class Plan:
                     rest, number, own = left[g], int(bins[g]), filled[g]
                 else:
                     rest, number, own, g = self.limit, 1 << 62, (), -1
-                each = int((rest // need).min()) if rule == "norm" else 1
+                each = int((rest // need).min()) if rule == "norm" or g < 0 else 1
                 full, part = divmod(n, each)
                 full = min(full, number)
                 new = [(full, each)] if full else [(1, part)]

@@ -24,6 +24,8 @@ PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\
 WORDS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\t-\r \x85\xa0\p{L}\p{N}]+")
 _PLAIN = re.compile("[\0-\x1d\x1f-ɏ]*")  # composed, stable characters; 0x1E marks word ends
 _UNIT = re.compile("[^ \t-\r]+")
+#: Unicode's white space, as the byte vocabulary's pattern takes it, in runs that are long for a backtracking engine.
+_LONG_SPACE = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]{1000,}")
 _END = b"\x1e"
 
 
@@ -56,17 +58,41 @@ class _Spec:
 
 
 class ByteEncoder:
-    """Whole texts through the engine, special tokens included."""
+    """Whole texts through the engine, special tokens included.
+
+    The engine's pattern goes back over a run of white space, which it can't do
+    for some 400 000 characters.  Texts that may hold such a run are cut by the
+    pattern's own rule, which gives the same pieces: a run is one piece, without
+    its last character if other text follows.
+    """
 
     def __init__(self, path: str):
         own = _Spec(path)
         if own.spec["normalizer"] or own.spec["pre_tokenizer"] != {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": True}:
             raise ValueError("this vocabulary needs another encoder")
         self.engine = tiktoken.Encoding("bytes", pat_str=PATTERN, mergeable_ranks=own.ranks, special_tokens=own.special)
+        self.special = own.special
+        self.marks = re.compile("(" + "|".join(map(re.escape, sorted(own.special, key=len, reverse=True))) + ")") if own.special else None
 
     def encode(self, text: str) -> bytes:
+        if len(text) > 100_000 and _LONG_SPACE.search(text):
+            return np.array(self._pieces(text), "<u4").tobytes()
         return self.engine.encode_to_numpy(text, allowed_special="all").astype("<u4").tobytes()
 
+    def _pieces(self, text: str) -> list[int]:
+        out: list[int] = []
+        for part in self.marks.split(text) if self.marks else [text]:
+            if part in self.special:
+                out.append(self.special[part])
+                continue
+            at = 0
+            for run in _LONG_SPACE.finditer(part):
+                end = run.end() - (run.end() < len(part))
+                out += self.engine.encode_ordinary(part[at : run.start()]) + self.engine._encode_single_piece(part[run.start() : end])
+                at = end
+            out += self.engine.encode_ordinary(part[at:])
+        return out
+
 
 class WordEncoder(dict):
     """Remembers the ids of units (runs without white space); at most ``most``, so memory stays bounded."""

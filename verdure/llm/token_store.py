@@ -17,8 +17,9 @@ then blocks, each u32 deflated size, u32 CRC-32 of the raw bytes, data: the
 planes, and then the documents' ids (i64), null flags (u8) and lengths (i64).
 
 Edge cases: a null or empty text is a document of its end id alone.  Null ids
-come first; repeated ids stand in order of their texts.  An empty table gives
-an empty result.  Other columns are ignored.
+come first; rows of one id, and those without one, stand in order of a hash of
+their texts, by which they are parted too.  An empty table gives an empty
+result.  Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -34,7 +35,7 @@ from pyspark.sql import functions as F
 
 from verdure.llm import common, text_units
 
-MAGIC, ROLL = b"VWM1", 8 << 20
+MAGIC, ROLL, RANGE = b"VWM1", 8 << 20, 64 << 20
 
 
 class WaveletMatrix:
@@ -215,7 +216,9 @@ def write_shards(docs: DataFrame, tokenizer: str, end_id: int, keeps_space: bool
     spark = docs.sparkSession
     at = common.shared_dir(spark, "tokens")
     plain = docs.select(F.col(id_col).cast("long").alias("id"), common.text_of(text_col).alias("text"))
-    dealt = plain.repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), "id").sortWithinPartitions("id", "text")
+    # ranges follow the input's size; the hash parts the rows without an id, and repeated ids
+    ranges = max(int(spark.conf.get("spark.sql.shuffle.partitions")), common.planned_bytes(plain, "text") // RANGE)
+    dealt = plain.withColumn("h", F.xxhash64("text")).repartitionByRange(ranges, "id", "h").sortWithinPartitions("id", "h", "text").drop("h")
     made = dealt.mapInArrow(_write(f"{at}/shards", tokenizer, keeps_space, end_id, width, roll), "part int, nth int, path string, ids long, documents long, bytes long")
     manifest = common.table(spark, made, f"{at}/manifest")
     # sums by part first: the ordered window then sees one row a part, and one part's shards
