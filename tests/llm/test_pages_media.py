@@ -6,6 +6,8 @@ import io
 import zlib
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 
 from verdure.llm import common, html_extract, media, queries, warc
@@ -67,12 +69,56 @@ def test_media_against_plain_code(spark, tmp_path):
     assert media.media_columns(media.read_media(spark, folder, manifest)).count() == 0
 
 
+def feature_by_hand(payload):
+    """The documented features, number by number."""
+    n = len(payload)
+    mean, square = sum(payload) * 1000 // n, (sum(x * x for x in payload) * n - sum(payload) ** 2) * 1000 // n**2
+    bins = [sum(x // 32 == b for x in payload) * 10_000 // n for b in range(8)]
+    rows = [payload[i : i + 24] for i in range(0, n, 24)]
+    cuts = [int(c) for c in np.linspace(0, len(rows), 9)]
+    bits = ""
+    for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+        own = rows[a:b] or rows[a : a + 1]
+        thirds = [sum(r[c] for r in own for c in range(3 * k, 3 * k + 3)) for k in range(8)]
+        bits += "".join("1" if thirds[k] > thirds[k - 1] else "0" for k in range(8))
+    return f"mean={mean};var={square};hist={','.join(map(str, bins))};dhash={int(bits, 2):016x}"
+
+
+def test_op3_whole_table(spark):
+    """The registered query, every column, against plain code; the stored form by its own format's rules."""
+    import struct
+
+    texts = {r["doc_id"]: r["text"] for r in queries.documents(spark, "/root/testdata/sf0.001").collect()}
+    got = queries.op3_media_columns(spark, "/root/testdata/sf0.001").collect()
+    assert sorted(r["doc_id"] for r in got) == sorted(texts)
+    same = {}
+    for r in got:
+        data = (texts[r["doc_id"]] or "").encode()
+        p = data + b"\xff" * ((-len(data)) % 576 or (0 if data else 576))
+        lines = b"".join(b"\0" + p[i : i + 24] for i in range(0, len(p), 24))
+        chunk = lambda kind, body: struct.pack(">I", len(body)) + kind + body + struct.pack(">I", zlib.crc32(kind + body))
+        png = b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", struct.pack(">IIBBBBB", 24, len(p) // 24, 8, 0, 0, 0, 0)) + chunk(b"IDAT", zlib.compress(lines, 3)) + chunk(b"IEND", b"")
+        want = (len(data), len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-32:]), len(png), hashlib.sha256(png).hexdigest(), feature_by_hand(p))
+        assert tuple(r[c] for c in ("n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")) == want
+        assert same.setdefault(data, want) == want
+
+
+def test_media_edges(spark):
+    rows = [(-7, "below"), (3, "one text"), (3, "another text"), (3, "one text"), (None, None)]
+    got = media.media_columns(media.read_media(spark, *media.store(spark.createDataFrame(rows, "doc_id long, text string")))).collect()
+    assert sorted((r["doc_id"] or 0, r["n_bytes"]) for r in got) == [(-7, 5), (0, 0), (3, 8), (3, 8), (3, 12)]
+
+
 def test_media_ranges_and_retries(tmp_path):
     box = media._Archive(str(tmp_path))
     for i in range(50):
         box.add(f"{i:08d}_{i}.png", media.encode_png(media.pad(b"z" * i * 100)))
     name, size, n = box.close()
-    reader = media._Reader(str(tmp_path), [[name, size, n]], 2000, 3)
+    manifest = tmp_path / "manifest"
+    manifest.mkdir()
+    pq.write_table(pa.table({"name": [name], "bytes": [size], "members": [n]}), manifest / "part-0.parquet")
+    (manifest / "_SUCCESS").touch()
+    reader = media._Reader(str(tmp_path), str(manifest), 2000, 3)
     parts = reader.partitions()
     seen = [m for p in parts for b in reader.read(p) for m in b.column("member").to_pylist()]
     assert len(parts) > 3 and sorted(seen) == [f"{i:08d}_{i}.png" for i in range(50)] and len(set(seen)) == 50
@@ -110,18 +156,49 @@ def test_extraction_on_held_out_pages(network):
     assert right / total > 0.97
 
 
-def test_extraction_of_the_tables_articles(spark, network):
+def test_op10_whole_table(spark):
+    """The registered query, every column, against the articles of the table's pages."""
     import html
     import re
 
-    bad = n = 0
-    rows = queries.pages(spark, "/root/testdata/sf0.01").collect()
-    for r, text in zip(rows, network.texts([r["html"] or "" for r in rows]), strict=True):
-        article = re.search(r"<article>(.*?)(</article>|$)", r["html"], re.S)[1]
-        want = " ".join(html.unescape(re.sub(r"</?(p|h1|br)[^>]*>", " ", article).replace("<b>", "")).split())
-        bad += want != text
-        n += 1
-    assert n == 250 and bad <= 0.02 * n
+    rows = {r["page_id"]: r for r in queries.pages(spark, "/root/testdata/sf0.01").collect()}
+    got = queries.op10_html_extraction(spark, "/root/testdata/sf0.01").collect()
+    assert sorted(r["page_id"] for r in got) == sorted(rows) and len(rows) == 250
+    bad = 0
+    for r in got:
+        page = rows[r["page_id"]]
+        assert r["url"] == page["url"] and r["n_chars"] == len(r["text"])
+        article = re.search(r"<article>(.*?)(</article>|$)", page["html"], re.S)[1]
+        bad += r["text"] != " ".join(html.unescape(re.sub(r"</?(p|h1|br)[^>]*>", " ", article).replace("<b>", "")).split())
+    assert bad <= 2
+
+
+@pytest.mark.parametrize("tag", ["noscript", "svg", "object", "math", "canvas", "template"])
+def test_unclosed_elements_keep_what_follows(network, tag):
+    one, two, three = (" ".join([w] * 12 + ["and more words of the main text."]) for w in ("first", "second", "third"))
+    page = f"<nav><a href=x>menu</a></nav><article><h1>The title of it</h1><p>{one}</p><{tag}><p>{two}</p></article><article><p>{three}</p></article><footer>&copy; x</footer>"
+    text = network.texts([page])[0]
+    assert "first" in text and "third" in text and ("second" in text) == (tag != "template")
+    assert "menu" not in network.texts([f"<nav><a href=x>menu</a><{tag}></nav><article><p>{one}</p></article>"])[0]
+
+
+def test_whole_paths_and_blocks_are_read(network):
+    """No part of a path or block is cut off: what is far away changes the vector too."""
+    page = lambda outer, words: f'<div class="{outer}">' + "<div>" * 300 + f"<p>{words}</p>"
+    one = lambda outer, words: html_extract.vectors(html_extract.blocks(page(outer, words)))[0]
+    far = "plain " * 2000
+    assert (one("menu", far) != one("article", far)).any() and (one("menu", far + "end") != one("menu", far + "9999 8888 . . .")).any()
+    assert (one("x " * 300 + "menu", "a b") != one("x " * 300 + "article", "a b")).any()
+    deep = "<b>" * 3000 + "</i></b>" * 3000
+    assert html_extract.blocks(f"<nav>{deep}</nav><p>text") and len(html_extract.blocks("<div>" * 5000 + "x" + "</div>" * 5000)) == 1
+
+
+def test_long_pages_are_labelled_in_steps(network, monkeypatch):
+    found = html_extract.blocks("".join(html_extract.synthetic(40, seed=77)))
+    whole = network.logits([html_extract.vectors(found)])[0]
+    monkeypatch.setattr(html_extract, "CHUNK", 97)
+    assert len(found) > 300 and np.abs(network.long_logits(found) - whole).max() < 1e-4
+    assert network.texts(["".join(html_extract.synthetic(40, seed=77))])[0] == " ".join(f[0] for f, z in zip(found, whole, strict=True) if z > 0)
 
 
 def test_extraction_edges(spark, network):

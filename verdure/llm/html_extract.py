@@ -12,13 +12,20 @@ lists, tables, quotations and code among menus, headers, footers, sidebars,
 notices, adverts, forms and reader comments, in several page styles and with
 unclosed tags.  No corpus rows are used.
 
-Scripts, styles, templates, comments and markup hold no text.  White space is
-what ``str.split`` takes for it, after character references are decoded.
+Scripts, styles, templates, frames, drawings (svg), comments and markup hold no
+text; the content of ``object``, ``noscript``, ``canvas`` and ``math`` is labelled
+like any other.  A dropped element whose end tag is missing ends with its parent,
+and a drawing also before the next HTML tag, as in browsers; an unclosed script or
+style takes the rest of the page, as there.  White space is what ``str.split``
+takes for it, after character references are decoded.
+
+Features read whole paths (an open element holds the bins of all elements around
+it), whole blocks and all of a page.
 
 Edge cases: null or empty pages give an empty text.  Ids (null or repeated)
 and URLs are passed through; an empty table gives an empty result.  Other
-columns are ignored.  Pages are labelled in groups of like length, so one very
-long page costs memory in proportion to itself only.
+columns are ignored.  Pages are labelled in groups of like length, and a very long
+page in steps, so it costs memory in proportion to its own text only.
 """
 
 from __future__ import annotations
@@ -26,68 +33,104 @@ from __future__ import annotations
 import html as html_lib
 import re
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 from html.parser import HTMLParser
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from verdure.llm import common
+from verdure.llm import common, textnum
 
 _BLOCK = frozenset("address article aside blockquote body br button caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hr html label legend li link main menu meta nav ol optgroup option p pre section select summary table tbody td textarea tfoot th thead title tr ul".split())
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-_DROP = frozenset(("script", "style", "template", "noscript", "svg", "iframe", "object", "canvas", "math"))
+_DROP = frozenset(("script", "style", "template", "svg", "iframe"))
 _CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 _ENDS_P = _BLOCK - {"br", "button", "label", "link", "meta", "option", "select", "optgroup", "textarea", "html", "body", "head"}
 _STOPS = frozenset(("article", "aside", "body", "div", "footer", "form", "header", "main", "nav", "section", "table", "ul", "ol", "dl"))
+#: Tags that end an open drawing, as in browsers (besides the blocks).
+_BREAKS = (_BLOCK - {"title", "link", "textarea"}) | frozenset("b big code em embed i img nobr s small span strike strong sub sup tt u var".split())
+
+PATH, NAMES, WORDS, PLAIN = 64, 96, 24, 12
+INPUT, HIDDEN, CHUNK = PATH + NAMES + WORDS + PLAIN, 20, 2048
+_memo: dict[str, int] = {}
+
+
+def _bin(word: str, of: int) -> int:
+    key = f"{of}{word}"
+    if (at := _memo.get(key)) is None:
+        if len(_memo) > 200_000:
+            _memo.clear()
+        at = _memo[key] = zlib.crc32(key.encode("utf-8", "replace")) % of
+    return at
+
+
+class Open(NamedTuple):
+    """An open element; all but its tag include what the elements around it say."""
+
+    tag: str
+    bits: int  # bins of the tags and names of the whole path
+    dropped: bool
+    linked: bool
+    keep: bool | None
+
+
+_TOP = Open("", 0, False, False, None)
 
 
 class Blocks(HTMLParser):
-    """Collects (text, path, link characters, keep) for every leaf block of a page."""
+    """Collects (text, (bits of the path, last tag), link characters, keep) for every leaf block of a page."""
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.stack: list[tuple[str, tuple[str, ...], bool | None]] = []
-        self.found: list[tuple[str, tuple, int, bool]] = []
+        self.stack: list[Open] = [_TOP]
+        self.open: Counter[str] = Counter()
+        self.found: list[tuple[str, tuple[int, str], int, bool]] = []
         self.text: list[str] = []
-        self.linked, self.dropped, self.paths = 0, 0, None
+        self.linked, self.place = 0, None
 
     def flush(self) -> None:
         words = "".join(self.text).split()
         if words:
-            keep = next((k for _, _, k in reversed(self.paths) if k is not None), False)
-            self.found.append((" ".join(words), tuple((t, c) for t, c, _ in self.paths), self.linked, keep))
-        self.text, self.linked, self.paths = [], 0, None
+            place = self.place or _TOP
+            self.found.append((" ".join(words), (place.bits, place.tag), self.linked, bool(place.keep)))
+        self.text, self.linked, self.place = [], 0, None
 
     def _pop(self, names: tuple[str, ...], stops: frozenset) -> None:
-        for i in range(len(self.stack) - 1, -1, -1):
-            if self.stack[i][0] in names:
+        if not any(map(self.open.__getitem__, names)):
+            return
+        for i in range(len(self.stack) - 1, 0, -1):
+            if self.stack[i].tag in names:
+                self.open.subtract(x.tag for x in self.stack[i:])
                 del self.stack[i:]
                 return
-            if self.stack[i][0] in stops:
+            if self.stack[i].tag in stops:
                 return
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
-        if tag in _BLOCK:
+        if self.open["svg"] and tag in _BREAKS:
+            self._pop(("svg",), frozenset())
+        if tag in _BLOCK and not self.stack[-1].dropped:
             self.flush()
-        if tag in _DROP:
-            self.dropped += 1
         if tag in _VOID:
             return
         if tag in _CLOSES:
             self._pop(_CLOSES[tag], _STOPS)
         elif tag in _ENDS_P:
             self._pop(("p",), _STOPS)
-        if len(self.stack) < 200:
-            words, keep = (), None
-            for k, v in attrs:
-                if k in ("class", "id", "role") and v:
-                    words += tuple(re.findall(r"[a-z]+", v.lower()[:200]))
-                elif k == "data-keep":
-                    keep = v == "1"
-            self.stack.append((tag, words, keep))
+        around = self.stack[-1]
+        bits, keep = around.bits | 1 << _bin(tag, PATH), around.keep
+        for k, v in attrs:
+            if k in ("class", "id", "role") and v:
+                for name in re.findall(r"[a-z]+", v.lower()):
+                    bits |= 1 << (PATH + _bin(name, NAMES))
+            elif k == "data-keep":
+                keep = v == "1"
+        self.stack.append(Open(tag, bits, around.dropped or tag in _DROP, around.linked or tag == "a", keep))
+        self.open[tag] += 1
 
     def handle_startendtag(self, tag: str, attrs: list) -> None:
         if tag in _DROP:
@@ -95,23 +138,22 @@ class Blocks(HTMLParser):
         self.handle_starttag(tag, attrs)
 
     def handle_endtag(self, tag: str) -> None:
-        if tag in _DROP:
-            self.dropped = max(0, self.dropped - 1)
-        if tag in _BLOCK:
+        if tag in _BLOCK and not self.stack[-1].dropped:
             self.flush()
-        self._pop((tag,), _STOPS - {tag} if tag not in _STOPS else frozenset())
+        self._pop((tag,), frozenset() if tag in _STOPS or tag in _DROP else _STOPS)
 
     def handle_data(self, data: str) -> None:
-        if self.dropped:
+        own = self.stack[-1]
+        if own.dropped:
             return
-        if self.paths is None and not data.isspace():
-            self.paths = list(self.stack)
-        if any(t == "a" for t, _, _ in self.stack[-4:]):
+        if self.place is None and not data.isspace():
+            self.place = own
+        if own.linked:
             self.linked += len(data.strip())
         self.text.append(data)
 
 
-def blocks(page: str) -> list[tuple[str, tuple, int, bool]]:
+def blocks(page: str) -> list[tuple[str, tuple[int, str], int, bool]]:
     parser = Blocks()
     parser.feed(page)
     parser.close()
@@ -119,48 +161,43 @@ def blocks(page: str) -> list[tuple[str, tuple, int, bool]]:
     return parser.found
 
 
-PATH, NAMES, WORDS, PLAIN = 64, 96, 24, 12
-INPUT, HIDDEN = PATH + NAMES + WORDS + PLAIN, 20
-_memo: dict[str, int] = {}
+_FOLD = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ.,:;!?()", b"abcdefghijklmnopqrstuvwxyz        ")
+_BYTES = np.zeros((2, 256), np.int64)  # stops, digits
+_BYTES[0, list(b".,;")] = 1
+_BYTES[1, 48:58] = 1
 
 
-def _bin(word: str, of: int) -> int:
-    key = f"{of}{word}"
-    if (at := _memo.get(key)) is None:
-        if len(_memo) > 200_000:
-            _memo.clear()
-        at = _memo[key] = zlib.crc32(key.encode()) % of
-    return at
+def vectors(found: list[tuple[str, tuple[int, str], int, bool]], first: int = 0, total: int | None = None) -> np.ndarray:
+    """One row of features for each block: its whole path, all its words and measures of its whole text.
 
-
-def vectors(found: list[tuple[str, tuple, int, bool]]) -> np.ndarray:
-    """One row of features for each block."""
-    out = np.zeros((len(found), INPUT), np.float32)
-    seen: dict[tuple, np.ndarray] = {}
-    for i, (text, path, linked, _) in enumerate(found):
-        row = out[i]
+    first, total: the place of these blocks among all of the page.
+    """
+    n, total = len(found), total or len(found)
+    out = np.zeros((n, INPUT), np.float32)
+    seen: dict[tuple[int, str], np.ndarray] = {}
+    for i, (_, path, _, _) in enumerate(found):
         if (own := seen.get(path)) is None:
-            own = np.zeros(PATH + NAMES, np.float32)
-            for depth, (tag, names) in enumerate(path[-12:]):
-                own[_bin(tag, PATH)] = 1
-                for name in names:
-                    own[PATH + _bin(name, NAMES)] = 1
-            if path:
-                own[_bin("last " + path[-1][0], PATH)] = 1
-            if len(seen) < 5000:
-                seen[path] = own
-        row[: PATH + NAMES] = own
-        head = text[:400].lower().split(" ")
-        for w in head[:12]:
-            row[PATH + NAMES + _bin(w.strip(".,;:!?()"), WORDS)] += 0.3
-        n = len(text)
-        at = PATH + NAMES + WORDS
-        sample = text[:2000]
-        stops = sum(map(sample.count, ".,;"))
-        row[at : at + PLAIN] = (
-            min(1, n / 20), min(1, n / 80), min(1, n / 300), min(1, n / 1500), min(1, linked / max(1, n)), min(1, 20 * stops / max(1, len(sample))), float(text[-1] in ".!?:;\""), i / max(1, len(found)),
-            min(1, len(found) / 40), float("©" in text or "@" in text), min(1, 3 * sum(c.isdigit() for c in sample[:200]) / max(1, min(n, 200))), float(n < 12),
-        )
+            own = np.unpackbits(np.frombuffer(path[0].to_bytes((PATH + NAMES) // 8, "little"), np.uint8), bitorder="little").astype(np.float32)
+            if path[1]:
+                own[_bin("last " + path[1], PATH)] = 1
+            seen[path] = own
+        out[i, : PATH + NAMES] = own
+    data = "\n".join(f[0] for f in found).encode("utf-8", "replace")
+    buf = np.frombuffer(data, np.uint8)
+    ends = np.append(np.flatnonzero(buf == 10), len(buf))
+    starts = np.append(0, ends[:-1] + 1)
+    at, _, h = textnum.words(data.translate(_FOLD))
+    own = np.searchsorted(starts, at, "right") - 1
+    words = np.bincount(own * WORDS + (h % np.uint64(WORDS)).astype(np.int64), minlength=n * WORDS).reshape(n, WORDS)
+    out[:, PATH + NAMES : -PLAIN] = 0.3 * words / np.sqrt(np.maximum(1, words.sum(1, keepdims=True)))
+    size = np.maximum(1, ends - starts)
+    stops, digits = ((sums := np.append(0, np.cumsum(kind[buf])))[ends] - sums[starts] for kind in _BYTES)
+    chars = np.array([len(f[0]) for f in found])
+    linked = np.array([f[2] for f in found])
+    out[:, -PLAIN:] = np.minimum(1, np.stack((
+        chars / 20, chars / 80, chars / 300, chars / 1500, linked / np.maximum(1, chars), 20 * stops / size, [f[0][-1] in ".!?:;\"" for f in found], (first + np.arange(n)) / total,
+        np.full(n, total / 40), ["\u00a9" in f[0] or "@" in f[0] for f in found], 3 * digits / size, chars < 12,
+    ), axis=1))
     return out
 
 
@@ -168,11 +205,11 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
 
 
-def _forward(x: np.ndarray, w: dict, side: str):
-    """States of one direction over x (pages, blocks, input); keeps what the gradient needs."""
+def _forward(x: np.ndarray, w: dict, side: str, keep: bool = False, state: tuple | None = None):
+    """States of one direction over x (pages, blocks, input), what a gradient needs if asked to keep it, and the last state."""
     n, t, _ = x.shape
     pre = x @ w[side + "x"] + w[side + "b"]
-    h, c = np.zeros((n, HIDDEN), np.float32), np.zeros((n, HIDDEN), np.float32)
+    h, c = state or (np.zeros((n, HIDDEN), np.float32), np.zeros((n, HIDDEN), np.float32))
     states, kept = np.empty((n, t, HIDDEN), np.float32), []
     u = w[side + "h"]
     for k in range(t):
@@ -184,8 +221,9 @@ def _forward(x: np.ndarray, w: dict, side: str):
         th = np.tanh(c)
         h = o * th
         states[:, k] = h
-        kept.append((i, f, o, g, old_h, old_c, th))
-    return states, kept
+        if keep:
+            kept.append((i, f, o, g, old_h, old_c, th))
+    return states, kept, (h, c)
 
 
 def _backward(x: np.ndarray, kept: list, grad: np.ndarray, w: dict, side: str) -> dict:
@@ -226,11 +264,27 @@ class Labeller:
         z = states @ w["out"] + w["bias"]
         return [z[i, :n] for i, n in enumerate(sizes)]
 
+    def long_logits(self, found: list) -> np.ndarray:
+        """The same for one page of any length; features and states are made for CHUNK blocks at a time."""
+        w, n = self.weights, len(found)
+        z = np.full(n, float(w["bias"]), np.float32)
+        cuts = range(0, n, CHUNK)
+        for side, order, step, out in (("f", cuts, 1, w["out"][:HIDDEN]), ("b", reversed(cuts), -1, w["out"][HIDDEN:])):
+            state = None
+            for a in order:
+                x = vectors(found[a : a + CHUNK], a, n)[None, ::step]
+                states, _, state = _forward(x, w, side, state=state)
+                z[a : a + CHUNK] += (states[0] @ out)[::step]
+        return z
+
     def texts(self, pages: list[str]) -> list[str]:
         """Main text of each page."""
         found = [blocks(p) for p in pages]
         out = [""] * len(pages)
         order = sorted((i for i, f in enumerate(found) if f), key=lambda i: len(found[i]))
+        while order and len(found[order[-1]]) > CHUNK:
+            i = order.pop()
+            out[i] = " ".join(f[0] for f, keep in zip(found[i], self.long_logits(found[i]) > 0, strict=True) if keep)
         while order:
             first, most = len(found[order[0]]), 0
             while most < len(order) and most < 512 and len(found[order[most]]) <= 1.3 * first + 4 and (most == 0 or len(found[order[most]]) * (most + 1) <= 40_000):
@@ -241,7 +295,7 @@ class Labeller:
         return out
 
 
-def fit(pages: list[str], epochs: int = 16, size: int = 32, seed: int = 3) -> Labeller:
+def fit(pages: list[str], epochs: int = 18, size: int = 32, seed: int = 5) -> Labeller:
     """Trains on pages whose labels stand in ``data-keep`` attributes, which are no features."""
     rng = np.random.default_rng(seed)
     rows = [(vectors(f), np.array([b[3] for b in f], np.float32)) for f in map(blocks, pages) if f]
@@ -265,8 +319,8 @@ def fit(pages: list[str], epochs: int = 16, size: int = 32, seed: int = 3) -> La
             x *= (rng.random(x.shape) > 0.1).astype(np.float32)
             real = np.arange(x.shape[1])[None] < sizes[:, None]
             turned = _turned(x, sizes)
-            hf, kf = _forward(x, w, "f")
-            hb, kb = _forward(turned, w, "b")
+            hf, kf, _ = _forward(x, w, "f", keep=True)
+            hb, kb, _ = _forward(turned, w, "b", keep=True)
             states = np.concatenate((hf, _turned(hb, sizes)), axis=2)
             d = (_sigmoid(states @ w["out"] + w["bias"]) - y) * real / real.sum()
             d = d.astype(np.float32)
@@ -292,7 +346,7 @@ MAIN = ("content", "article", "post", "entry", "main", "story", "body", "text",
 _SAYINGS = ("© 2024 All rights reserved", "We use cookies to improve your experience. Accept", "Subscribe to our newsletter", "Log in", "Sign up", "Share this", "Read more", "Related posts", "Leave a comment", "Reply", "Advertisement", "Privacy policy", "Terms of use", "Contact us", "About", "Home", "Search", "Posted by", "Previous", "Next", "Skip to content")
 
 
-def synthetic(n: int = 480, seed: int = 17) -> list[str]:
+def synthetic(n: int = 600, seed: int = 17) -> list[str]:
     """Pages with ``data-keep`` on the elements that begin or end main text."""
     rng = np.random.default_rng(seed)
     pick = lambda x: x[int(rng.integers(len(x)))]

@@ -3,8 +3,9 @@
 ``store`` writes every payload as an 8-bit greyscale PNG of 24 samples a row
 into uncompressed ZIP archives in the shared folder, rolled at a bounded size
 and number of members.  ``MediaArchives`` is a Spark data source over them:
-planning lists only the archives that the manifest names and cuts each into
-byte ranges; a task reads the archive's directory (bounded by the roll), takes
+planning reads the manifest, a table in the shared folder with one row an archive
+that a winning task wrote, and cuts each archive into byte ranges; neither a job
+nor a task carries the list.  A task reads the archive's directory (bounded by the roll), takes
 the members whose offset lies in its range, and streams them as Arrow batches.
 A member that can't be read or fails its checksum is retried alone, from its
 own offset.
@@ -20,7 +21,6 @@ empty result.  Other columns are ignored.
 from __future__ import annotations
 
 import hashlib
-import json
 import struct
 import time
 import zlib
@@ -28,6 +28,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyarrow.dataset import dataset
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
@@ -128,12 +129,12 @@ def _write(folder: str):
     return run
 
 
-def store(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[str, list[tuple[str, int, int]]]:
-    """Writes the archives; returns their folder and the manifest, one entry an archive of up to 128 MB."""
+def store(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[str, str]:
+    """Writes the archives; returns their folder and that of the manifest (name, bytes, members), one row an archive of up to 128 MB."""
     at = common.shared_dir(docs.sparkSession, "media")
     rows = docs.select(F.col(id_col).cast("long").alias("id"), common.text_of(text_col).alias("text"))
-    made = rows.mapInArrow(_write(at), "name string, bytes long, members long").collect()
-    return at, sorted((r["name"], r["bytes"], r["members"]) for r in made)
+    common.table(docs.sparkSession, rows.mapInArrow(_write(f"{at}/archives"), "name string, bytes long, members long"), f"{at}/manifest")
+    return f"{at}/archives", f"{at}/manifest"
 
 
 class Range(InputPartition):
@@ -145,7 +146,7 @@ class Range(InputPartition):
 
 
 class MediaArchives(DataSource):
-    """``spark.read.format("media_archives").option("folder", ...).option("manifest", json).load()``."""
+    """``spark.read.format("media_archives").option("folder", ...).option("manifest", folder).load()``."""
 
     @classmethod
     def name(cls) -> str:
@@ -155,15 +156,18 @@ class MediaArchives(DataSource):
         return "archive string, member string, member_offset long, media binary"
 
     def reader(self, schema) -> DataSourceReader:
-        return _Reader(self.options["folder"], json.loads(self.options["manifest"]), int(self.options.get("split", SPLIT)), int(self.options.get("attempts", ATTEMPTS)))
+        return _Reader(self.options["folder"], self.options["manifest"], int(self.options.get("split", SPLIT)), int(self.options.get("attempts", ATTEMPTS)))
 
 
 class _Reader(DataSourceReader):
-    def __init__(self, folder: str, manifest: list, split: int, attempts: int):
+    def __init__(self, folder: str, manifest: str, split: int, attempts: int):
         self.folder, self.manifest, self.split, self.attempts = folder, manifest, split, attempts
 
     def partitions(self) -> list[Range]:
-        return [Range(name, size, at, at + self.split) for name, size, _ in self.manifest for at in range(0, size, self.split)] or [Range("", 0, 0, 0)]
+        system, root = common.file_system(self.manifest)
+        rows = dataset(root, filesystem=system, format="parquet").to_table(columns=["name", "bytes"]).sort_by("name")
+        archives = zip(*(c.to_pylist() for c in rows.columns), strict=True)
+        return [Range(name, size, at, at + self.split) for name, size in archives for at in range(0, size, self.split)] or [Range("", 0, 0, 0)]
 
     def _tried(self, path: str, act):
         """Runs act on the opened archive; an error is retried with the file opened anew."""
@@ -217,9 +221,9 @@ class _Reader(DataSourceReader):
         yield from common.batches(schema, rows(), weigh=lambda r: 100 + len(r["media"]))
 
 
-def read_media(spark, folder: str, manifest: list) -> DataFrame:
+def read_media(spark, folder: str, manifest: str) -> DataFrame:
     spark.dataSource.register(MediaArchives)
-    return spark.read.format("media_archives").option("folder", folder).option("manifest", json.dumps(manifest)).load()
+    return spark.read.format("media_archives").option("folder", folder).option("manifest", manifest).load()
 
 
 def _columns(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
