@@ -1,7 +1,7 @@
 """Quality rules and a hashed n-gram logistic regression.
 
 The rules count words, characters, symbols, repeated lines and repeated word
-windows of whole texts.  The model hashes words and byte 3- and 4-grams to a
+windows of whole texts.  The model hashes words and 3- and 4-grams of code points to a
 fixed number of bins, is fitted by full-batch descent on labelled rows and
 calibrated (Platt) on a held-out fifth; documents are scored in Arrow batches
 against a fixed threshold.
@@ -65,10 +65,9 @@ def breaks_rules(c: dict[str, int]) -> bool:
 
 
 def features(text: str) -> tuple[np.ndarray, np.ndarray]:
-    """Bins and weights (unit length) of the hashed words and byte n-grams."""
-    data = text.encode("utf-8", "replace")
-    found = [textnum.words(data)[2] >> np.uint64(51)]
-    b = np.frombuffer(data, np.uint8).astype(np.uint32)
+    """Bins and weights (unit length) of the hashed words and character n-grams."""
+    found = [textnum.words(text.encode("utf-8", "replace"))[2] >> np.uint64(51)]
+    b = np.frombuffer(text.encode("utf-32-le", "replace"), np.uint32)
     for n in (3, 4):
         if len(b) >= n:
             gram = b[: len(b) - n + 1].copy()
@@ -144,14 +143,11 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = 3000, id_col: str =
             found = [features(t) for t in part.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array([b.tobytes() for b, _ in found], pa.binary()), pa.array([w.tobytes() for _, w in found], pa.binary())], names=["id", "label", "bins", "weight"])
 
-    got = rows.select("id", "text", "label").mapInArrow(run, "id long, label int, bins binary, weight binary").collect()
-    got.sort(key=lambda r: (r["id"], r["bins"], r["weight"]))
-    one: dict[int, tuple] = {}
-    for r in got:  # of repeated rows the first
-        one.setdefault(r["id"], (bytes(r["bins"]), bytes(r["weight"]), int(r["label"] > 0)))
-    order = np.random.default_rng(11).permutation(len(one))
-    rows_ = list(one.values())
-    return train([rows_[i] for i in order])
+    found = rows.select("id", "text", "label").mapInArrow(run, "id long, label int, bins binary, weight binary")
+    got = found.groupBy("id").agg(F.min(F.struct("bins", "weight", "label")).alias("r")).collect()  # of repeated rows one: at most max_rows
+    got.sort(key=lambda r: r["id"])
+    rows_ = [(bytes(r["r"]["bins"]), bytes(r["r"]["weight"]), int(r["r"]["label"] > 0)) for r in got]
+    return train([rows_[i] for i in np.random.default_rng(11).permutation(len(rows_))])
 
 
 def rules(docs: DataFrame, model: Model, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

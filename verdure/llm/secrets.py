@@ -78,7 +78,7 @@ def _cue_kinds(data: bytes, starts: np.ndarray, ends: np.ndarray, candidates: np
     """0 no cue, 1 a cue, 2 a cue that ends in : or =, 3 only : or =, 4 a cue with a value joined on, 5 another value joined on."""
     out = np.zeros(len(starts), np.int8)
     for i in candidates:
-        word = data[starts[i] : min(ends[i], starts[i] + 64)].decode("utf-8", "replace").lower()
+        word = data[starts[i] : ends[i]].decode("utf-8", "replace").lower()
         if not word.strip(":="):
             out[i] = 3
             continue
@@ -125,7 +125,7 @@ def word_features(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     cat[long_, 2] = 1 + (mark * np.uint32(0x9E3779B1) >> np.uint32(26)).astype(np.int32)
     simple = np.where(size >= 12, 5, 0) + np.where(part[4] > 0, 4, np.where(part[2] > 0, np.where(part[0] + part[1] > 0, 3, 2), np.where(part[1] > 0, 1, 0)))
     has_sep = np.add.reduceat(((buf == 61) | (buf == 58)).astype(np.int32) if flat[-1] < len(buf) else np.append(((buf == 61) | (buf == 58)).astype(np.int32), 0), flat)[::2] > 0
-    cue = _cue_kinds(data, starts, ends, np.flatnonzero((_FIRST[buf[starts]] & (size <= 24)) | has_sep))
+    cue = _cue_kinds(data, starts, ends, np.flatnonzero(_FIRST[buf[starts]] | has_sep))
     # cue before: its kind, or 6 and 7 for a lone sign after a cue
     before = np.zeros(n, np.int8)
     before[1:] = cue[:-1]

@@ -24,8 +24,7 @@ _powers: dict[int, np.ndarray] = {}
 def _power(base: int, n: int) -> np.ndarray:
     have = _powers.get(base)
     if have is None or len(have) < n:
-        size = max(n, _SEGMENT + 64)
-        have = np.full(size, _U(base))
+        have = np.full(max(n, _SEGMENT + 64), _U(base))
         have[0] = _U(1)
         np.multiply.accumulate(have, out=have)
         _powers[base] = have
@@ -50,7 +49,25 @@ def _segment(buf: np.ndarray, table: np.ndarray) -> tuple[np.ndarray, np.ndarray
     sums = np.zeros(len(buf) + 1, np.uint64)
     np.cumsum(table[buf] * _power(_BASE, len(buf)), out=sums[1:])
     h = (sums[ends] - sums[starts]) * _power(_BACK, len(buf))[starts]
-    return starts, ends, mix(h + (ends - starts).astype(np.uint64) * _U(0xD6E8FEB86659FD93))
+    return starts, ends, _finished(h, ends - starts)
+
+
+def _finished(h: np.ndarray, size: np.ndarray) -> np.ndarray:
+    return mix(h + size.astype(np.uint64) * _U(0xD6E8FEB86659FD93))
+
+
+def _long_word(buf: np.ndarray, at: int, table: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """One word that begins at ``at``, segment by segment, with the hash that ``_segment`` would give it."""
+    total, end, last = 0, at, False
+    while not last and end < len(buf):
+        part = buf[end : end + _SEGMENT]
+        gap = np.flatnonzero(_SEP[part])
+        last = len(gap) > 0
+        part = part[: gap[0]] if last else part
+        own = int((table[part] * _power(_BASE, len(part))).sum(dtype=np.uint64))
+        total = (total + own * pow(_BASE, end - at, 2**64)) % 2**64
+        end += len(part)
+    return np.array([at]), np.array([end]), _finished(np.array([total], np.uint64), np.array([end - at]))
 
 
 def words(data: bytes, lower: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -63,11 +80,11 @@ def words(data: bytes, lower: bool = False) -> tuple[np.ndarray, np.ndarray, np.
         end = at + _SEGMENT
         if end < len(buf):
             gap = np.flatnonzero(_SEP[buf[at:end]])
-            if len(gap):
-                end = at + int(gap[-1]) + 1
-            else:
-                while end < len(buf) and not _SEP[buf[end]]:
-                    end += 1
+            if not len(gap):  # inside a word that is longer than a segment: tables stay that size
+                found.append(_long_word(buf, at, table))
+                at = int(found[-1][1][0])
+                continue
+            end = at + int(gap[-1]) + 1
         s, e, h = _segment(buf[at:end], table)
         found.append((s + at, e + at, h))
         at = end
