@@ -1,6 +1,7 @@
 """Line dedup, near duplicates, quality rules, secrets and the pipeline against plain code."""
 
 import hashlib
+import math
 import random
 import re
 from collections import Counter, defaultdict
@@ -50,31 +51,55 @@ def test_words_and_shingles():
 def lines_by_hand(rows, min_tokens=5, similar=0.8):
     """{row number: text} by the documented rules."""
     where = []  # (id, text, pos, template)
+    loose = set()
     for i, text in set(rows):
         for pos, line in enumerate([] if text is None else text.split("\n")):
-            t = re.sub("[^ ]*[0-9][^ ]*", "<*>", re.sub("[ \t\x0b\x0c\r]+", " ", line).strip(" "))
-            if len(t.split(" ")) >= min_tokens and 2 * t.count("<*>") <= len(t.split(" ")):
-                where.append(((i is not None, i or 0), text, pos, t))
+            plain = re.sub("[ \t\x0b\x0c\r]+", " ", line).strip(" ")
+            if not plain:
+                continue
+            tokens = plain.split(" ")
+            variable = [bool(re.search("[0-9]", w)) for w in tokens]
+            t = tuple(tokens)
+            if len(tokens) >= min_tokens and 2 * sum(variable) <= len(tokens):
+                t = tuple("<*>" if v else w for w, v in zip(tokens, variable, strict=True))
+                loose.add(t)
+            where.append(((i is not None, i or 0), text, pos, t))
     docs = defaultdict(set)
     for i, text, _, t in where:
         docs[t].add((i, text))
-    leaves = defaultdict(list)
-    for t in docs:
-        leaves[len(t.split(" ")), tuple(t.split(" ")[:3])].append(t)
+    nodes = defaultdict(list)
+
+    def segments(t):
+        n = len(t)
+        parts = n - math.ceil(round(n * similar, 9)) + 1
+        if parts > 1:
+            cuts = [3 + i * (n - 3) // parts for i in range(parts + 1)]
+            yield from ((n, t[:3], i, t[a:b]) for i, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False)))
+
+    rank = lambda t: (-len(docs[t]), " ".join(t))
+    for t in loose:
+        for s in segments(t):
+            nodes[s].append(t)
+    tops = {s: min(own, key=rank) for s, own in nodes.items()}
     model = {}
-    for own in leaves.values():
-        top = min(own, key=lambda t: (-len(docs[t]), t))
-        for t in own:
-            same = sum(a == b for a, b in zip(t.split(" "), top.split(" "), strict=True))
-            model[t] = top if same >= similar * len(t.split(" ")) else t
+    for t in loose:
+        alike = [m for m in (tops[s] for s in segments(t)) if m != t and sum(a == b for a, b in zip(t, m, strict=True)) >= similar * len(t)]
+        if alike:
+            model[t] = min(alike, key=rank)
     groups = defaultdict(list)
+    extra = defaultdict(list)
     for i, text, pos, t in where:
-        groups[model[t]].append((i, text, pos))
+        groups[model.get(t, t)].append((i, text, pos))
+        if t in model and t in model.values():
+            extra[t].append((i, text, pos))
     drop = defaultdict(set)
-    for own in groups.values():
-        if len({(i, t) for i, t, _ in own}) > 1:
-            for i, text, pos in sorted(own, key=lambda x: (x[0], x[2]))[1:]:
-                drop[i, text].add(pos)
+    for t, own in groups.items():
+        whole = own + extra[t]
+        if len({(i, x) for i, x, _ in whole}) > 1:
+            first = min(whole, key=lambda x: (x[0], x[2]))
+            for i, text, pos in own:
+                if (i, text, pos) != first:
+                    drop[i, text].add(pos)
     out = []
     for i, text in rows:
         gone = drop[(i is not None, i or 0), text]
@@ -99,7 +124,8 @@ def test_line_dedup_edges(spark):
     got = {r["doc_id"]: r for r in line_dedup.drop_lines(table(spark, LINES), counts=True).collect()}
     assert {i: r["text"] for i, r in got.items()} == dict(zip((i for i, _ in LINES), lines_by_hand(LINES), strict=True))
     assert got[2]["text"] == "quite another line of text" and got[2]["n_chars"] == 26 and got[2]["n_dropped"] == 2 and got[9]["n_dropped"] == 0
-    assert (got[3]["text"], got[3]["n_lines"], got[4]["text"], got[5]["text"], got[8]["text"]) == (None, 0, "", "short\nshort", "1 2 3 4 5 6")
+    assert (got[3]["text"], got[3]["n_lines"], got[4]["text"]) == (None, 0, "")
+    assert [got[i]["text"] for i in (5, 6, 7, 8)] == ["short", "", "1 2 3 4 5 6\n", ""]  # word for word
     assert got[1]["own"] == 2 and got[1]["label"] == "x"
     ties = [(None, "one line of five words"), (4, "one line of five words"), (4, "one line of five words"), (5, "one line of five words\n" + "z " * 50_000)]
     rows = line_dedup.drop_lines(table(spark, ties)).collect()
@@ -107,6 +133,25 @@ def test_line_dedup_edges(spark):
     assert line_dedup.drop_lines(table(spark, LINES).where("doc_id = 77")).count() == 0
 
 
+def test_several_families_in_a_leaf(spark):
+    """Two families whose variable field holds words, below one opening, beside a more frequent line; chains of models; any least number of tokens."""
+    rng = random.Random(2)
+    word = lambda: "".join(rng.choices("abcdefgh", k=4))
+    lines = ["the user logged in and went on his way home"] * 6
+    lines += [f"the user logged out of {word()} after a very long day" for _ in range(5)] + [f"the user logged errors in {word()} while some job ran" for _ in range(5)]
+    lines += [f"the user logged in and went {word()} his {word()} home" for _ in range(8)]
+    lines += ["x y z a b c d e f g"] * 3 + ["x y z a b c d e Q R"] * 2 + ["x y z a b c S T Q R"] + ["one", "two 2", "two 3", "one"]
+    rows = [(i, f"{x}\nown line {word()} {word()} {word()} {word()} of {i}") for i, x in enumerate(lines)]
+    drop = lambda **how: {r["doc_id"]: r["text"] for r in line_dedup.drop_lines(table(spark, rows), **how).collect()}
+    got = drop()
+    assert list(got.values()) and [got[i] for i, _ in rows] == lines_by_hand(rows)
+    stay = Counter(got[i].split("\n")[0].split(" ")[3] for i, x in enumerate(lines) if x.startswith("the user") and "\n" in got[i])
+    assert stay["out"] == stay["errors"] == 1 and stay["in"] == 1
+    for min_tokens, similar in ((1, 0.8), (1, 0.5), (7, 0.9)):
+        got = drop(min_tokens=min_tokens, similar=similar)
+        assert [got[i] for i, _ in rows] == lines_by_hand(rows, min_tokens, similar)
+
+
 # ---- near duplicates ---------------------------------------------------------
 
 
@@ -170,6 +215,58 @@ def test_near_duplicate_edges(spark):
     assert near_dup.near_duplicates(table(spark, rows).where("doc_id = 77")).count() == 0
 
 
+def test_an_id_with_two_texts(spark):
+    p, q = (" ".join(f"{c}{i}" for i in range(60)) for c in "pq")
+    rows = [(5, p), (5, q), (6, p + " tail"), (7, q + " tail"), (8, "alone here"), (8, ""), (9, None)]
+    got = sorted((r["doc_id"], r["component_id"], r["kept"]) for r in near_dup.near_duplicates(table(spark, rows)).collect())
+    assert got == [(5, 5, True), (5, 5, True), (6, 5, False), (7, 5, False), (8, 8, True), (8, 8, True), (9, 9, True)]
+    left = near_dup.drop_near_duplicates(table(spark, [*rows, (5, p), (9, "")]))
+    assert sorted((r["doc_id"], r["text"] or "") for r in left.collect()) == sorted([(5, p), (5, q), (8, ""), (8, "alone here"), (9, "")])
+
+
+def hot_group(n, seed=4):
+    """Copies of one text with so many changes that about half of all pairs are linked, and texts further off."""
+    rng = random.Random(seed)
+    base = [f"w{rng.randrange(10**6)}" for _ in range(150)]
+    changed = lambda share: " ".join(f"c{rng.randrange(10**6)}" if rng.random() < share else w for w in base)
+    return [(i, changed(rng.choice([0.02, 0.03, 0.045, 0.06]))) for i in range(n)]
+
+
+@pytest.mark.parametrize("small", [False, True])
+def test_hot_group_against_all_pairs(spark, monkeypatch, small):
+    if small:  # many blocks, and no hub rounds beyond the second
+        monkeypatch.setattr(near_dup, "BLOCK", 40)
+        monkeypatch.setattr(near_dup, "WEIGHT", 4000)
+    rows = hot_group(400)
+    got = {r["doc_id"]: r["component_id"] for r in near_dup.near_duplicates(table(spark, rows), k=2).collect()}
+    assert got == {i: c for i, (_, c) in components_by_hand(rows, 2).items()}
+    assert 1 < len(set(got.values())) < 400
+
+
+def test_blocks_lose_no_pair(spark):
+    """Exact links and forests alone, dealt to many blocks, give all components of a group whose classes are all apart."""
+    from pyspark.sql import functions as F
+
+    rows = hot_group(200, seed=8)
+    data = [(i, 1, textnum.shingles(t.encode(), 2)) for i, t in rows]
+    t = spark.createDataFrame([(i, g, i, bytes(x.tobytes()), len(x), near_dup.odd_sketch(x).tolist(), i != 3) for i, g, x in data], "id long, g long, label long, set binary, n long, sketch array<long>, odd boolean")
+    dealt = near_dup._places(t, "g", F.lit(7), F.lit(2))
+    links = near_dup._dealt(dealt, near_dup.exact_links(80)).collect()
+    forest = near_dup._dealt(dealt, near_dup.candidate_forest(near_dup.largest_difference(80), 80)).collect()
+    want = components_by_hand(rows, 2)
+
+    def merged(edges):
+        root = {i: i for i, _ in rows}
+        for a, b in edges:
+            x, y = root[a], root[b]
+            root = {i: min(x, y) if r in (x, y) else r for i, r in root.items()}
+        return root
+
+    assert merged(links) == {i: c for i, (_, c) in want.items()}
+    tree = merged(forest)
+    assert all(tree[i] == tree[c] for i, (_, c) in want.items())
+
+
 def test_components_of_long_chains(spark, tmp_path):
     n = 1000
     ends = [*range(0, n, 2), *reversed(range(1, n, 2))]  # ids grow from both ends to the middle
