@@ -31,7 +31,7 @@ def test_periods(spark):
     label = lambda s, p: c.period_label(c.period_start(d(s), p), p)
     assert tuple(one(spark, label("2026-02-10", "semimonthly"), label("2026-02-16", "semimonthly"))) == ("202602H1", "202602H2")
     last = lambda s, p: c.period_label(c.last_complete(d(s), p), p)
-    assert tuple(one(spark, last("2026-03-01", "monthly"), last("2026-02-28", "monthly"), last("2026-02-16", "semimonthly"))) == ("202602", "202601", "202602H1")
+    assert tuple(one(spark, last("2026-03-01", "monthly"), last("2026-02-28", "monthly"), last("2026-02-16", "semimonthly"))) == ("202602", "202602", "202602H1")  # a period is complete on its last day
     months = one(spark, c.periods_between(d("2025-11-01"), d("2026-01-31")), c.periods_between(d("2025-11-01"), d("2026-06-30"), "semimonthly"))
     assert [x.strftime("%Y%m") for x in months[0]] == ["202511", "202512", "202601"]
     assert len(months[1]) == 16

@@ -1,3 +1,4 @@
+import datetime as dt
 import json
 import math
 from collections import Counter
@@ -79,9 +80,13 @@ def test_municipal_planting(spark):
 
 
 def test_settings():
-    s = Settings().updated(season="dry")
-    assert (s.column, s.fallback) == ("Semester_2", 12) and s.updated(plant_column="Semester_1").season == "wet"
-    for bad in ({"nope": 1}, {"season": "wet", "plant_column": "Semester_2"}, {"period": "weekly"}):
+    assert (Settings().season, Settings().column, Settings().fallback, Settings().tile_degrees) == ("dry", "Semester_1", 12, 0.25)
+    s = Settings().updated(season="wet")
+    assert (s.column, s.fallback) == ("Semester_2", 6) and s.updated(plant_column="Semester_1").season == "dry"
+    day = dt.date(2026, 10, 2)
+    assert (s.year_at(day), Settings().year_at(day), Settings().planting_year(11, day), Settings().planting_year(2, day)) == (2026, 2027, 2026, 2027)
+    assert Settings(season_year=2026).summary(day) == {"season": "dry", "season_year": 2026, "label": "dry2026", "planting_month_column": "Semester_1", "fallback_planting_month": 12, "window_for_fallback_month": "2025-11-01..2026-06-30", "output_prefix": "products/growth_stage/2026/dry"}
+    for bad in ({"nope": 1}, {"season": "dry", "plant_column": "Semester_2"}, {"period": "weekly"}):
         with pytest.raises(ValueError):
             s.updated(**bad)
     assert s.key() != Settings().key() == Settings().key()
@@ -119,22 +124,50 @@ def test_runs(spark, field_obs, tmp_path, capsys):
     c = Settings(season="dry", season_year=2026, which="season", level="provincial")
     r = Runner(spark, c, units(spark).where("name <> 'BETA'"), field_obs, log=lambda *_: None)
     plan = r.plan(names=["ALPHA"], as_of="2026-04-10")
-    assert [x["label"] for x in plan.orderBy("label").collect()] == ["202511", "202512", "202601", "202602", "202603", "202604"]
+    assert [x["label"] for x in plan.orderBy("label").collect()] == ["202511", "202512", "202601", "202602", "202603"]
+    assert r.plan_totals(plan, names=["ALPHA"], as_of="2026-04-10")["units_in_season"] == 1 and r.window_for(12) == (dt.date(2025, 11, 1), dt.date(2026, 6, 30))
     out = r.run_periodic(str(tmp_path / "o"), names=["ALPHA"], as_of="2026-04-10")
     assert out["outcomes"] == {"success": 1}
     assert r.run_periodic(str(tmp_path / "o"), names=["ALPHA"], as_of="2026-04-10")["outcomes"] == {"skipped": 1}
+    assert r.run_periodic(str(tmp_path / "o"), names=["ALPHA"], as_of="2026-04-10", skip_existing=False)["outcomes"] == {"success": 1}
+    with pytest.raises(admin.UnknownNames):
+        r.run_periodic(str(tmp_path / "o"), names=["ALPHA"], as_of="2026-04-10", start_from="ZZZ")
+    several = r.run_periodic(str(tmp_path / "several"), names=["ALPHA", "PALAWAN"], as_of="2026-04-10")
+    assert several["outcomes"] == {"success": 1, "out_of_season": 1} and several["mosaic"]["missing"] == {}
+    empty = Runner(spark, c, units(spark).where("name <> 'BETA'"), field_obs.where("unit = 'NOWHERE'"), log=lambda *_: None)
+    assert empty.run_periodic(str(tmp_path / "none"), names=["ALPHA"], as_of="2026-04-10")["outcomes"] == {"no_coverage": 1}
+    assert {x["reason"] for x in spark.read.parquet(str(tmp_path / "none/manifest")).collect()} == {"no_coverage"} and empty.saved(str(tmp_path / "none")).isEmpty()
+    broken = Runner(spark, c, units(spark).where("name <> 'BETA'"), field_obs.withColumn("ndvi", F.raise_error(F.lit("lost"))), log=lambda *_: None)
+    assert broken.run_periodic(str(tmp_path / "broken"), names=["ALPHA"], as_of="2026-04-10")["outcomes"] == {"failed": 1}
+    summed = spark.read.option("header", True).csv(str(tmp_path / "o/summary")).where("label = '202602' and unit_file = 'ALPHA'").collect()
+    assert sum(int(x["pixels"]) for x in summed) == 18
+    smooth = Runner(spark, c.updated(majority_radius=1), r.units, field_obs, log=lambda *_: None)
+    smooth.run_periodic(str(tmp_path / "smooth"), names=["ALPHA"], as_of="2026-04-10")
+    assert spark.read.parquet(str(tmp_path / "smooth/stages")).count() == 5 * 18
     made = spark.read.parquet(str(tmp_path / "o/stages"))
-    assert {x["growth_stage"] for x in made.where("label = '202602'").collect()} <= {3, 4} and made.count() == 6 * 18
+    assert {x["growth_stage"] for x in made.where("label = '202602'").collect()} <= {3, 4} and made.count() == 5 * 18
     mosaic = r.mosaic(str(tmp_path / "o"), names=["ALPHA", "PALAWAN"], as_of="2026-04-10")
-    assert mosaic["missing"] == {"202604": ["PALAWAN"]}
+    assert mosaic["missing"] == {}
+    assert r.mosaic(str(tmp_path / "o"), names=["ALPHA", "PALAWAN"], as_of="2026-04-30")["missing"] == {"202604": ["ALPHA", "PALAWAN"]}
+    assert r.mosaic(str(tmp_path / "o"), names=["ALPHA", "PALAWAN"], as_of="2026-04-10", periods=["202602"])["missing"] == {"202602": ["PALAWAN"]}
     recent = r.run_recent(as_of="2026-04-10")
     assert recent.count() == 36 and {x["data_age_days"] for x in recent.collect()} == {0}
-    assert sum(r.quick_check("2025-11-01", "2026-06-30").values()) == 36
+    res = c.grid_degrees
+    box = (0.0, -6 * res, 3 * res, 0.0)
+    assert r.quick_check((0.0, -6 * res, 6 * res, 0.0), 12, 2025)["crop_pixels"] == 36 and r.quick_check((50.0, 0.0, 50.1, 0.1))["status"].startswith("no obs")
+    checked = r.quick_check(box, 12, 2025)
+    assert checked["crop_pixels"] == 18 == checked["cycle_pixels"] == sum(checked["qc_counts"].values())
+    saved = r.save_recent(str(tmp_path / "o"), names=["ALPHA", "BETA"], bbox=box, as_of="2026-04-10")
+    assert len(saved["success"]) == 2 and saved["no_coverage"] == ["BETA"] and set(saved["median_age"].values()) == {0}
+    kept = spark.read.parquet(saved["outputs"])
+    assert kept.count() == 36 and dict(kept.dtypes)["growth_stage"] == "smallint" and r.run_recent(bbox=box, as_of="2026-04-10").count() == 18
     tools = ToolRunner(r, str(tmp_path / "o"), store=store.LocalStore(str(tmp_path / "o")), confirm=lambda *_: False)
     assert "approve" in tools("run_periodic", {"names": "ALPHA", "as_of": "2026-04-10"})["error"]
-    assert tools("zzz", {})["error"].startswith("unknown tool") and "bad arguments" in tools("quick_check", {"x": 1})["error"]
+    assert tools("zzz", {})["error"].startswith("unknown tool") and "bad arguments" in tools("quick_check", {"x": 1})["error"] and "bad arguments" in tools("quick_check", {})["error"]
     assert tools("run_recent", {"names": ["NOWHERE"]})["error"] == "unknown areas NOWHERE"
-    assert tools("last_run", {})["outcomes"] and tools("list_areas", {"contains": "pal"})["names"] == ["PALAWAN"]
+    assert tools("last_run", {"kind": "recent"})["success"] and tools("last_run", {"kind": "periodic"}).get("note") and "bbox" in tools("run_recent", {})["error"]
+    assert tools("quick_check", {"bbox": [str(v) for v in box], "planting_month": 12.0, "year": "2025"})["crop_pixels"] == 18
+    assert tools("list_areas", {"contains": "pal"})["names"] == ["PALAWAN"]
     assert "unknown settings" in tools("update_settings", {"changes": {"zzz": 1}})["error"]
     units(spark).write.parquet(str(tmp_path / "u"))
     field_obs.write.parquet(str(tmp_path / "f"))
@@ -142,6 +175,10 @@ def test_runs(spark, field_obs, tmp_path, capsys):
     args = ["--units", str(tmp_path / "u"), "--obs", str(tmp_path / "f"), "--config", str(tmp_path / "c.json"), "--level", "provincial", "--names", "ALPHA", "--as-of", "2026-04-10", "--out", str(tmp_path / "p"), "--which", "season"]
     assert main(["plan", *args], spark) == 0 and main(["periodic", *args, "--yes"], spark) == 0 and main(["settings"]) == 0
     assert '"success": 1' in capsys.readouterr().out
+    replies = [{"text": "", "tool_calls": [{"id": "1", "name": "search_method_docs", "args": {"query": "median data age", "k": 2}}]}, {"text": "that is all", "tool_calls": []}]
+    backend = Scripted(replies)
+    assert main(["ask", "what is the data age?", *args, "--models", "m"], spark, backend) == 0 and "that is all" in capsys.readouterr().out
+    assert "verdure" in backend.seen[1][1][-1]["content"]
 
 
 class Bucket:
@@ -203,10 +240,62 @@ def test_search(spark):
     assert [r["id"] for r in search.search(same, "x", 2).collect()] == [2, 1]
 
 
-def test_freshness_stream(spark):
+def test_http_codes(monkeypatch):
+    import urllib.error
+
+    def failing(code):
+        def opened(*_, **__):
+            raise urllib.error.HTTPError("u", code, "no", None, None)
+
+        return opened
+
+    kinds = {}
+    for code in (404, 429, 503, 400):
+        monkeypatch.setattr("urllib.request.urlopen", failing(code))
+        try:
+            Http("http://u").complete("m", "s", [], [])
+        except Exception as e:  # noqa: BLE001
+            kinds[code] = type(e)
+    assert kinds == {404: Unavailable, 429: Transient, 503: Transient, 400: RuntimeError}  # 503 is worth another try
+
+
+def test_functions_in_sql(spark):
+    import verdure
+
+    assert set(verdure.register(spark)) == {"ndvi_classes", "ndvi_bits", "parse_month", "stage_at", "chunks"}
+    got = spark.sql("SELECT ndvi_classes(1500, 4000, 4, timestamp_ntz'2025-01-01') a, ndvi_classes(1500, 4000, 9, timestamp_ntz'2025-01-01') b, ndvi_bits(500, 3000, 0) c, ndvi_bits(500, 3000, 2) d, ndvi_bits(-9999, 3000, 0) e, ndvi_bits(500, 3000, 32) f").head()
+    assert [None if x is None else round(x, 6) for x in got] == [round(0.25 / 0.35, 6), None, round(2500 / 3500, 6), None, None, round(2500 / 3500, 6)]
+    months = ["5", "5.0", "05", " May", "MAY", "5-6", "May-June", "June", "12.0", "Sept", "0", None, "NaN", "n/a", "13"]
+    rows = spark.createDataFrame([(m,) for m in months], "raw string").selectExpr("parse_month(raw) AS m").collect()
+    assert [r["m"] for r in rows] == [5, 5, 5, 5, 5, 5, 5, 6, 12, 9, None, None, None, None, None]
+    assert spark.sql("SELECT stage_at(0, 1D, 2D, 3D, 4D, 3.5D)").head()[0] == 4
+    spark.createDataFrame([(1, "a.md", "# One\ntext\n\n# Two\nmore")], "id int, name string, body string").createOrReplaceTempView("files")
+    assert [tuple(r) for r in spark.sql("SELECT id, c.source FROM files, LATERAL chunks(name, body) c ORDER BY 2").collect()] == [(1, "a.md - One"), (1, "a.md - Two")]
+
+
+def test_mosaic_of_inputs(spark):
+    from verdure.operators import mosaic
+
+    cells = lambda rows: spark.createDataFrame(rows, "row int, col int, a smallint, b smallint")
+    fine = mosaic.Raster(cells([(0, 0, -32768, 7), (0, 1, -32768, -32768)]), 0.01, -32768)
+    coarse = mosaic.Raster(cells([(0, 0, 9, 9), (1, 1, 5, 5), (2, 2, -1, -1)]), 0.02, -1)
+    made = mosaic.mosaic([fine, coarse], -32768)
+    assert made.res == 0.01 and made.nodata == -32768
+    # the first input with a valid band wins the cell, the coarser input's cells go to the cell at their centre
+    assert {(r["row"], r["col"], r["a"], r["b"]) for r in made.cells.collect()} == {(0, 0, -32768, 7), (1, 1, 9, 9), (3, 3, 5, 5)}
+    assert mosaic.extent(made) == (0.0, -0.04, 0.04, 0.0)
+    assert {(r["row"], r["col"]) for r in mosaic.mosaic([fine, coarse], bbox=(0.0, -0.02, 0.02, 0.0)).cells.collect()} == {(0, 0), (1, 1)}
+    for bad in (coarse.replaced(crs="EPSG:32651"), coarse.replaced(cells=coarse.cells.drop("b")), coarse.replaced(cells=coarse.cells.withColumn("b", F.col("b").cast("int")))):
+        with pytest.raises(ValueError):
+            mosaic.mosaic([fine, bad])
+    with pytest.raises(ValueError, match="nothing"):
+        mosaic.mosaic([])
+
+
+def test_freshness_stream(spark, tmp_path):
     schema = bindings.read(spark, SF, "events").schema
     rows = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(SF)
     obs = rows.select(F.col("user_id").alias("pixel_id"), "ts", F.col("value").alias("ndvi"))
-    got = composites.run_once(composites.freshness(obs), "freshness")
+    got = composites.run_once(composites.freshness(obs), str(tmp_path / "fresh"), "pixel_id")
     want = bindings.read(spark, SF, "events").groupBy(F.col("user_id").alias("pixel_id")).agg(F.max("ts").alias("last_obs"))
     assert got.exceptAll(want).isEmpty() and want.exceptAll(got).isEmpty()

@@ -7,6 +7,7 @@ import time
 from collections.abc import Callable
 
 from verdure.backends import Transient, Unavailable
+from verdure.config import QUALITY, STAGES
 from verdure.tools import tool_list
 
 STEPS, RETRIES, REPLY = 25, 2, 20_000
@@ -18,7 +19,8 @@ class Agent:
         self.messages: list[dict] = []
 
     def system(self) -> str:
-        return "You run crop stage products with the given tools. Plan before you run, and report results as the tools give them."
+        listed = lambda names: "; ".join(f"{k} {v}" for k, v in names.items())
+        return f"You run crop stage products with the given tools. Plan before you run, and report results as the tools give them. Stages: {listed(STAGES)}. Quality: {listed(QUALITY)}."
 
     def _complete(self) -> dict:
         """Every request starts at the first model; a busy one is tried again after 2 and 4 seconds, then the next."""

@@ -51,7 +51,7 @@ class Http:
             with urllib.request.urlopen(request, timeout=120) as r:
                 return json.load(r)
         except urllib.error.HTTPError as e:
-            kind = Unavailable if e.code in (404, 503) else Transient if e.code in (408, 429) or e.code >= 500 else RuntimeError
+            kind = Unavailable if e.code == 404 else Transient if e.code in (408, 429) or e.code >= 500 else RuntimeError
             raise kind(f"{e.code} {e.reason}") from e
         except urllib.error.URLError as e:
             raise Transient(str(e.reason)) from e

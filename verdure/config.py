@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 import dataclasses
+import datetime as dt
 import hashlib
 import json
 from dataclasses import dataclass, field
 
+from verdure.functions import calendar
+
 #: Metres in a degree of latitude, native cell size, days between composites (fixed values).
 METRES_PER_DEGREE, CELL_METRES, COMPOSITE_DAYS = 111_320, 30, 10
 #: Stage classes by code; a class starts on the date of its band (fixed values).
@@ -15,6 +18,8 @@ STAGE_STARTS = ((2, "emergence"), (3, "panicle_init"), (4, "peak"), (5, "harvest
 NO_STAGE, NO_VALUE = -1, -32768
 #: Dates of a cycle in their order (fixed values).
 DATES = ("plant", "emergence", "tillering", "panicle_init", "heading", "peak", "maturity", "harvest")
+#: The season whose planting months a table's column holds (fixed values).
+COLUMN_SEASONS = {"Semester_1": "dry", "Semester_2": "wet"}
 #: Quality codes (fixed values).
 QUALITY = {
     0: "complete cycle",
@@ -84,7 +89,7 @@ class Settings:
     """Everything a run depends on; ``updated`` replaces fields atomically."""
 
     source: str = "hls"
-    season: str = "wet"
+    season: str = "dry"
     plant_column: str | None = None
     season_year: int | None = None
     fallback_month: int | None = None
@@ -94,12 +99,17 @@ class Settings:
     composite: str = "max"
     interval_days: int = COMPOSITE_DAYS
     resolution_m: float = CELL_METRES
-    tile_deg: float = 0.1
+    tile_deg: float | None = None
     median_radius: int = 1
+    majority_radius: int = 0
     level: str = "national"
     exclude: tuple = ()
     lookback_days: int = 240
-    save_quality: bool = True
+    save_quality: bool = False
+    mosaic_after: bool = True
+    label: str | None = None
+    prefix: str | None = None
+    recent_prefix: str = "products/growth_stage/recent"
     out_dir: str = "outputs"
     targets: str = "local"
     skip_existing: bool = True
@@ -110,13 +120,33 @@ class Settings:
         for name, allowed in (("source", ("hls", "s2")), ("season", ("wet", "dry")), ("period", ("monthly", "semimonthly")), ("which", ("season", "current", "last_complete")), ("classify", ("dominant", "midpoint", "midmonth")), ("composite", ("max", "median")), ("level", ("national", "regional", "provincial")), ("targets", ("local", "gdrive", "gcs", "both"))):
             if getattr(self, name) not in allowed:
                 raise ValueError(f"{name} must be one of {allowed}")
-        own = {"Semester_1": "wet", "Semester_2": "dry"}
-        if self.plant_column in own and own[self.plant_column] != self.season:
-            raise ValueError(f"column {self.plant_column} belongs to the {own[self.plant_column]} season")
+        if COLUMN_SEASONS.get(self.plant_column, self.season) != self.season:
+            raise ValueError(f"column {self.plant_column} belongs to the {COLUMN_SEASONS[self.plant_column]} season")
 
     @property
     def column(self) -> str:
-        return self.plant_column or {"wet": "Semester_1", "dry": "Semester_2"}[self.season]
+        return self.plant_column or next(c for c, s in COLUMN_SEASONS.items() if s == self.season)
+
+    @property
+    def tile_degrees(self) -> float:
+        return self.tile_deg or (0.25 if self.resolution_m >= 20 else 0.1)
+
+    def year_at(self, day: dt.date) -> int:
+        """The season's harvest year, as set or as of a day."""
+        return self.season_year or day.year + int(self.season == "dry" and day.month >= calendar.ROLLOVER)
+
+    def planting_year(self, month: int, day: dt.date) -> int:
+        return self.year_at(day) - int(self.season == "dry" and month >= calendar.ROLLOVER)
+
+    def name_at(self, day: dt.date) -> str:
+        return self.label or f"{self.season}{self.year_at(day)}"
+
+    def prefix_at(self, day: dt.date) -> str:
+        return self.prefix or f"products/growth_stage/{self.year_at(day)}/{self.season}"
+
+    def summary(self, day: dt.date) -> dict:
+        start, end = calendar.window(self.fallback, self.planting_year(self.fallback, day))
+        return {"season": self.season, "season_year": self.year_at(day), "label": self.name_at(day), "planting_month_column": self.column, "fallback_planting_month": self.fallback, "window_for_fallback_month": f"{start}..{end}", "output_prefix": self.prefix_at(day)}
 
     @property
     def fallback(self) -> int:
@@ -135,8 +165,8 @@ class Settings:
             changes["phenology"] = dataclasses.replace(self.phenology, **changes["phenology"])
         if "season" in changes and "plant_column" not in changes:
             changes["plant_column"] = None
-        elif changes.get("plant_column") in ("Semester_1", "Semester_2") and "season" not in changes:
-            changes["season"] = {"Semester_1": "wet", "Semester_2": "dry"}[changes["plant_column"]]
+        elif changes.get("plant_column") in COLUMN_SEASONS and "season" not in changes:
+            changes["season"] = COLUMN_SEASONS[changes["plant_column"]]
         return dataclasses.replace(self, **changes)
 
     def public(self) -> dict:

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import calendar
+import datetime as dt
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 MONTHS = ("jan", "feb", "mar", "apr", "may", "jun", "jul", "aug", "sep", "oct", "nov", "dec")
 #: Planting months typical of each season, and the month from which a dry season counts to the next year (fixed values).
-TYPICAL = {"wet": (4, 5, 6, 7, 8), "dry": (9, 10, 11, 12, 1, 2)}
+TYPICAL = {"wet": (4, 5, 6, 7, 8), "dry": (9, 10, 11, 12, 1, 2, 3)}
 ROLLOVER = 7
 
 
@@ -41,6 +44,13 @@ def season_end(month: Column, year: Column) -> Column:
     return F.last_day(F.add_months(F.make_date(year, month, F.lit(1)), 6))
 
 
+def window(month: int, year: int) -> tuple[dt.date, dt.date]:
+    """``season_start`` and ``season_end`` of one planting month, for the driver."""
+    first = dt.date(year + (month - 2) // 12, (month - 2) % 12 + 1, 1)
+    y, m = year + (month + 5) // 12, (month + 5) % 12 + 1
+    return first, dt.date(y, m, calendar.monthrange(y, m)[1])
+
+
 def period_start(day: Column, period: str = "monthly") -> Column:
     first = F.trunc(day, "month")
     return first if period == "monthly" else F.when(F.dayofmonth(day) > 15, F.date_add(first, 15)).otherwise(first)
@@ -58,9 +68,9 @@ def period_label(start: Column, period: str = "monthly") -> Column:
 
 
 def last_complete(day: Column, period: str = "monthly") -> Column:
-    """Start of the newest period that ended on or before the day."""
+    """Start of the newest period of which the day, or one before it, is the last."""
     own = period_start(day, period)
-    return period_start(F.date_sub(own, 1), period)
+    return F.when(F.date_add(day, 1) >= period_end(own, period), own).otherwise(period_start(F.date_sub(own, 1), period))
 
 
 def periods_between(start: Column, end: Column, period: str = "monthly") -> Column:

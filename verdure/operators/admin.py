@@ -85,11 +85,11 @@ def season_windows(planted: DataFrame, year: int, season: str) -> DataFrame:
 
 
 def unit_periods(windows: DataFrame, as_of: str, which: str, period: str = "monthly") -> DataFrame:
-    """Periods of each unit's season: all that have begun, the current one, or the last complete one."""
+    """Periods of each unit's season: all that have ended by the end of the day, the current one, or the last complete one."""
     day = F.lit(as_of).cast("date")
     rows = windows.select("*", F.explode(calendar.periods_between(F.col("season_start"), F.col("season_end"), period)).alias("p_start"))
     rows = rows.withColumn("p_end", calendar.period_end(F.col("p_start"), period)).withColumn("label", calendar.period_label(F.col("p_start"), period))
-    rule = {"season": F.col("p_start") <= day, "current": F.col("p_start") == calendar.period_start(day, period), "last_complete": F.col("p_start") == calendar.last_complete(day, period)}[which]
+    rule = {"season": F.col("p_end") <= F.date_add(day, 1), "current": F.col("p_start") == calendar.period_start(day, period), "last_complete": F.col("p_start") == calendar.last_complete(day, period)}[which]
     return rows.where(rule)
 
 

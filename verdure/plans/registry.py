@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from verdure import search
+from verdure import scratch, search
 from verdure.config import DATES, NO_VALUE, QUALITY, STAGES, Phenology, Reflectance
 from verdure.functions import calendar, masks, text
 from verdure.operators import admin, composite, focal, grid, layers, phenology, series, stages, summary
@@ -472,7 +472,7 @@ def season_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _dates_as_text(_windows(spark, sf_dir))
 
 
-@query("SELECT o_orderkey, strftime(o_orderdate, '%Y%m') || CASE WHEN day(o_orderdate) > 15 THEN 'H2' ELSE 'H1' END AS label, CAST(CASE WHEN day(o_orderdate) > 15 THEN date_trunc('month', o_orderdate) + INTERVAL 15 DAY ELSE date_trunc('month', o_orderdate) END AS DATE)::VARCHAR AS p_start, CAST(date_trunc('month', CAST(date_trunc('month', o_orderdate) AS DATE) - 1) AS DATE)::VARCHAR AS last_month, CAST(year(o_orderdate) + CASE WHEN month(o_orderdate) >= 7 THEN 1 ELSE 0 END AS INT) AS dry_year FROM orders")
+@query("SELECT o_orderkey, strftime(o_orderdate, '%Y%m') || CASE WHEN day(o_orderdate) > 15 THEN 'H2' ELSE 'H1' END AS label, CAST(CASE WHEN day(o_orderdate) > 15 THEN date_trunc('month', o_orderdate) + INTERVAL 15 DAY ELSE date_trunc('month', o_orderdate) END AS DATE)::VARCHAR AS p_start, CAST(CASE WHEN CAST(o_orderdate AS DATE) = last_day(o_orderdate) THEN date_trunc('month', o_orderdate) ELSE date_trunc('month', o_orderdate) - INTERVAL 1 MONTH END AS DATE)::VARCHAR AS last_month, CAST(year(o_orderdate) + CASE WHEN month(o_orderdate) >= 7 THEN 1 ELSE 0 END AS INT) AS dry_year FROM orders")
 def period_of(spark: SparkSession, sf_dir: str) -> DataFrame:
     day = F.to_date("o_orderdate")
     start = calendar.period_start(day, "semimonthly")
@@ -485,7 +485,7 @@ def periods_between(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("o_custkey", calendar.period_label(F.col("p")).alias("label"))
 
 
-_PLAN = f"SELECT name, season_start, season_end, plant_month, strftime(p, '%Y%m') AS label, CAST(p AS DATE) AS p_start, CAST(p + INTERVAL 1 MONTH AS DATE) AS p_end FROM (SELECT *, unnest(generate_series(date_trunc('month', season_start), date_trunc('month', season_end), INTERVAL 1 MONTH)) AS p FROM ({_WINDOWS})) WHERE p <= TIMESTAMP '2026-09-10'"
+_PLAN = f"SELECT name, season_start, season_end, plant_month, strftime(p, '%Y%m') AS label, CAST(p AS DATE) AS p_start, CAST(p + INTERVAL 1 MONTH AS DATE) AS p_end FROM (SELECT *, unnest(generate_series(date_trunc('month', season_start), date_trunc('month', season_end), INTERVAL 1 MONTH)) AS p FROM ({_WINDOWS})) WHERE p + INTERVAL 1 MONTH <= TIMESTAMP '2026-09-11'"
 
 
 def _plan(spark, sf_dir):
@@ -558,21 +558,37 @@ def term_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
 # ---- streaming and runs ------------------------------------------------------
 
 
-@query(f"SELECT pixel_id, k, max(ndvi) AS v FROM ({b.BINNED}) WHERE k BETWEEN 0 AND 29 GROUP BY ALL")
-def streaming_composite(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The table read as a stream; the result equals the batch composites."""
+def _stream(spark, sf_dir):
     events = b.read(spark, sf_dir, "events")
     rows = spark.readStream.schema(events.schema).option("pathGlobFilter", "events.parquet*").parquet(f"{sf_dir}")
     k = F.when(F.col("event_type") != "error", F.col("value") / 500)
-    obs = rows.select(F.col("user_id").alias("pixel_id"), "ts", k.alias("ndvi"))
-    return streaming.run_once(streaming.composites(obs, b.EVENT_FIRST, 24, b.EVENT_N), "verdure_stream_composite")
+    return rows.select(F.col("user_id").alias("pixel_id"), "ts", k.alias("ndvi"))
+
+
+@query(f"SELECT pixel_id, max(ts) AS last_obs FROM ({b.OBSERVATIONS}) WHERE ndvi IS NOT NULL GROUP BY pixel_id")
+def streaming_freshness(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The newest clear observation of each pixel as updating state."""
+    return streaming.run_once(streaming.freshness(_stream(spark, sf_dir)), scratch.shared_dir(spark, "stream"), "pixel_id")
+
+
+@query(f"WITH c AS (SELECT pixel_id, k, max(ndvi) AS v FROM ({b.BINNED}) GROUP BY ALL), w AS (SELECT max(ts) - INTERVAL 24 HOUR AS mark FROM ({b.OBSERVATIONS}) WHERE ndvi IS NOT NULL) SELECT pixel_id, k, v FROM c CROSS JOIN w WHERE k BETWEEN 0 AND 29 AND TIMESTAMP '{b.EVENT_FIRST}' + to_hours(24 * k + 12) <= mark")
+def streaming_append(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Append mode: the composites whose window the watermark has passed, from the file sink."""
+    return streaming.append_once(streaming.composites(_stream(spark, sf_dir), b.EVENT_FIRST, 24, b.EVENT_N), scratch.shared_dir(spark, "stream"))
+
+
+@query(f"SELECT pixel_id, k, max(ndvi) AS v FROM ({b.BINNED}) WHERE k BETWEEN 0 AND 29 GROUP BY ALL")
+def streaming_composite(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The table read as a stream; the result equals the batch composites."""
+    obs = _stream(spark, sf_dir)
+    return streaming.run_once(streaming.composites(obs, b.EVENT_FIRST, 24, b.EVENT_N), scratch.shared_dir(spark, "stream"), "pixel_id", "k")
 
 
 _UNIT_MONTH = f"SELECT n_nationkey, name, coalesce({b.MONTH.replace('raw', 'planting_month_raw')}, 6) AS month FROM ({b.UNITS})"
 _UNIT_SPAN = "SELECT n_nationkey, name, make_date(2026, CAST(month AS BIGINT), 1) - INTERVAL 1 MONTH AS s, make_date(2026, CAST(month AS BIGINT), 1) + INTERVAL 6 MONTH AS e FROM (" + _UNIT_MONTH + ")"
 
 
-@query(f"""WITH p AS (SELECT n_nationkey, name, len(list_filter(generate_series(s, e, INTERVAL 1 MONTH), lambda x: x <= TIMESTAMP '2026-09-10')) AS periods FROM ({_UNIT_SPAN}))
+@query(f"""WITH p AS (SELECT n_nationkey, name, len(list_filter(generate_series(s, e, INTERVAL 1 MONTH), lambda x: x + INTERVAL 1 MONTH <= TIMESTAMP '2026-09-11')) AS periods FROM ({_UNIT_SPAN}))
 SELECT name, periods, CASE WHEN periods = 0 THEN 'out_of_season' WHEN NOT EXISTS (SELECT 1 FROM customer WHERE c_nationkey = n_nationkey) THEN 'no_coverage' ELSE 'success' END AS status FROM p""")
 def run_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Statuses to expect of a plan, one row a unit: its periods, and if the unit has analytic pixels; nothing is run."""

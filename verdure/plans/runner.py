@@ -15,8 +15,9 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from verdure.config import QUALITY, Phenology, Settings
-from verdure.functions.text import file_name
+from verdure.config import DATES, NO_STAGE, NO_VALUE, QUALITY, Phenology, Settings
+from verdure.functions import calendar
+from verdure.functions.text import file_name, name_key
 from verdure.operators import admin, composite, focal, grid, phenology, stages, summary
 
 
@@ -24,6 +25,9 @@ def _day(s: str | None) -> str:
     return str(dt.date.fromisoformat(s)) if s else str(dt.datetime.now(dt.UTC).date())
 
 
+_STAGES = "unit string, row int, col int, growth_stage smallint, label string, unit_file string"
+
+
 class Runner:
     """Holds settings, unit tables and a folder of outputs.
 
@@ -48,16 +52,30 @@ class Runner:
     def areas(self, kind: str = "name", region: str | None = None, contains: str | None = None) -> DataFrame:
         return admin.list_areas(self.units, kind, region, contains)
 
+    def window_for(self, month: int, as_of: str | None = None) -> tuple[dt.date, dt.date]:
+        """First and last day of the season that a planting month gives."""
+        return calendar.window(month, self.settings.planting_year(month, dt.date.fromisoformat(_day(as_of))))
+
     def plan(self, level: str | None = None, names: list[str] = (), as_of: str | None = None) -> DataFrame:
         """Units and periods that a run would make; touches no observation."""
         c, day = self.settings, _day(as_of)
-        year = c.season_year or int(day[:4]) + int(c.season == "dry" and int(day[5:7]) >= 7)
-        windows = admin.season_windows(admin.planting(self.select(level, names), c.fallback, c.season), year, c.season)
-        return admin.unit_periods(windows, day, c.which, c.period)
-
-    def plan_totals(self, plan: DataFrame) -> dict:
-        row = plan.agg(F.count_distinct("name").alias("units"), F.count("*").alias("periods"), F.min("season_start").alias("first"), F.max("season_end").alias("last")).head()
-        return {k: str(v) if isinstance(v, dt.date) else v for k, v in row.asDict().items()}
+        return admin.unit_periods(self.windows(level, names, day), day, c.which, c.period)
+
+    def windows(self, level: str | None = None, names: list[str] = (), as_of: str | None = None) -> DataFrame:
+        """Every selected unit with its season window, in or out of season."""
+        c, day = self.settings, dt.date.fromisoformat(_day(as_of))
+        return admin.season_windows(admin.planting(self.select(level, names), c.fallback, c.season), c.year_at(day), c.season)
+
+    def plan_totals(self, plan: DataFrame, level: str | None = None, names: list[str] = (), as_of: str | None = None) -> dict:
+        """Totals of a plan, and of all selected units if their number is asked for by ``level`` or ``names``; tiles are those of the units' cells."""
+        c, day = self.settings, dt.date.fromisoformat(_day(as_of))
+        row = plan.agg(F.count_distinct("name").alias("units_in_season"), F.count("*").alias("periods"), F.min("season_start").alias("first"), F.max("season_end").alias("last")).head()
+        planted = admin.planting(self.select(level, names), c.fallback, c.season)
+        notes = planted.where((F.size("rare") > 0) | (F.coalesce("unparsed", F.lit(0)) > 0) | (F.size("atypical") > 0))
+        cells = max(1, round(c.tile_degrees / c.grid_degrees))
+        tiles = self.obs.join(plan.select(F.col("name").alias("unit")).distinct(), "unit", "left_semi").select(F.floor(F.col("row") / cells), F.floor(F.col("col") / cells)).distinct()
+        totals = {k: str(v) if isinstance(v, dt.date) else v for k, v in row.asDict().items()}
+        return totals | {"units": planted.count(), "notes": notes.count(), "tiles": tiles.count(), "tile_deg": c.tile_degrees, "source": c.source, "period": c.period, "which": c.which, **c.summary(day)}
 
     # the pipeline
     def cycles(self, obs: DataFrame, start: str, end: str, config: Phenology | None = None, align: str = "start") -> DataFrame:
@@ -80,87 +98,133 @@ class Runner:
         return out.select(F.col("pixel_id.unit").alias("unit"), F.col("pixel_id.row").alias("row"), F.col("pixel_id.col").alias("col"), *out.columns[1:])
 
     def smoothed(self, cycles: DataFrame) -> DataFrame:
-        """Date medians over neighbours of the whole grid."""
+        """Date medians over neighbours of the same unit on the whole grid."""
         radius = self.settings.median_radius
         if radius < 1:
             return cycles
-        dates = [d for d in ("plant", "emergence", "tillering", "panicle_init", "heading", "peak", "maturity", "harvest")]
+        dates = list(DATES)
         kept = [c for c in cycles.columns if c not in dates and c != "season_length"]
-        return cycles.select(*kept).join(focal.smooth_dates(cycles.select("row", "col", *dates), dates, radius), ["row", "col"])
+        return cycles.select(*kept).join(focal.smooth_dates(cycles.select("unit", "row", "col", *dates), dates, radius, ("unit",)), ["unit", "row", "col"])
+
+    def stages(self, cycles: DataFrame, due: DataFrame) -> DataFrame:
+        """(unit, label, row, col, growth_stage) of all due periods (name, label, p_start, p_end)."""
+        c = self.settings
+        rows = cycles.join(due.select(F.col("name").alias("unit"), "label", "p_start", "p_end"), "unit")
+        rows = rows.select("unit", "label", "row", "col", stages.stage_over(F.unix_date("p_start"), F.unix_date("p_end"), c.classify).alias("growth_stage"))
+        if c.majority_radius < 1:
+            return rows
+        return focal.majority(rows, "growth_stage", c.majority_radius, NO_STAGE, ("unit", "label")).withColumn("growth_stage", F.col("growth_stage").cast("smallint"))
 
     def _areas(self, stage_rows: DataFrame, by: list[str]) -> DataFrame:
         res = self.settings.grid_degrees
         cells = stage_rows.withColumn("ha", grid.cell_area_ha(-(F.col("row") + 0.5) * res, res))
         return summary.shares(summary.counts(cells, by), by)
 
-    def run_periodic(self, out_dir: str, level: str | None = None, names: list[str] = (), as_of: str | None = None, only: list[str] = (), start_from: str | None = None) -> dict:
-        """Runs all units and periods that are due and not saved; returns paths and outcome counts."""
+    def cycles_of(self, due: DataFrame, day: str) -> DataFrame:
+        """Smoothed cycles of every due unit over its own window (name, season_start, season_end), up to the day.
+
+        The few distinct windows, as planting months make them, become branches of one plan.
+        """
+        own = due.select(F.col("name").alias("unit"), "season_start", F.least("season_end", F.lit(day).cast("date")).alias("season_end")).distinct()
+        obs = self.obs.where(F.to_date("ts") <= F.lit(day).cast("date"))
+        parts = []
+        for a, z in own.select("season_start", "season_end").distinct().orderBy("season_start", "season_end").collect():
+            units = own.where((F.col("season_start") == F.lit(a)) & (F.col("season_end") == F.lit(z))).select("unit")
+            parts.append(self.cycles(obs.join(units, "unit", "left_semi"), str(a), str(z)))
+        return self.smoothed(reduce(DataFrame.unionByName, parts))
+
+    def run_periodic(self, out_dir: str, level: str | None = None, names: list[str] = (), as_of: str | None = None, only: list[str] = (), start_from: str | None = None, skip_existing: bool | None = None, mosaic: bool | None = None) -> dict:
+        """Runs all units and periods that are due and not saved; returns paths, outcome counts and, after a run of several units, the mosaic.
+
+        Below ``out_dir``: ``stages`` and ``summary`` by period and unit, the ``manifest`` of
+        what was made (with a reason where a unit had no cell), ``quality`` and ``logs``.
+        """
         c, day = self.settings, _day(as_of)
-        plan = self.plan(level, names, day).select("name", "season_start", "season_end", "label", "p_start", "p_end")
+        every = self.windows(level, names, day).select("name").distinct()
         if only:
-            plan = plan.where(F.col("name").isin(list(only)))
+            every = every.where(name_key(F.col("name")).isin([n.strip().upper() for n in only]))
         if start_from:
-            plan = plan.where(F.col("name") >= start_from)
-        saved = self.saved(out_dir)
-        due = plan if saved is None or not c.skip_existing else admin.missing(plan, saved)
-        due = due.cache()
+            if every.where(name_key(F.col("name")) == start_from.strip().upper()).isEmpty():
+                raise admin.UnknownNames(f"{start_from} is not in the selection")
+            every = every.where(name_key(F.col("name")) >= start_from.strip().upper())
+        plan = self.plan(level, names, day).join(every, "name", "left_semi").select("name", "season_start", "season_end", "label", "p_start", "p_end")
+        skip = c.skip_existing if skip_existing is None else skip_existing
+        saved = self.saved(out_dir) if skip else None
+        due = (plan if saved is None else admin.missing(plan, saved)).cache()
         try:
-            # each unit has its own season, up to the day of the run; few windows differ, as planting months make them
-            own = due.select(F.col("name").alias("unit"), "season_start", F.least("season_end", F.lit(day).cast("date")).alias("season_end")).distinct()
-            windows = own.select("season_start", "season_end").distinct().orderBy("season_start", "season_end").collect()
-            all_units = plan.select("name").distinct()
-            if not windows:
-                log = all_units.select("name", F.lit("skipped").alias("status"))
+            status = F.when(F.col("planned").isNull(), "out_of_season").when(F.col("due").isNull(), "skipped")
+            log = every.join(plan.select("name", F.lit(1).alias("planned")).distinct(), "name", "left").join(due.select("name", F.lit(1).alias("due")).distinct(), "name", "left")
+            if due.isEmpty():
+                log = log.select("name", status.alias("status"), F.lit(None).cast("string").alias("error"))
             else:
-                obs = self.obs.where(F.to_date("ts") <= F.lit(day).cast("date"))
-                parts = []
-                for a, z in windows:
-                    units = own.where((F.col("season_start") == F.lit(a)) & (F.col("season_end") == F.lit(z))).select("unit")
-                    parts.append(self.cycles(obs.join(units, "unit", "left_semi"), str(a), str(z)))
-                cycles = self.smoothed(reduce(DataFrame.unionByName, parts))
-                rows = cycles.join(due.select(F.col("name").alias("unit"), "label", "p_start", "p_end"), "unit")
-                stage = stages.stage_over(F.unix_date("p_start"), F.unix_date("p_end"), c.classify)
-                rows = rows.select(file_name(F.col("unit")).alias("unit_file"), "unit", "label", "row", "col", stage.alias("growth_stage"))
-                rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("label", "unit_file").parquet(f"{out_dir}/stages")
-                if c.save_quality:
-                    year = windows[0]["season_start"].year
-                    stages.encoded(cycles.withColumn("pixel_id", F.struct("unit", "row", "col")).drop("unit", "row", "col"), year).write.mode("overwrite").parquet(f"{out_dir}/quality-{year}")
-                made = self.spark.read.parquet(f"{out_dir}/stages")
-                seen = made.select("unit", "label").distinct()
-                self._areas(made, ["unit", "label"]).write.mode("overwrite").option("header", True).csv(f"{out_dir}/summary")
-                status = F.when(F.col("due").isNull(), "skipped").when(F.col("seen").isNull(), "no_coverage").otherwise("success")
-                log = all_units.join(due.select("name", F.lit(1).alias("due")).distinct(), "name", "left")
-                log = log.join(seen.select(F.col("unit").alias("name"), F.lit(1).alias("seen")).distinct(), "name", "left").select("name", status.alias("status"))
-            self._save_log(log, out_dir)
+                try:
+                    seen = self._make(due, day, out_dir)
+                    log = log.join(seen.where("pixels > 0").select("name", F.lit(1).alias("seen")).distinct(), "name", "left")
+                    log = log.select("name", status.when(F.col("seen").isNull(), "no_coverage").otherwise("success").alias("status"), F.lit(None).cast("string").alias("error"))
+                except Exception as e:  # noqa: BLE001  reported for the units that were due, like any other outcome
+                    self.log(f"periodic run: {e!r}"[:2000])
+                    log = log.select("name", status.otherwise("failed").alias("status"), F.when(F.col("due").isNotNull(), F.lit(repr(e)[:500])).alias("error"))
+            log = self._save_log(log, out_dir, "periodic")
             counts = {r["status"]: r["n"] for r in log.groupBy("status").agg(F.count("*").alias("n")).collect()}
         finally:
             due.unpersist()
-        self.last = {"outputs": out_dir, "outcomes": counts}
+        self.last = {"kind": "periodic", "as_of": day, "outputs": out_dir, "outcomes": counts}
+        if (c.mosaic_after if mosaic is None else mosaic) and not only and sum(counts.values()) > 1 and counts.keys() & {"success", "skipped"}:
+            try:
+                self.last["mosaic"] = self.mosaic(out_dir, level, names, day)
+            except Exception as e:  # noqa: BLE001  the maps are saved
+                self.last["mosaic"] = {"error": repr(e)[:500]}
         return self.last
 
+    def _make(self, due: DataFrame, day: str, out_dir: str) -> DataFrame:
+        """Writes stages, summaries and the manifest of the due units and periods; returns the new manifest rows."""
+        c = self.settings
+        cycles = self.cycles_of(due, day)
+        rows = self.stages(cycles, due).withColumn("unit_file", file_name(F.col("unit")))
+        rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("label", "unit_file").parquet(f"{out_dir}/stages")
+        if c.save_quality:
+            year = c.planting_year({"wet": 6, "dry": 12}[c.season], dt.date.fromisoformat(day))
+            coded = stages.encoded(cycles.withColumn("pixel_id", F.struct("unit", "row", "col")).drop("unit", "row", "col"), year)
+            coded.select(file_name(F.col("pixel_id.unit")).alias("unit_file"), "*").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("unit_file").parquet(f"{out_dir}/quality-{year}")
+        # only the partitions just written are read again
+        own = due.select("name", "label", file_name(F.col("name")).alias("unit_file"))
+        made = self.spark.read.schema(_STAGES).parquet(f"{out_dir}/stages").join(own.select("label", "unit_file"), ["label", "unit_file"], "left_semi")
+        areas = self._areas(made, ["label", "unit_file"])
+        areas.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").option("header", True).partitionBy("label", "unit_file").csv(f"{out_dir}/summary")
+        pixels = made.groupBy("label", "unit_file").agg(F.count("*").alias("pixels"))
+        seen = own.join(pixels, ["label", "unit_file"], "left").select("name", "label", F.coalesce("pixels", F.lit(0)).alias("pixels"), F.when(F.col("pixels").isNull(), "no_coverage").alias("reason"), F.lit(day).alias("as_of"))
+        run = f"{out_dir}/manifest/run={dt.datetime.now(dt.UTC).strftime('%Y%m%dT%H%M%S%f')}"
+        seen.coalesce(1).write.mode("overwrite").parquet(run)  # one row a unit and period
+        return self.spark.read.parquet(run)
+
     def saved(self, out_dir: str) -> DataFrame | None:
-        """(name, label) pairs with stored stages."""
+        """(name, label) pairs with stored stages, from the manifest."""
         try:
-            return self.spark.read.parquet(f"{out_dir}/stages").select(F.col("unit").alias("name"), F.col("label").cast("string").alias("label")).distinct()
+            return self.spark.read.parquet(f"{out_dir}/manifest").where("pixels > 0").select("name", "label").distinct()
         except Exception as e:  # nothing stored yet
             if "PATH_NOT_FOUND" in str(e) or "UNABLE_TO_INFER" in str(e):
                 return None
             raise
 
-    def _save_log(self, log: DataFrame, out_dir: str) -> None:
-        """Never fails a run."""
+    def _save_log(self, log: DataFrame, out_dir: str, kind: str) -> DataFrame:
+        """Stores one row a unit and reads it back; where that fails, the run does not."""
         try:
-            stamp = dt.datetime.now(dt.UTC).strftime("%Y%m%dT%H%M%S")
-            log.write.mode("overwrite").option("header", True).csv(f"{out_dir}/logs/{stamp}")
+            path = f"{out_dir}/logs/{kind}_{dt.datetime.now(dt.UTC).strftime('%Y%m%dT%H%M%S%f')}"
+            log.coalesce(1).write.mode("overwrite").option("header", True).csv(path)
+            return self.spark.read.schema(log.schema).csv(path, header=True)
         except Exception as e:  # noqa: BLE001
             self.log(f"the run log was not saved: {e}")
+            return log
 
-    def mosaic(self, out_dir: str, level: str | None = None, names: list[str] = (), as_of: str | None = None) -> dict:
+    def mosaic(self, out_dir: str, level: str | None = None, names: list[str] = (), as_of: str | None = None, periods: list[str] = ()) -> dict:
         """Joins the stored units of every period: the first unit with data wins a cell; lists what is missing."""
         plan = self.plan(level, names, as_of).select("name", "label")
+        if periods:  # labels of other periods, for all selected units
+            units = self.windows(level, names, as_of).select("name").distinct()
+            plan = units.select("name", F.explode(F.array(*map(F.lit, periods))).alias("label"))
         saved = self.saved(out_dir)
         missing = admin.missing(plan, saved) if saved is not None else plan
-        rows = self.spark.read.parquet(f"{out_dir}/stages").withColumn("label", F.col("label").cast("string"))
+        rows = self.spark.read.schema(_STAGES).parquet(f"{out_dir}/stages")
         rows = rows.join(plan.select(F.col("name").alias("unit"), "label"), ["unit", "label"], "left_semi").where("growth_stage >= 0")
         best = rows.groupBy("label", "row", "col").agg(F.min(F.struct("unit", "growth_stage")).alias("s")).select("label", "row", "col", F.col("s.growth_stage").alias("growth_stage"))
         best.write.mode("overwrite").partitionBy("label").parquet(f"{out_dir}/mosaic")
@@ -169,24 +233,61 @@ class Runner:
         lack = {r["label"]: r["names"] for r in missing.groupBy("label").agg(F.sort_array(F.collect_list("name")).alias("names")).collect()}
         return {"outputs": f"{out_dir}/mosaic", "missing": lack}
 
-    def run_recent(self, names: list[str] = (), as_of: str | None = None, lookback_days: int | None = None) -> DataFrame:
-        """Stage, data age and quality on a date from a rolling window that ends on it; always the latest cycle."""
+    def in_box(self, bbox: tuple[float, float, float, float]) -> DataFrame:
+        """Observations of the cells that share area with a box, by ranges of row and column that reach the scan."""
+        res = self.settings.grid_degrees
+        west, north, cols, rows = grid.snapped(bbox, res)
+        left, top = round(west / res), round(-north / res)
+        return self.obs.where(F.col("col").between(left, left + cols - 1) & F.col("row").between(top, top + rows - 1))
+
+    def run_recent(self, names: list[str] = (), as_of: str | None = None, lookback_days: int | None = None, bbox: tuple | None = None) -> DataFrame:
+        """Stage, data age and quality on a date from a rolling window that ends on it; always the latest cycle.
+
+        Over whole units, or over a box, which then is the unit's name.
+        """
         c, day = self.settings, _day(as_of)
         back = lookback_days or c.lookback_days
         start = str(dt.date.fromisoformat(day) - dt.timedelta(days=back))
-        obs = self.obs.where(F.col("unit").isin(list(names))) if names else self.obs
+        obs = self.obs.where(F.col("unit").isin(list(names))) if names or bbox is None else None
+        if not names and bbox is None:
+            obs = self.obs
+        if bbox is not None:
+            inside = self.in_box(bbox).withColumn("unit", F.lit("BBOX_" + "_".join(f"{v:.3f}" for v in bbox)))
+            obs = inside if obs is None else obs.unionByName(inside)
         config = replace(c.phenology, peak_select="last", peak_search=(30, back))
-        cycles = self.smoothed(self.cycles(obs, start, day, config, align="end"))
+        cycles = self.smoothed(self.cycles(obs.where(F.to_date("ts") <= F.lit(day).cast("date")), start, day, config, align="end"))
         at = F.unix_date(F.lit(day).cast("date"))
         return cycles.select("unit", "row", "col", stages.stage_at(at).alias("growth_stage"), (at - F.col("last_obs")).alias("data_age_days"), "qc")
 
+    def save_recent(self, out_dir: str, names: list[str] = (), as_of: str | None = None, lookback_days: int | None = None, bbox: tuple | None = None) -> dict:
+        """Runs and stores the recent stages by area and day as small whole numbers, with areas and a log."""
+        day, base = _day(as_of), f"{out_dir}/{self.settings.recent_prefix}"
+        asked = [*names, *(["BBOX_" + "_".join(f"{v:.3f}" for v in bbox)] if bbox is not None else [])]
+        pack = lambda c: F.coalesce(F.least(F.greatest(F.bround(F.col(c).cast("double")), F.lit(-32767.0)), F.lit(32767.0)), F.lit(float(NO_VALUE))).cast("smallint").alias(c)
+        rows = self.run_recent(names, as_of, lookback_days, bbox)
+        rows = rows.select(file_name(F.col("unit")).alias("unit_file"), F.lit(day.replace("-", "")).alias("day"), "unit", "row", "col", pack("growth_stage"), pack("data_age_days"), pack("qc"))
+        rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("day", "unit_file").parquet(f"{base}/stages")
+        made = self.spark.read.parquet(f"{base}/stages").withColumn("day", F.col("day").cast("string")).where((F.col("day") == day.replace("-", "")) & (F.col("unit").isin(asked) if asked else F.lit(True)))
+        areas, ages = self.recent_summary(made.withColumn("data_age_days", F.when(F.col("data_age_days") != NO_VALUE, F.col("data_age_days"))))
+        areas.write.mode("overwrite").option("header", True).csv(f"{base}/summary/{day}")
+        seen = {r["unit"]: r["median_age"] for r in ages.collect()}  # one row an area
+        log = self.spark.createDataFrame([(n, "success" if n in seen else "no_coverage") for n in asked or seen], "name string, status string")
+        self._save_log(log, base, "recent")
+        self.last = {"kind": "recent", "as_of": day, "outputs": f"{base}/stages", "success": sorted(seen), "no_coverage": sorted(set(asked) - set(seen)), "median_age": seen, "areas": [r.asDict() for r in areas.orderBy("unit", "growth_stage").limit(300).collect()]}
+        return self.last
+
     def recent_summary(self, recent: DataFrame) -> tuple[DataFrame, DataFrame]:
         """Areas per unit and stage, and the median data age per unit."""
         return self._areas(recent, ["unit"]), recent.groupBy("unit").agg(F.median("data_age_days").alias("median_age"))
 
-    def quick_check(self, start: str, end: str) -> dict[str, int]:
-        """Quality histogram of a window."""
-        return {QUALITY[r["qc"]]: r["pixels"] for r in summary.quality_histogram(self.cycles(self.obs, start, end)).collect()}
+    def quick_check(self, bbox: tuple[float, float, float, float], planting_month: int | None = None, year: int | None = None) -> dict:
+        """Quality outcomes of a box over the season of a planting month (by default the fallback's), planted in a year."""
+        month = planting_month or self.settings.fallback
+        start, end = calendar.window(month, year) if year else self.window_for(month)
+        found = {r["qc"]: r["pixels"] for r in summary.quality_histogram(self.cycles(self.in_box(bbox), str(start), str(end))).collect()}  # one row a code
+        if not found:
+            return {"status": "no observations on cropland in the box"}
+        return {"crop_pixels": sum(found.values()), "cycle_pixels": sum(n for q, n in found.items() if q < 10), "qc_counts": {QUALITY[q]: n for q, n in sorted(found.items())}}
 
     def list_outputs(self, store, kind: str = "", contains: str = "", limit: int = 60) -> list[str]:
         """The last names that match."""

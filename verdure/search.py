@@ -6,6 +6,7 @@ import ast
 import json
 import re
 from collections import Counter
+from pathlib import Path
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -53,6 +54,14 @@ def _words(query: str) -> list[str]:
     return [w for w in found + [p for w in found if "_" in w for p in w.split("_") if p] if w not in STOP]
 
 
+def package_docs(spark):
+    """(id, source, text) chunks of this package's own sources and the README beside it."""
+    root = Path(__file__).resolve().parent
+    files = [*sorted(root.glob("*.py")), *sorted(root.glob("[!_]*/*.py")), *sorted(root.parent.glob("README.md"))]
+    parts = [c for f in files for c in chunks_of(str(f.relative_to(root.parent)), f.read_text(encoding="utf-8"))]
+    return spark.createDataFrame([(i, s, t) for i, (s, t) in enumerate(parts)], "id int, source string, text string")
+
+
 def split(text: str, limit: int = CHUNK) -> list[str]:
     """Paragraphs packed into chunks of about ``limit`` characters."""
     out, held = [], ""

@@ -9,7 +9,8 @@ from verdure import search
 from verdure.config import Settings
 from verdure.plans.runner import Runner
 
-_TEXT, _LIST, _INT = {"type": "string"}, {"type": "array", "items": {"type": "string"}}, {"type": "integer"}
+_TEXT, _LIST, _INT, _YES = {"type": "string"}, {"type": "array", "items": {"type": "string"}}, {"type": "integer"}, {"type": "boolean"}
+_BOX = {"type": "array", "items": {"type": "number"}, "description": "west, south, east, north in degrees"}
 _AREA = {"level": _TEXT, "names": _LIST, "as_of": _TEXT}
 #: Tool names, what they do and their parameters.
 SCHEMAS = {
@@ -17,14 +18,14 @@ SCHEMAS = {
     "update_settings": ("Change settings", {"changes": {"type": "object"}}),
     "list_areas": ("Names of units", {"kind": _TEXT, "region": _TEXT, "contains": _TEXT}),
     "plan_periodic_run": ("What a periodic run would make", _AREA),
-    "run_periodic": ("Make stage maps for the due periods", _AREA | {"only": _LIST, "start_from": _TEXT}),
-    "run_recent": ("Stage on a date from the latest observations", {"names": _LIST, "as_of": _TEXT, "lookback_days": _INT}),
-    "quick_check": ("Quality histogram of a window", {"start": _TEXT, "end": _TEXT}),
+    "run_periodic": ("Make stage maps for the due periods", _AREA | {"only": _LIST, "start_from": _TEXT, "skip_existing": _YES}),
+    "run_recent": ("Stage on a date from the latest observations, of units or a box; stored with its areas", {"names": _LIST, "bbox": _BOX, "as_of": _TEXT, "lookback_days": _INT}),
+    "quick_check": ("Quality outcomes of a small box over one season", {"bbox": _BOX, "planting_month": _INT, "year": _INT}),
     "list_outputs": ("Stored files", {"kind": _TEXT, "contains": _TEXT, "limit": _INT}),
     "read_summary": ("A stored summary", {"path": _TEXT}),
     "search_method_docs": ("Search the documentation", {"query": _TEXT, "k": _INT}),
-    "mosaic_periodic": ("Join stored units", _AREA),
-    "last_run": ("Result of the last run", {}),
+    "mosaic_periodic": ("Join stored units", _AREA | {"periods": _LIST}),
+    "last_run": ("Result of the last run", {"kind": _TEXT}),
 }
 NEEDS_APPROVAL = ("run_periodic",)
 
@@ -33,22 +34,24 @@ def tool_list() -> list[dict]:
     return [{"name": n, "description": d, "parameters": {"type": "object", "properties": p}} for n, (d, p) in SCHEMAS.items()]
 
 
+def _fitted(v, schema: dict):
+    kind = schema.get("type")
+    if kind == "array":
+        v = [x.strip() for x in v.split(",") if x.strip()] if isinstance(v, str) else v
+        return [_fitted(x, schema.get("items", {})) for x in v] if isinstance(v, (list, tuple)) else v
+    if kind == "boolean" and isinstance(v, str) and v.strip().lower() in ("true", "yes", "1", "false", "no", "0"):
+        return v.strip().lower() in ("true", "yes", "1")
+    if kind in ("integer", "number") and not isinstance(v, bool):
+        try:
+            return float(v) if kind == "number" else int(float(v)) if float(v).is_integer() else v
+        except (TypeError, ValueError):
+            pass
+    return v
+
+
 def coerced(args: dict, schema: dict) -> dict:
-    """Whole floats as integers, "true" as a truth value, a lone text as a list; what does not fit stays."""
-    out = {}
-    for k, v in args.items():
-        kind = schema.get(k, {}).get("type")
-        if kind == "integer" and not isinstance(v, bool):
-            try:
-                v = int(float(v)) if float(v).is_integer() else v
-            except (TypeError, ValueError):
-                pass
-        elif kind == "boolean" and isinstance(v, str) and v.lower() in ("true", "false"):
-            v = v.lower() == "true"
-        elif kind == "array" and isinstance(v, str):
-            v = [x.strip() for x in v.split(",") if x.strip()]
-        out[k] = v
-    return out
+    """Whole floats as integers, "true" as a truth value, a lone text as a list, at any depth of lists; what does not fit stays."""
+    return {k: _fitted(v, schema.get(k, {})) for k, v in args.items()}
 
 
 def public(x):
@@ -100,7 +103,7 @@ class ToolRunner:
     def t_plan_periodic_run(self, **area):
         plan = self.runner.plan(**area)
         rows = [{k: str(v) for k, v in r.asDict().items()} for r in plan.orderBy("name", "label").limit(100).collect()]
-        return {**self.runner.plan_totals(plan), "detail": rows}
+        return {**self.runner.plan_totals(plan, **area), "detail": rows}
 
     def t_run_periodic(self, **args):
         return self.runner.run_periodic(self.out_dir, **args)
@@ -109,14 +112,15 @@ class ToolRunner:
         return self.runner.mosaic(self.out_dir, **area)
 
     def t_run_recent(self, **args):
+        if not args.get("names") and not args.get("bbox"):
+            return {"error": "names or bbox must be given"}
         known = {r[0] for r in self.runner.units.select("name").where(self.runner.units["name"].isin(list(args.get("names", [])))).distinct().collect()}
         if lack := [n for n in args.get("names", []) if n not in known]:
             return {"error": f"unknown areas {', '.join(lack)}"}
-        areas, ages = self.runner.recent_summary(self.runner.run_recent(**args))
-        return {"areas": [r.asDict() for r in areas.limit(300).collect()], "median_age": {r["unit"]: r["median_age"] for r in ages.limit(300).collect()}}
+        return self.runner.save_recent(self.out_dir, **args)
 
-    def t_quick_check(self, start: str, end: str):
-        return self.runner.quick_check(start, end)
+    def t_quick_check(self, bbox: list, planting_month: int | None = None, year: int | None = None):
+        return self.runner.quick_check(tuple(bbox), planting_month, year)
 
     def t_list_outputs(self, kind: str = "", contains: str = "", limit: int = 60):
         return self.runner.list_outputs(self.store, kind, contains, limit)
@@ -128,5 +132,6 @@ class ToolRunner:
         found = search.search(self.docs, query, k).join(self.docs, "id").orderBy("score", ascending=False)
         return [{"source": r["source"], "text": r["text"][:2500], "score": r["score"]} for r in found.collect()]
 
-    def t_last_run(self):
-        return self.runner.last or {"note": "no run yet"}
+    def t_last_run(self, kind: str | None = None):
+        last = self.runner.last
+        return last if last and kind in (None, last["kind"]) else {"note": "no such run yet"}
