@@ -2,10 +2,7 @@
 
 from __future__ import annotations
 
-import atexit
-import contextlib
 import os
-import tempfile
 import uuid
 from pathlib import Path
 
@@ -14,6 +11,8 @@ from pyarrow import fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from verdure import scratch
+
 REPO = str(Path(__file__).resolve().parents[2])
 
 
@@ -25,36 +24,9 @@ def prepare(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession, tag: str) -> str:
-    """A new folder name below the cluster's shared checkpoint folder.
-
-    ``spark.checkpoint.dir`` names that folder.  Where it is unset, a session
-    whose executors are threads of this process (``local[...]``, as in tests)
-    takes a temporary folder, and any other raises.  What is still there when
-    the driver ends is deleted then.
-    """
+    """A new folder name below the cluster's shared checkpoint folder, for a session whose workers know this package."""
     prepare(spark)
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
-            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-        root = os.environ.get("VERDURE_TEST_SHARED")
-        if not root:
-            root = os.environ["VERDURE_TEST_SHARED"] = tempfile.mkdtemp(prefix="verdure-shared-")
-    path = f"{root.rstrip('/')}/{tag}-{uuid.uuid4().hex}"
-    if not _scratch:
-        atexit.register(_clear)
-    _scratch.append((spark, path))
-    return path
-
-
-_scratch: list[tuple[SparkSession, str]] = []
-
-
-def _clear() -> None:
-    for spark, path in _scratch:
-        with contextlib.suppress(Exception):  # the session may have ended
-            remove(spark, path)
-    _scratch.clear()
+    return scratch.shared_dir(spark, tag)
 
 
 def planned_bytes(df: DataFrame, text_col: str) -> int:
@@ -69,11 +41,7 @@ def table(spark: SparkSession, df: DataFrame, path: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def remove(spark: SparkSession, path: str) -> None:
-    """Delete a scratch folder that no later plan reads."""
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+remove = scratch.remove
 
 
 def file_system(uri: str) -> tuple[pafs.FileSystem, str]:
