@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -24,11 +26,19 @@ def file_name(c: Column) -> Column:
 
 def tokens(c: Column) -> Column:
     """Lower-case words of letters, digits and _, and the parts of words with _; without stop words."""
-    found = F.regexp_extract_all(F.lower(c), F.lit("([a-z0-9_]+)"), 1)
+    return once(F.regexp_extract_all(F.lower(c), F.lit("([a-z0-9_]+)"), 1), _without_stops)
+
+
+def _without_stops(found: Column) -> Column:
     parts = F.flatten(F.transform(F.filter(found, lambda w: w.contains("_")), lambda w: F.filter(F.split(w, "_"), lambda p: p != "")))
     return F.filter(F.concat(found, parts), lambda w: ~w.isin(*STOP))
 
 
+def once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value) with the value evaluated once, however often ``use`` names it: collapsed projections would repeat it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def digest(*cols: Column) -> Column:
     """Ten hex digits that name a combination of values."""
     return F.substring(F.md5(F.to_json(F.struct(*cols))), 1, 10)

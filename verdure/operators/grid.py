@@ -28,6 +28,24 @@ def cell(x: Column, y: Column, res: float) -> tuple[Column, Column]:
     return F.floor(x / res).cast("int"), F.floor(-y / res).cast("int")
 
 
+def snap(w: Column, s: Column, e: Column, n: Column, res: float) -> Column:
+    """``snapped`` for columns: west, north, columns and rows as a struct."""
+    eps = res * 1e-6
+    c0, c1 = F.floor((w + eps) / res), F.ceil((e - eps) / res)
+    r0, r1 = F.floor((s + eps) / res), F.ceil((n - eps) / res)
+    return F.struct((c0 * res).alias("west"), (r1 * res).alias("north"), (c1 - c0).alias("cols"), (r1 - r0).alias("rows"))
+
+
+def tile_of(x: Column, y: Column, size: float) -> tuple[Column, Column]:
+    """West and south edge of the one half-open tile that holds a point, by arithmetic instead of a range join."""
+    return (F.floor(x / size) * size).cast("double"), (F.floor(y / size) * size).cast("double")
+
+
+def extent(cells: DataFrame) -> DataFrame:
+    """One row: the first and last row and column of the cells, to prune a read with."""
+    return cells.agg(F.min("row").alias("row0"), F.max("row").alias("row1"), F.min("col").alias("col0"), F.max("col").alias("col1"))
+
+
 def tiles(bbox: tuple[float, float, float, float], size: float) -> list[tuple[float, float, float, float]]:
     """Tile boxes by column, the last ones clipped to the box."""
     w, s, e, n = bbox
@@ -80,22 +98,31 @@ def cell_touches(w: Column, s: Column, e: Column, n: Column, ring: list[tuple[fl
     """Any part of a cell lies in the polygon: its centre does, or an edge enters the cell.  A mere touch does not count."""
     dx, dy = (e - w) * 1e-6, (n - s) * 1e-6
     w, s, e, n = w + dx, s + dy, e - dx, n - dy
+    return in_polygon((w + e) / 2, (s + n) / 2, ring) | F.exists(edges(ring), lambda d: _enters(d, w, s, e, n))
+
 
-    def enters(d: Column) -> Column:
-        side = lambda x, y: (d.x2 - d.x1) * (y - d.y1) - (d.y2 - d.y1) * (x - d.x1)
-        corners = (side(w, s), side(e, s), side(e, n), side(w, n))
-        boxes = (w < F.greatest(d.x1, d.x2)) & (e > F.least(d.x1, d.x2)) & (s < F.greatest(d.y1, d.y2)) & (n > F.least(d.y1, d.y2))
-        return boxes & (F.greatest(*corners) > 0) & (F.least(*corners) < 0)
+def _enters(d: Column, w: Column, s: Column, e: Column, n: Column) -> Column:
+    """An edge passes through the inside of a box."""
+    side = lambda x, y: (d.x2 - d.x1) * (y - d.y1) - (d.y2 - d.y1) * (x - d.x1)
+    corners = (side(w, s), side(e, s), side(e, n), side(w, n))
+    boxes = (w < F.greatest(d.x1, d.x2)) & (e > F.least(d.x1, d.x2)) & (s < F.greatest(d.y1, d.y2)) & (n > F.least(d.y1, d.y2))
+    return boxes & (F.greatest(*corners) > 0) & (F.least(*corners) < 0)
 
-    return in_polygon((w + e) / 2, (s + n) / 2, ring) | F.exists(edges(ring), enters)
+
+def cell_inside(w: Column, s: Column, e: Column, n: Column, ring: list[tuple[float, float]]) -> Column:
+    """All of a cell lies in the polygon: its centre does, and no edge enters the cell."""
+    dx, dy = (e - w) * 1e-6, (n - s) * 1e-6
+    return in_polygon((w + e) / 2, (s + n) / 2, ring) & ~F.exists(edges(ring), lambda d: _enters(d, w + dx, s + dy, e - dx, n - dy))
 
 
-def clip(cells: DataFrame, rings: list[list[tuple[float, float]]], res: float) -> DataFrame:
-    """Cells (row, col) of which any part lies in one of the polygons."""
+def clip(cells: DataFrame, rings: list[list[tuple[float, float]]], res: float, holes: list[list[tuple[float, float]]] = ()) -> DataFrame:
+    """Cells (row, col) of which any part lies in one of the polygons and that no hole holds whole."""
     w, n = F.col("col") * res, -F.col("row") * res
     test = F.lit(False)
     for ring in rings:
         test = test | cell_touches(w, n - res, w + res, n, ring)
+    for hole in holes:
+        test = test & ~cell_inside(w, n - res, w + res, n, hole)
     return cells.where(test)
 
 

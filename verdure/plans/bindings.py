@@ -41,6 +41,38 @@ EVENT_SERIES = f"""SELECT p.pixel_id, a.k, CAST(19723 + a.k AS INT) AS t, c.v
 FROM (SELECT DISTINCT pixel_id FROM ({BINNED}) WHERE k BETWEEN 0 AND {EVENT_N - 1}) p CROSS JOIN (SELECT CAST(range AS INT) AS k FROM range({EVENT_N})) a
 LEFT JOIN (SELECT pixel_id, k, max(ndvi) AS v FROM ({BINNED}) WHERE k BETWEEN 0 AND {EVENT_N - 1} GROUP BY ALL) c ON c.pixel_id = p.pixel_id AND c.k = a.k"""
 
+def catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as scenes of three collections, with footprints and assets whose names differ."""
+    k = F.col("o_orderkey")
+    w, s = k * 37 % 100 / 10.0, k * 53 % 100 / 10.0
+    kind = F.when(F.col("o_orderstatus") == "F", "sentinel-2-l2a").when(F.col("o_orderstatus") == "O", "hls2-s30").otherwise("hls2-l30")
+    href = lambda band: F.concat(F.lit(band), k.cast("string"))
+    nir = F.when(k % 3 == 0, "B8A").when(k % 3 == 1, "B05").otherwise("nir08")
+    assets = F.create_map(F.lit("B04"), href("r"), nir, href("n"), F.when(k % 7 == 0, "fmask").otherwise("SCL"), href("q"))
+    box = F.struct(w.alias("w"), s.alias("s"), (w + 0.5).alias("e"), (s + 0.5).alias("n"))
+    return read(spark, sf_dir, "orders").select(k.alias("scene_id"), kind.alias("collection"), F.col("o_orderdate").alias("acq_ts"), (F.col("o_custkey") % 100).cast("double").alias("cloud_cover"), box.alias("footprint"), assets.alias("assets"))
+
+
+CATALOG = "SELECT o_orderkey AS scene_id, CASE o_orderstatus WHEN 'F' THEN 'sentinel-2-l2a' WHEN 'O' THEN 'hls2-s30' ELSE 'hls2-l30' END AS collection, o_orderdate AS acq_ts, o_custkey % 100 AS cloud_cover, o_orderkey * 37 % 100 / 10.0 AS w, o_orderkey * 53 % 100 / 10.0 AS s FROM orders"
+
+
+def headers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Asset headers: a reference system and a transform, of which some are missing or empty."""
+    k = F.col("scene_id")
+    rows = catalog(spark, sf_dir).select(k, F.explode(F.map_values("assets")).alias("href"))
+    own = F.array(*(F.lit(v) for v in (0.01, 0.0, 120.0, 0.0, -0.01, 10.0)))
+    return rows.select("href", F.when(k % 11 != 0, "EPSG:4326").alias("crs"), F.when(k % 13 == 0, F.array(F.lit(0.0))).when(k % 17 != 0, own).alias("transform"))
+
+
+def cover(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Suppliers as land cover of three dates: (x, y, row, col, cls, time)."""
+    k = F.col("s_suppkey")
+    rows = read(spark, sf_dir, "supplier").select(k, "s_nationkey", F.explode(F.array(*map(F.lit, (1, 2, 3)))).alias("time"))
+    return rows.select((k % 40 * 0.01).alias("x"), (-F.floor(k / 40) * 0.01).alias("y"), F.floor(k / 40).cast("int").alias("row"), (k % 40).cast("int").alias("col"), F.when((F.col("s_nationkey") + F.col("time")) % 3 == 0, 40).otherwise(10).alias("cls"), "time")
+
+
+COVER = "SELECT s_suppkey % 40 * 0.01 AS x, -floor(s_suppkey / 40) * 0.01 AS y, CAST(floor(s_suppkey / 40) AS INT) AS row, CAST(s_suppkey % 40 AS INT) AS col, CASE WHEN (s_nationkey + time) % 3 = 0 THEN 40 ELSE 10 END AS cls, time FROM supplier CROSS JOIN (SELECT unnest([1, 2, 3]) AS time)"
+
 _CURVE = "round(0.15 + 0.05 * ({key} % 8) + (0.15 + 0.05 * ({key} % 11)) * exp(-0.5 * pow((10.0 * k - 75.0 - {key} % 120) / 25.0, 2)), 6)"
 
 

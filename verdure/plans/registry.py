@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 from verdure import scratch, search
 from verdure.config import DATES, NO_VALUE, QUALITY, STAGES, Phenology, Reflectance
 from verdure.functions import calendar, masks, text
-from verdure.operators import admin, composite, focal, grid, layers, phenology, series, stages, summary
+from verdure.operators import admin, composite, focal, grid, layers, mosaic, phenology, series, stages, summary
 from verdure.plans import bindings as b
+from verdure.sources import catalog
 from verdure.streaming import composites as streaming
 
 QUERIES: dict = {}
@@ -370,8 +371,24 @@ _TILES = "SELECT w, s, w + 0.5 AS e, s + 0.5 AS n FROM (SELECT range * 0.5 AS w
 @query(f"SELECT w, s, count(*) AS points FROM (SELECT {_XY} FROM part) JOIN ({_TILES}) ON x >= w AND x < e AND y >= s AND y < n GROUP BY w, s")
 def tile_assign(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each point in one half-open tile, by arithmetic instead of a range join."""
-    rows = _points(spark, sf_dir).select((F.floor(F.col("x") / 0.5) * 0.5).alias("w"), (F.floor(F.col("y") / 0.5) * 0.5).alias("s"))
-    return rows.groupBy(F.col("w").cast("double").alias("w"), F.col("s").cast("double").alias("s")).agg(F.count("*").alias("points"))
+    w, s = grid.tile_of(F.col("x"), F.col("y"), 0.5)
+    return _points(spark, sf_dir).groupBy(w.alias("w"), s.alias("s")).agg(F.count("*").alias("points"))
+
+
+@query(f"SELECT l_id, round(c0 * 0.07::DOUBLE, 6) AS west, round(r1 * 0.07::DOUBLE, 6) AS north, c1 - c0 AS cols, r1 - r0 AS rows FROM (SELECT l_id, CAST(floor((l_w + 7e-8) / 0.07) AS BIGINT) AS c0, CAST(ceil((l_e - 7e-8) / 0.07) AS BIGINT) AS c1, CAST(floor((l_s + 7e-8) / 0.07) AS BIGINT) AS r0, CAST(ceil((l_n - 7e-8) / 0.07) AS BIGINT) AS r1 FROM (SELECT l_id, l_w::DOUBLE AS l_w, l_s::DOUBLE AS l_s, l_e::DOUBLE AS l_e, l_n::DOUBLE AS l_n FROM ({b.boxes_sql('part', 'p_partkey', 'l_', 0.3)})))")
+def grid_snapped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The grid with edges at multiples of a step that holds each box."""
+    at = grid.snap(F.col("l_w"), F.col("l_s"), F.col("l_e"), F.col("l_n"), 0.07)
+    return _rounded(b.boxes(spark, sf_dir, "part", "p_partkey", "l_", 0.3).select("l_id", at.alias("g")).select("l_id", "g.*"), "west", "north")
+
+
+_TRIANGLE = [(1.0, 1.0), (9.0, 1.0), (1.0, 9.0)]
+
+
+@query("SELECT w, s, CAST(w + 0.5 AS DOUBLE) AS e, CAST(s + 0.5 AS DOUBLE) AS n FROM (SELECT CAST(range * 0.5 + 1 AS DOUBLE) AS w FROM range(16)) CROSS JOIN (SELECT CAST(range * 0.5 + 1 AS DOUBLE) AS s FROM range(16)) WHERE w + s < 10 - 1e-9")
+def tiles_polygon(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tiles of a triangle's box of which a part lies in the triangle; the table only says that it runs at every size."""
+    return grid.tiles_within(_TRIANGLE, 0.5, spark)
 
 
 _BOXES = "l_w < r_e AND l_e > r_w AND l_s < r_n AND l_n > r_s"
@@ -387,22 +404,6 @@ def tile_semi_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return grid.join_boxes(b.boxes(spark, sf_dir, "part", "p_partkey", "l_", 0.3), b.boxes(spark, sf_dir, "supplier", "s_suppkey", "r_", 0.7), 1.0, "semi").select("l_id")
 
 
-_MASK = "SELECT CAST(s_suppkey % 40 AS INT) AS col, CAST(floor(s_suppkey / 40) AS INT) AS row FROM supplier WHERE s_nationkey % 2 = 0"
-
-
-@query(f"SELECT c.row, c.col, CASE WHEN m.row IS NOT NULL THEN round(v, 6) END AS v FROM ({_LAST_CELLS}) c LEFT JOIN ({_MASK}) m ON m.row = c.row AND m.col = c.col")
-def mask_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Cells outside the cropland mask become null; the mask's side is left to the optimizer's size check."""
-    mask = b.read(spark, sf_dir, "supplier").where("s_nationkey % 2 = 0").select((F.col("s_suppkey") % 40).cast("int").alias("col"), F.floor(F.col("s_suppkey") / 40).cast("int").alias("row"), F.lit(True).alias("crop"))
-    return _cells(spark, sf_dir).join(mask, ["row", "col"], "left").select("row", "col", F.when(F.col("crop"), F.round("v", 6)).alias("v"))
-
-
-@query(f"SELECT min(row) AS row0, max(row) AS row1, min(col) AS col0, max(col) AS col1 FROM ({_MASK})")
-def mask_extent(spark: SparkSession, sf_dir: str) -> DataFrame:
-    mask = b.read(spark, sf_dir, "supplier").where("s_nationkey % 2 = 0").select((F.col("s_suppkey") % 40).cast("int").alias("col"), F.floor(F.col("s_suppkey") / 40).cast("int").alias("row"))
-    return mask.agg(F.min("row").alias("row0"), F.max("row").alias("row1"), F.min("col").alias("col0"), F.max("col").alias("col1"))
-
-
 @query(f"WITH r AS (SELECT CAST(floor(s_suppkey * 37 % 1000 / 100.0 / 0.5 + 0.5) AS BIGINT) AS i, CAST(floor(s_suppkey * 53 % 1000 / 100.0 / 0.5 + 0.5) AS BIGINT) AS j, max(s_acctbal) AS s_acctbal FROM supplier GROUP BY ALL) SELECT p_partkey, s_acctbal FROM (SELECT p_partkey, {_XY} FROM part) LEFT JOIN r ON i = CAST(floor(x / 0.5 + 0.5) AS BIGINT) AND j = CAST(floor(y / 0.5 + 0.5) AS BIGINT)")
 def nearest_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     right = b.read(spark, sf_dir, "supplier").select((F.col("s_suppkey") * 37 % 1000 / 100.0).alias("x"), (F.col("s_suppkey") * 53 % 1000 / 100.0).alias("y"), "s_acctbal")
@@ -412,6 +413,15 @@ def nearest_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 _RING = [(0.05, -0.25), (0.33, -0.25), (0.33, -0.02), (0.05, -0.02)]
 
 
+_HOLE = [(0.105, -0.155), (0.225, -0.155), (0.225, -0.085), (0.105, -0.085)]
+
+
+@query("SELECT row, col FROM (SELECT CAST(floor(c_custkey / 40) AS INT) AS row, CAST(c_custkey % 40 AS INT) AS col FROM customer) WHERE col * 0.01 < 0.33 AND col * 0.01 + 0.01 > 0.05 AND -row * 0.01 > -0.25 AND -row * 0.01 - 0.01 < -0.02 AND NOT (col BETWEEN 11 AND 21 AND row BETWEEN 9 AND 14)")
+def clip_cells_hole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A ring with a hole: cells that the hole holds whole go, those on its edge stay."""
+    return grid.clip(_cells(spark, sf_dir).select("row", "col"), [_RING], b.RES, [_HOLE]).select("row", "col")
+
+
 @query("SELECT row, col FROM (SELECT CAST(floor(c_custkey / 40) AS INT) AS row, CAST(c_custkey % 40 AS INT) AS col FROM customer) WHERE col * 0.01 < 0.33 AND col * 0.01 + 0.01 > 0.05 AND -row * 0.01 > -0.25 AND -row * 0.01 - 0.01 < -0.02")
 def clip_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     return grid.clip(_cells(spark, sf_dir).select("row", "col"), [_RING], b.RES).select("row", "col")
@@ -428,6 +438,19 @@ def mosaic_first_valid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return focal.first_valid(cells, "input_order", ["growth_stage"], -1)
 
 
+_FINE = f"SELECT row, col, CASE WHEN (row + col) % 4 = 0 THEN -1 ELSE CAST(v * 1000 AS INT) END AS a FROM ({_LAST_CELLS}) WHERE col < 20 AND v IS NOT NULL"
+_COARSE = f"SELECT CAST(floor((row + 0.5) * 2) AS INT) AS row, CAST(floor((col + 0.5) * 2) AS INT) AS col, CAST(v * 100 AS INT) AS a FROM ({_LAST_CELLS}) WHERE v IS NOT NULL AND CAST(v * 100 AS INT) <> 40"
+
+
+@query(f"SELECT row, col, arg_min(a, i) AS a FROM (SELECT *, 0 AS i FROM ({_FINE}) WHERE a <> -1 UNION ALL SELECT *, 1 AS i FROM ({_COARSE})) GROUP BY row, col")
+def mosaic_inputs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two rasters of other resolutions and no-data values: the finer grid, the first input with data, one no-data value."""
+    cells = _cells(spark, sf_dir).where("v is not null")
+    fine = cells.where("col < 20").select("row", "col", F.when((F.col("row") + F.col("col")) % 4 == 0, -1).otherwise(F.round(F.col("v") * 1000).cast("int")).alias("a"))
+    coarse = cells.select("row", "col", F.round(F.col("v") * 100).cast("int").alias("a"))
+    return mosaic.mosaic([mosaic.Raster(fine, 0.01, -1), mosaic.Raster(coarse, 0.02, 40)]).cells
+
+
 # ---- units, seasons and plans ------------------------------------------------
 
 
@@ -507,22 +530,70 @@ def missing_anti_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 # ---- catalog scans -----------------------------------------------------------
 
 
-@query("SELECT o_orderkey, o_totalprice FROM orders WHERE o_orderstatus = 'F' AND o_orderdate >= TIMESTAMP '1996-01-01' AND o_orderdate < TIMESTAMP '1997-01-01' AND o_totalprice < 200000")
+_SEARCH = "w < 6 AND w + 0.5 > 2 AND s < 7 AND s + 0.5 > 1.5 AND CAST(acq_ts AS DATE) BETWEEN DATE '1996-01-01' AND DATE '1997-06-30' AND cloud_cover < 60"
+
+
+def _search(spark, sf_dir, source):
+    return catalog.search(b.catalog(spark, sf_dir), source, (2.0, 1.5, 6.0, 7.0), "1996-01-01", "1997-06-30", 60.0)
+
+
+@query(f"SELECT scene_id, cloud_cover::DOUBLE AS cloud_cover FROM ({b.CATALOG}) WHERE collection = 'sentinel-2-l2a' AND {_SEARCH}")
 def catalog_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A catalog search: collection, date range and a limit, all pushed to the scan."""
-    return b.read(spark, sf_dir, "orders").where("o_orderstatus = 'F' AND o_orderdate >= TIMESTAMP_NTZ '1996-01-01' AND o_orderdate < TIMESTAMP_NTZ '1997-01-01' AND o_totalprice < 200000").select("o_orderkey", "o_totalprice")
+    """A catalog search of one collection: box, dates and cloud limit are plain columns for the scan."""
+    return _search(spark, sf_dir, "s2").select("scene_id", "cloud_cover")
+
+
+@query(f"SELECT scene_id, collection FROM ({b.CATALOG}) WHERE collection IN ('hls2-s30', 'hls2-l30') AND {_SEARCH}")
+def catalog_scan_two(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _search(spark, sf_dir, "hls").select("scene_id", "collection")
 
 
-@query("SELECT l_returnflag, count(*) AS items FROM lineitem ANTI JOIN (SELECT o_orderkey FROM orders WHERE o_orderpriority LIKE '1%') ON l_orderkey = o_orderkey GROUP BY l_returnflag")
+@query("SELECT o_orderkey AS scene_id, 'r' || o_orderkey AS red_href, 'n' || o_orderkey AS nir_href, 'q' || o_orderkey AS qa_href FROM orders")
+def scene_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first asset of each band's candidates that a scene has."""
+    return catalog.with_bands(b.catalog(spark, sf_dir)).select("scene_id", "red_href", "nir_href", "qa_href")
+
+
+@query(f"SELECT collection, count(*) AS scenes FROM ({b.CATALOG}) WHERE scene_id % 11 <> 0 AND scene_id % 13 <> 0 AND scene_id % 17 <> 0 GROUP BY collection")
 def bad_asset_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Scenes on a quarantine list are left out by an anti join."""
-    bad = b.read(spark, sf_dir, "orders").where("o_orderpriority LIKE '1%'").select(F.col("o_orderkey").alias("l_orderkey"))
-    return b.read(spark, sf_dir, "lineitem").join(bad, "l_orderkey", "left_anti").groupBy("l_returnflag").agg(F.count("*").alias("items"))
+    """Assets with bad headers are found, and scenes that have one left out by an anti join."""
+    bad = catalog.find_bad(b.headers(spark, sf_dir))
+    return catalog.without_bad(b.catalog(spark, sf_dir), bad).groupBy("collection").agg(F.count("*").alias("scenes"))
+
+
+_CROP = f"SELECT row, col FROM ({b.COVER}) WHERE x BETWEEN 0.0 AND 0.305 AND y BETWEEN -10.0 AND 0.0 GROUP BY row, col HAVING arg_max(cls, time) = 40"
+
+
+def _crop(spark, sf_dir):
+    return catalog.cropland(b.cover(spark, sf_dir), (0.0, -10.0, 0.305, 0.0))
 
 
-@query("SELECT s_nationkey, max(s_suppkey) AS newest, arg_max(s_acctbal, s_suppkey) > 0 AS crop FROM supplier GROUP BY s_nationkey")
+@query(_CROP)
 def latest_land_cover(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return b.read(spark, sf_dir, "supplier").groupBy("s_nationkey").agg(F.max("s_suppkey").alias("newest"), (F.max_by("s_acctbal", "s_suppkey") > 0).alias("crop"))
+    """Cells of a box whose newest class is cropland."""
+    return _crop(spark, sf_dir)
+
+
+@query(f"SELECT c.row, c.col, CASE WHEN m.row IS NOT NULL THEN round(v, 6) END AS v FROM ({_LAST_CELLS}) c LEFT JOIN ({_CROP}) m ON m.row = c.row AND m.col = c.col")
+def mask_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cells outside the cropland mask become null; the mask's side is left to the optimizer's size check."""
+    return _rounded(catalog.masked(_cells(spark, sf_dir), _crop(spark, sf_dir), "v"), "v")
+
+
+@query(f"SELECT c.row, c.col, round(v, 6) AS v FROM ({_LAST_CELLS}) c SEMI JOIN ({_CROP}) m ON m.row = c.row AND m.col = c.col")
+def mask_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(catalog.masked(_cells(spark, sf_dir), _crop(spark, sf_dir)), "v")
+
+
+@query(f"SELECT min(row) AS row0, max(row) AS row1, min(col) AS col0, max(col) AS col1 FROM ({_CROP})")
+def mask_extent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return grid.extent(_crop(spark, sf_dir))
+
+
+@query("SELECT p_partkey, CAST(floor((p_partkey * 37 % 1000 / 100.0 - 0.01) / 0.05 + 0.5) AS INT) AS col, CAST(floor((10.02 - p_partkey * 53 % 1000 / 100.0) / 0.05 + 0.5) AS INT) AS row FROM part")
+def reindex_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A second sensor's observations on the first one's grid."""
+    return catalog.on_grid(_points(spark, sf_dir), 0.01, 10.02, 0.05).select("p_partkey", "row", "col")
 
 
 # ---- search ------------------------------------------------------------------

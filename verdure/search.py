@@ -11,7 +11,8 @@ from pathlib import Path
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from verdure.functions.text import tokens
+from verdure import scratch
+from verdure.functions.text import once, tokens
 
 K1, B, CHUNK = 1.5, 0.75, 1200
 
@@ -26,13 +27,17 @@ def terms(chunks: DataFrame, id_col: str = "id", text_col: str = "text") -> Data
 def search(chunks: DataFrame, query: str, k: int = 5, id_col: str = "id", text_col: str = "text") -> DataFrame:
     """Top k chunks (id, score); ties go to the higher id.  Query terms count as often as they are repeated.
 
-    Only the query's terms are counted: a chunk's frequencies come from its own
-    words, so nothing but matching chunks is shuffled.
+    Every text is cut into words once: its length and the frequencies of the
+    query's terms go to a small scratch table, from which statistics and scores
+    are taken.  Nothing but matching chunks is shuffled.
     """
     wanted = Counter(_words(query))
-    rows = chunks.select(F.col(id_col).alias("id"), tokens(F.col(text_col)).alias("words"))
-    tf = {t: F.size(F.filter("words", _is(t))) for t in wanted}
-    rows = rows.select("id", F.size("words").alias("len"), *(c.alias(f"tf{i}") for i, c in enumerate(tf.values())))
+    counted = once(tokens(F.col(text_col)), lambda words: F.array(F.size(words), *(F.size(F.filter(words, _is(t))) for t in wanted)))
+    at = scratch.shared_dir(chunks.sparkSession, "search")
+    found = chunks.select(F.col(id_col).alias("id"), F.coalesce(counted, F.array_repeat(F.lit(0), 1 + len(wanted))).alias("n"))
+    found.write.parquet(at)
+    found = chunks.sparkSession.read.schema(found.schema).parquet(at)
+    rows = found.select("id", F.col("n")[0].alias("len"), *(F.col("n")[i + 1].alias(f"tf{i}") for i in range(len(wanted))))
     stats = rows.agg(F.count("*").alias("n"), F.avg("len").alias("mean"), *(F.count_if(F.col(f"tf{i}") > 0).alias(f"df{i}") for i in range(len(wanted))))
     both = rows.where(F.greatest(F.lit(0), *(F.col(f"tf{i}") for i in range(len(wanted)))) > 0).crossJoin(F.broadcast(stats))  # one row of statistics
     score = F.lit(0.0)

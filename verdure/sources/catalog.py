@@ -64,6 +64,28 @@ def with_bands(scenes: DataFrame, check: bool = True) -> DataFrame:
     return out
 
 
+def find_bad(headers: DataFrame) -> DataFrame:
+    """Addresses (href) of assets whose header (href, crs, transform) has no reference system or no usable transform; all headers are read by the executors."""
+    t = F.col("transform")
+    usable = F.col("crs").isNotNull() & (F.size(t) >= 6) & (F.get(t, F.lit(0)) != 0) & (F.get(t, F.lit(4)) != 0)
+    return headers.where(~F.coalesce(usable, F.lit(False))).select("href").distinct()
+
+
+def resampling(source: str, resolution_m: float, band: str) -> str:
+    """How a band is read onto a grid: coarser grids average reflectance and take the most frequent class, others the nearest cell."""
+    if resolution_m <= {"s2": 15, "hls": 45}[source]:
+        return "nearest"
+    return "mode" if band == "qa" else "average"
+
+
+def on_grid(obs: DataFrame, x0: float, y0: float, res: float, tolerance: float = 0.5) -> DataFrame:
+    """Observations (x, y, ...) on the cells of the first sensor's grid, by the nearest node; what lies further than the tolerance (in steps) goes."""
+    col, row = (F.col("x") - x0) / res, (y0 - F.col("y")) / res
+    near = lambda c: F.floor(c + 0.5)
+    inside = (F.abs(col - near(col)) <= tolerance) & (F.abs(row - near(row)) <= tolerance)
+    return obs.where(inside).select(near(row).cast("int").alias("row"), near(col).cast("int").alias("col"), *(c for c in obs.columns if c not in ("x", "y")))
+
+
 def without_bad(scenes: DataFrame, bad_hrefs: DataFrame) -> DataFrame:
     """Scenes none of whose assets is in quarantine (a table with a column href)."""
     rows = scenes.select("*", F.explode(F.map_values("assets")).alias("href")).join(bad_hrefs, "href", "left_semi").select("scene_id").distinct()
@@ -96,9 +118,12 @@ def cropland(cover: DataFrame, bbox: tuple, c: Reflectance | None = None, attemp
     return own.groupBy("row", "col").agg(F.max_by("cls", "time").alias("cls")).where(F.col("cls") == c.cropland_class).select("row", "col")
 
 
-def masked(obs: DataFrame, crop: DataFrame) -> DataFrame:
-    """Observations on cropland; the optimizer picks the join from the mask's size and prunes the scan at run time."""
-    return obs.join(crop, ["row", "col"], "left_semi")
+def masked(obs: DataFrame, crop: DataFrame, value: str | None = None) -> DataFrame:
+    """Observations on cropland, or all of them with the value null elsewhere; the optimizer picks the join from the mask's size and prunes the scan at run time."""
+    if value is None:
+        return obs.join(crop, ["row", "col"], "left_semi")
+    mask = crop.select("row", "col").distinct().withColumn("__crop", F.lit(True))
+    return obs.join(mask, ["row", "col"], "left").withColumn(value, F.when(F.col("__crop"), F.col(value))).select(*obs.columns)
 
 
 def read_csv(spark: SparkSession, path: str) -> DataFrame:
