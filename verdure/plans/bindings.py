@@ -135,3 +135,29 @@ def boxes(spark: SparkSession, sf_dir: str, table: str, key: str, prefix: str, s
 
 def boxes_sql(table: str, key: str, prefix: str, size: float) -> str:
     return f"SELECT {key} AS {prefix}id, {key} * 37 % 100 / 10.0 AS {prefix}w, {key} * 53 % 100 / 10.0 AS {prefix}s, {key} * 37 % 100 / 10.0 + {size} AS {prefix}e, {key} * 53 % 100 / 10.0 + {size} AS {prefix}n FROM {table}"
+
+
+#: Planting months of the regions in the run's wet season of 2026: two windows, and one that has not begun.
+RUN_MONTHS = {0: "May", 1: "7", 2: "12", 3: "5", 4: "Jul-Aug"}
+RUN_DAY = "2026-11-10"
+
+
+def run_units(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Regions as units."""
+    raw = F.create_map(*(x for k, m in RUN_MONTHS.items() for x in (F.lit(k), F.lit(m))))
+    return read(spark, sf_dir, "region").select(F.col("r_name").alias("name"), F.lit("all").alias("region"), F.try_element_at(raw, F.col("r_regionkey")).alias("planting_month_raw"))
+
+
+def run_observations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The growth curves of ``pixels`` as observations every ten days from 2026-04-01; none in region 3."""
+    owner = read(spark, sf_dir, "nation").join(read(spark, sf_dir, "region").where("r_regionkey <> 3"), F.col("n_regionkey") == F.col("r_regionkey"))
+    own = read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("pixel_id"), F.col("c_nationkey").alias("n_nationkey")).join(owner.select("n_nationkey", F.col("r_name").alias("unit")), "n_nationkey")
+    ts = F.expr("timestamp_ntz'2026-04-01' + make_dt_interval(k * 10)")
+    return grid(pixels(spark, sf_dir).join(own, "pixel_id")).select("row", "col", "unit", ts.alias("ts"), F.col("v").alias("ndvi"))
+
+
+def run_series(first: str, n: int, shift: int, keys: str) -> str:
+    """The same as a series (pixel_id, k, t, v) whose k-th composite takes the observation k - shift, in the regions of these keys."""
+    own = f"SELECT c_custkey FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE n_regionkey IN ({keys})"
+    seen = f"SELECT pixel_id, CAST(k + {shift} AS INT) AS k, v FROM ({PIXELS}) SEMI JOIN ({own}) o ON o.c_custkey = pixel_id WHERE v IS NOT NULL AND DATE '2026-04-01' + 10 * k <= DATE '{RUN_DAY}' AND k + {shift} BETWEEN 0 AND {n - 1}"
+    return f"SELECT p.pixel_id, a.k, CAST(DATE '{first}' - DATE '1970-01-01' + 10 * a.k AS INT) AS t, s.v FROM (SELECT DISTINCT pixel_id FROM ({seen})) p CROSS JOIN (SELECT CAST(range AS INT) AS k FROM range({n})) a LEFT JOIN ({seen}) s ON s.pixel_id = p.pixel_id AND s.k = a.k"

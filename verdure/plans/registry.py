@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from verdure import scratch, search
-from verdure.config import DATES, NO_VALUE, QUALITY, STAGES, Phenology, Reflectance
+from verdure.config import DATES, NO_VALUE, QUALITY, STAGES, Phenology, Reflectance, Settings
 from verdure.functions import calendar, masks, text
 from verdure.operators import admin, composite, focal, grid, layers, mosaic, phenology, series, stages, summary
 from verdure.plans import bindings as b
+from verdure.plans.runner import STORED, Runner
 from verdure.sources import catalog
 from verdure.streaming import composites as streaming
 
@@ -655,17 +658,85 @@ def streaming_composite(spark: SparkSession, sf_dir: str) -> DataFrame:
     return streaming.run_once(streaming.composites(obs, b.EVENT_FIRST, 24, b.EVENT_N), scratch.shared_dir(spark, "stream"), "pixel_id", "k")
 
 
-_UNIT_MONTH = f"SELECT n_nationkey, name, coalesce({b.MONTH.replace('raw', 'planting_month_raw')}, 6) AS month FROM ({b.UNITS})"
-_UNIT_SPAN = "SELECT n_nationkey, name, make_date(2026, CAST(month AS BIGINT), 1) - INTERVAL 1 MONTH AS s, make_date(2026, CAST(month AS BIGINT), 1) + INTERVAL 6 MONTH AS e FROM (" + _UNIT_MONTH + ")"
+# the two windows of the run: first day, composites up to the day of the run, first observation's bin, regions, periods
+_WINDOWS_RUN = (("2026-04-01", 23, 0, "0, 3", ("04", "05", "06", "07", "08", "09", "10")), ("2026-06-01", 17, -6, "1, 4", ("06", "07", "08", "09", "10")))
+
+
+def _run_sql(first: str, n: int, shift: int, keys: str, months: tuple) -> str:
+    start = (dt.date.fromisoformat(first) - dt.date(1970, 1, 1)).days
+    days = lambda m: float((dt.date(2026, m, 1) - dt.date(1970, 1, 1)).days)
+    spans = ", ".join(f"('2026{m}', {days(int(m))}, {days(int(m) + 1)})" for m in months)
+    cycles = phenology.extract_sql(b.run_series(first, n, shift, keys), n, 10, start, MAX)
+    return f"SELECT pixel_id, label, {_dominant_sql('a', 'z')} AS growth_stage FROM ({cycles}) CROSS JOIN (VALUES {spans}) p(label, a, z)"
+
+
+_RUN = f"SELECT r_name AS unit, label, {b.GRID}, growth_stage FROM ({' UNION ALL '.join(_run_sql(*w) for w in _WINDOWS_RUN)}) JOIN customer ON c_custkey = pixel_id JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey WHERE r_regionkey <> 3"
+
+
+def _run(spark: SparkSession, sf_dir: str, **more):
+    """A whole periodic run into a scratch folder: the runner and that folder."""
+    own = Settings(season="wet", season_year=2026, which="season", median_radius=0, resolution_m=0.01 * 111_320, mosaic_after=False, **more)
+    runner = Runner(spark, own, b.run_units(spark, sf_dir), b.run_observations(spark, sf_dir), log=lambda *_: None)
+    out = scratch.shared_dir(spark, "run")
+    runner.run_periodic(out, as_of=b.RUN_DAY)
+    return runner, out
+
+
+@query(_RUN)
+def run_periodic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stage maps of all units and periods that are due, each unit over its own window up to the day of the run, as they were stored."""
+    _, out = _run(spark, sf_dir)
+    return spark.read.schema(STORED).parquet(f"{out}/stages").select("unit", "label", "row", "col", "growth_stage")
+
 
+@query(f"SELECT unit AS unit_file, label, growth_stage, count(*) AS pixels FROM ({_RUN}) WHERE growth_stage >= 0 GROUP BY ALL")
+def run_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stored summaries of every unit and period."""
+    runner, out = _run(spark, sf_dir)
+    found = spark.read.option("header", True).csv(f"{out}/summary")
+    return found.select(F.translate("unit_file", "_", " ").alias("unit_file"), F.col("label").cast("string").alias("label"), F.col("growth_stage").cast("int").alias("growth_stage"), F.col("pixels").cast("long").alias("pixels"))
 
-@query(f"""WITH p AS (SELECT n_nationkey, name, len(list_filter(generate_series(s, e, INTERVAL 1 MONTH), lambda x: x + INTERVAL 1 MONTH <= TIMESTAMP '2026-09-11')) AS periods FROM ({_UNIT_SPAN}))
-SELECT name, periods, CASE WHEN periods = 0 THEN 'out_of_season' WHEN NOT EXISTS (SELECT 1 FROM customer WHERE c_nationkey = n_nationkey) THEN 'no_coverage' ELSE 'success' END AS status FROM p""")
+
+@query("SELECT r_name AS name, CASE WHEN r_regionkey = 2 THEN 'out_of_season' WHEN r_regionkey = 3 OR NOT EXISTS (SELECT 1 FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE n_regionkey = r_regionkey) THEN 'no_coverage' ELSE 'success' END AS status FROM region")
 def run_log(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Statuses to expect of a plan, one row a unit: its periods, and if the unit has analytic pixels; nothing is run."""
-    from verdure.plans import runner
+    """The log that a whole run stored: one row a unit."""
+    _, out = _run(spark, sf_dir)
+    return spark.read.option("header", True).option("recursiveFileLookup", True).csv(f"{out}/logs").select("name", "status")
+
+
+@query(f"SELECT label, row, col, growth_stage FROM ({_RUN}) WHERE growth_stage >= 0")
+def run_mosaic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The units of a run joined into one map a period."""
+    runner, out = _run(spark, sf_dir)
+    at = runner.mosaic(out, as_of=b.RUN_DAY)["outputs"]
+    return spark.read.schema("row int, col int, growth_stage smallint, label string").parquet(at).select("label", "row", "col", "growth_stage")
+
+
+_RECENT_START = 20527  # 2026-03-15, 240 days before the day of the run
+_RECENT = phenology.extract_sql(b.run_series("2026-03-15", 25, 2, "0, 1, 2, 4"), 25, 10, _RECENT_START, Phenology(peak_select="last", peak_search=(30, 240)))
+
+
+@query(f"SELECT r_name AS unit, {b.GRID}, {_stage_sql('20767')} AS growth_stage, CAST(20767 - last_obs AS SMALLINT) AS data_age_days, CAST(qc AS SMALLINT) AS qc FROM ({_RECENT}) JOIN customer ON c_custkey = pixel_id JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey")
+def run_recent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stage, data age and quality over the last 240 days, as they were stored."""
+    own = Settings(season="wet", season_year=2026, median_radius=0, resolution_m=0.01 * 111_320)
+    runner = Runner(spark, own, b.run_units(spark, sf_dir), b.run_observations(spark, sf_dir), log=lambda *_: None)
+    at = runner.save_recent(scratch.shared_dir(spark, "run"), as_of=b.RUN_DAY)["outputs"]
+    names = ("unit", "row", "col", "growth_stage", "data_age_days", "qc")
+    return spark.read.schema("unit string, row int, col int, growth_stage smallint, data_age_days smallint, qc smallint").parquet(at).select(*names)
+
+
+_CHECK = phenology.extract_sql(b.run_series("2026-04-01", 25, 0, "0, 1, 2, 4"), 25, 10, 20544, MAX)
+
 
-    return runner.dry_log(spark, sf_dir)
+@query(f"SELECT qc, count(*) AS pixels FROM ({_CHECK}) WHERE pixel_id % 40 < 30 AND pixel_id < 160 GROUP BY qc")
+def quick_check_box(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality outcomes of a box over the season of a planting month."""
+    own = Settings(season="wet", season_year=2026, resolution_m=0.01 * 111_320)
+    runner = Runner(spark, own, b.run_units(spark, sf_dir), b.run_observations(spark, sf_dir).where(F.col("ts") <= F.lit(b.RUN_DAY).cast("timestamp_ntz")), log=lambda *_: None)
+    found = runner.quick_check((0.0, -0.04, 0.3, 0.0), 5, 2026)["qc_counts"]
+    codes = {name: code for code, name in QUALITY.items()}
+    return spark.createDataFrame([(codes[n], x) for n, x in found.items()], "qc int, pixels long")
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -25,7 +25,8 @@ def _day(s: str | None) -> str:
     return str(dt.date.fromisoformat(s)) if s else str(dt.datetime.now(dt.UTC).date())
 
 
-_STAGES = "unit string, row int, col int, growth_stage smallint, label string, unit_file string"
+#: Columns of the stored stages.
+STORED = "unit string, row int, col int, growth_stage smallint, label string, unit_file string"
 
 
 class Runner:
@@ -188,7 +189,7 @@ class Runner:
             coded.select(file_name(F.col("pixel_id.unit")).alias("unit_file"), "*").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("unit_file").parquet(f"{out_dir}/quality-{year}")
         # only the partitions just written are read again
         own = due.select("name", "label", file_name(F.col("name")).alias("unit_file"))
-        made = self.spark.read.schema(_STAGES).parquet(f"{out_dir}/stages").join(own.select("label", "unit_file"), ["label", "unit_file"], "left_semi")
+        made = self.spark.read.schema(STORED).parquet(f"{out_dir}/stages").join(own.select("label", "unit_file"), ["label", "unit_file"], "left_semi")
         areas = self._areas(made, ["label", "unit_file"])
         areas.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").option("header", True).partitionBy("label", "unit_file").csv(f"{out_dir}/summary")
         pixels = made.groupBy("label", "unit_file").agg(F.count("*").alias("pixels"))
@@ -224,7 +225,7 @@ class Runner:
             plan = units.select("name", F.explode(F.array(*map(F.lit, periods))).alias("label"))
         saved = self.saved(out_dir)
         missing = admin.missing(plan, saved) if saved is not None else plan
-        rows = self.spark.read.schema(_STAGES).parquet(f"{out_dir}/stages")
+        rows = self.spark.read.schema(STORED).parquet(f"{out_dir}/stages")
         rows = rows.join(plan.select(F.col("name").alias("unit"), "label"), ["unit", "label"], "left_semi").where("growth_stage >= 0")
         best = rows.groupBy("label", "row", "col").agg(F.min(F.struct("unit", "growth_stage")).alias("s")).select("label", "row", "col", F.col("s.growth_stage").alias("growth_stage"))
         best.write.mode("overwrite").partitionBy("label").parquet(f"{out_dir}/mosaic")
@@ -301,17 +302,3 @@ def per_tile(obs: DataFrame, tile_cells: int, fn, schema) -> DataFrame:
     """A user function on the rows of each tile: fn(pandas frame) -> pandas frame."""
     tile = lambda c: F.floor(F.col(c) / tile_cells)
     return obs.withColumns({"tile_x": tile("col"), "tile_y": tile("row")}).groupBy("tile_x", "tile_y").applyInPandas(fn, schema)
-
-
-def dry_log(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Statuses to expect of a plan, without a run: units out of season (which a run does not log), and with and without analytic pixels."""
-    from verdure.plans import bindings as b
-
-    units = b.units(spark, sf_dir)
-    planted = admin.planting(units, 6, "wet")
-    windows = admin.season_windows(planted, 2026, "wet")
-    plan = admin.unit_periods(windows, "2026-09-10", "season").groupBy("name").agg(F.count("*").alias("periods"))
-    owner = b.read(spark, sf_dir, "customer").groupBy(F.col("c_nationkey").alias("n_nationkey")).agg(F.count("*").alias("pixels"))
-    rows = units.select("n_nationkey", "name").join(plan, "name", "left").join(owner, "n_nationkey", "left")
-    status = F.when(F.col("periods").isNull(), "out_of_season").when(F.col("pixels").isNull(), "no_coverage").otherwise("success")
-    return rows.select("name", F.coalesce("periods", F.lit(0)).alias("periods"), status.alias("status"))
