@@ -110,16 +110,35 @@ def _events(spark, sf_dir):
     return composite.dense(b.observations(spark, sf_dir), b.EVENT_FIRST, 1, b.EVENT_N)
 
 
-def _series_sql(programme, keep: str, names: tuple) -> str:
-    return _round_sql(layers.render(b.EVENT_SERIES, programme), names, keep)
-
-
-@query(f"SELECT pixel_id, n_obs, first_obs, last_obs, max_gap, last_obs_day FROM ({layers.render(b.EVENT_SERIES, series.observation_layers())}) WHERE k = 0")
+# the rules in SQL of their own, by joins and lists instead of windows
+
+_C = Phenology()
+_MOVED = "SELECT pixel_id, list(k ORDER BY k) AS ks FROM s WHERE v IS NOT NULL GROUP BY pixel_id"
+_CLEAN = f"""WITH s AS ({b.EVENT_SERIES}),
+a AS (SELECT s.pixel_id, s.k, s.v, coalesce(s.v, CASE WHEN p.k IS NULL THEN n.v WHEN n.k IS NULL THEN p.v ELSE p.v + (n.v - p.v) * (s.k - p.k) / (n.k - p.k) END) AS f0
+      FROM s ASOF LEFT JOIN (SELECT * FROM s WHERE v IS NOT NULL) p ON s.pixel_id = p.pixel_id AND s.k >= p.k ASOF LEFT JOIN (SELECT * FROM s WHERE v IS NOT NULL) n ON s.pixel_id = n.pixel_id AND s.k <= n.k),
+d AS (SELECT a.*, CASE WHEN least(p.f0, n.f0) > {_C.despike_neighbour} AND p.f0 IS NOT NULL AND n.f0 IS NOT NULL AND a.f0 < (p.f0 + n.f0) / 2 - {_C.despike_drop} THEN NULL ELSE a.v END AS d
+      FROM a LEFT JOIN a p ON p.pixel_id = a.pixel_id AND p.k = a.k - 1 LEFT JOIN a n ON n.pixel_id = a.pixel_id AND n.k = a.k + 1),
+c AS (SELECT d.pixel_id, d.k, CASE WHEN (SELECT count(*) FROM d o WHERE o.pixel_id = d.pixel_id AND o.v IS NOT NULL) < {_C.min_obs} THEN 0.0 ELSE coalesce(d.d, CASE WHEN p.k IS NULL THEN n.d WHEN n.k IS NULL THEN p.d ELSE p.d + (n.d - p.d) * (d.k - p.k) / (n.k - p.k) END) END AS f
+      FROM d ASOF LEFT JOIN (SELECT * FROM d WHERE d IS NOT NULL) p ON d.pixel_id = p.pixel_id AND d.k >= p.k ASOF LEFT JOIN (SELECT * FROM d WHERE d IS NOT NULL) n ON d.pixel_id = n.pixel_id AND d.k <= n.k),
+l AS (SELECT pixel_id, list(f ORDER BY k) AS x FROM c GROUP BY pixel_id),
+g AS (SELECT pixel_id, f, k, CASE k WHEN 0 THEN list_dot_product([31, 9, -3, -5, 3]::DOUBLE[], x[1:5]) WHEN 1 THEN list_dot_product([9, 13, 12, 6, -5]::DOUBLE[], x[1:5])
+        WHEN {b.EVENT_N - 2} THEN list_dot_product([-5, 6, 12, 13, 9]::DOUBLE[], x[{b.EVENT_N - 4}:{b.EVENT_N}]) WHEN {b.EVENT_N - 1} THEN list_dot_product([3, -5, -3, 9, 31]::DOUBLE[], x[{b.EVENT_N - 4}:{b.EVENT_N}])
+        ELSE list_dot_product([-3, 12, 17, 12, -3]::DOUBLE[], x[k - 1 : k + 3]) END / 35 AS s FROM c JOIN l USING (pixel_id)),
+y AS (SELECT pixel_id, list(s ORDER BY k) AS s FROM g GROUP BY pixel_id)"""
+
+
+def _slope(x: str) -> str:
+    """Central differences of a list, one-sided at its ends."""
+    return f"list_transform(range(1, {b.EVENT_N} + 1), lambda i: ({x}[least(i + 1, {b.EVENT_N})] - {x}[greatest(i - 1, 1)]) / (least(i + 1, {b.EVENT_N}) - greatest(i - 1, 1)))"
+
+
+@query(f"WITH s AS ({b.EVENT_SERIES}), l AS ({_MOVED}) SELECT pixel_id, len(ks) AS n_obs, ks[1] AS first_obs, ks[-1] AS last_obs, coalesce(list_max(list_transform(range(1, len(ks)), lambda i: ks[i + 1] - ks[i])), 0) AS max_gap, 19723 + ks[-1] AS last_obs_day FROM l")
 def observation_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return layers.apply(_events(spark, sf_dir), series.observation_layers()).where("k = 0").select("pixel_id", "n_obs", "first_obs", "last_obs", "max_gap", "last_obs_day")
 
 
-@query(_series_sql(series.fill_layers("v", "f"), "pixel_id, k", ("f",)))
+@query(f"{_CLEAN} SELECT pixel_id, k, round(f0, 6) AS f FROM a")
 def gap_fill_linear(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(layers.apply(_events(spark, sf_dir), series.fill_layers("v", "f")).select("pixel_id", "k", "f"), "f")
 
@@ -127,13 +146,13 @@ def gap_fill_linear(spark: SparkSession, sf_dir: str) -> DataFrame:
 _DESPIKE = [*series.fill_layers("v", "f0"), *series.despike_layers("v", "f0", "d", Phenology())]
 
 
-@query(_series_sql(_DESPIKE, "pixel_id, k, v IS NOT NULL AND d IS NULL AS dropped", ("d",)))
+@query(f"{_CLEAN} SELECT pixel_id, k, v IS NOT NULL AND d IS NULL AS dropped, round(d, 6) AS d FROM d")
 def despike(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = layers.apply(_events(spark, sf_dir), _DESPIKE)
     return done.select("pixel_id", "k", F.expr("v IS NOT NULL AND d IS NULL").alias("dropped"), F.round("d", 6).alias("d"))
 
 
-@query(_series_sql(series.clean_layers(b.EVENT_N, Phenology()), "pixel_id, k", ("f", "s")))
+@query(f"{_CLEAN} SELECT pixel_id, k, round(f, 6) AS f, round(s, 6) AS s FROM g")
 def sg_smooth(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(series.smooth_series(_events(spark, sf_dir), b.EVENT_N).select("pixel_id", "k", "f", "s"), "f", "s")
 
@@ -141,9 +160,9 @@ def sg_smooth(spark: SparkSession, sf_dir: str) -> DataFrame:
 _GRADIENTS = [*series.clean_layers(b.EVENT_N, Phenology()), *series.gradient_layers("s", "g", b.EVENT_N, 1), *series.gradient_layers("g", "gg", b.EVENT_N, 1)]
 
 
-@query(_series_sql(_GRADIENTS, "pixel_id, k", ("g", "gg")))
+@query(f"{_CLEAN}, z AS (SELECT pixel_id, {_slope('s')} AS g FROM y) SELECT pixel_id, unnest(range({b.EVENT_N})) AS k, round(unnest(g), 9) AS g, round(unnest({_slope('g')}), 9) AS gg FROM z")
 def gradients(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _rounded(layers.apply(_events(spark, sf_dir), _GRADIENTS).select("pixel_id", "k", "g", "gg"), "g", "gg")
+    return _rounded(layers.apply(_events(spark, sf_dir), _GRADIENTS).select("pixel_id", "k", "g", "gg"), "g", "gg", digits=9)
 
 
 # ---- cycles ------------------------------------------------------------------
