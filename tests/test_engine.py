@@ -160,6 +160,10 @@ def test_runs(spark, field_obs, tmp_path, capsys):
     saved = r.save_recent(str(tmp_path / "o"), names=["ALPHA", "BETA"], bbox=box, as_of="2026-04-10")
     assert len(saved["success"]) == 2 and saved["no_coverage"] == ["BETA"] and set(saved["median_age"].values()) == {0}
     kept = spark.read.parquet(saved["outputs"])
+    places = spark.createDataFrame([("Muñoz Town", 0.0, -2 * res, 2 * res, 0.0)], "name string, w double, s double, e double, n double")
+    small = Runner(spark, c, units(spark), field_obs, log=lambda *_: None, places=places)
+    assert small.run_recent(names=["muñoz town"], as_of="2026-04-10").groupBy("unit").count().collect()[0]["count"] == 4 and [x["name"] for x in small.areas("place").collect()] == ["Muñoz Town"]
+    assert "classes" in spark.read.parquet(str(tmp_path / "o/stages")).schema["growth_stage"].metadata
     assert kept.count() == 36 and dict(kept.dtypes)["growth_stage"] == "smallint" and r.run_recent(bbox=box, as_of="2026-04-10").count() == 18
     tools = ToolRunner(r, str(tmp_path / "o"), store=store.LocalStore(str(tmp_path / "o")), confirm=lambda *_: False)
     assert "approve" in tools("run_periodic", {"names": "ALPHA", "as_of": "2026-04-10"})["error"]
@@ -217,7 +221,7 @@ def test_agent():
     backend = Scripted([Transient("busy"), Unavailable("gone"), call, {"text": "done"}])
     agent = Agent(backend, lambda n, a: calls.append(n) or {"x": "y" * 30_000}, ["one", "two"], log=lambda *_: None, sleep=waits.append)
     assert agent.run("go") == "done" and waits == [2.0] and calls == ["list_areas"]
-    assert [m for m, _ in backend.seen] == ["one", "one", "two", "one"]
+    assert [m for m, _ in backend.seen] == ["one", "one", "two", "two"]
     assert len(agent.messages[2]["content"]) < 20_100
     endless = Agent(Scripted([call] * 40), lambda *_: {}, ["m"], log=lambda *_: None)
     assert "too many" in endless.run("go")
@@ -259,6 +263,19 @@ def test_http_codes(monkeypatch):
     assert kinds == {404: Unavailable, 429: Transient, 503: Transient, 400: RuntimeError}  # 503 is worth another try
 
 
+def test_backend_of_parts_and_fallback():
+    sent = []
+    replies = [{"candidates": [{"content": {"parts": [{"functionCall": {"name": "list_areas", "args": {"contains": "a"}}}, {"functionCall": {"name": "last_run"}}]}}]}, {"candidates": [{"content": {"parts": [{"text": "two areas"}]}}]}, {"candidates": []}]
+    parts = make_backend("parts", url="http://h/{model}", key="k", post=lambda u, h, b: sent.append((u, h, b)) or replies[len(sent) - 1])
+    agent = Agent(Scripted([Unavailable("gone")]), lambda n, a: {"names": ["A", "B"]}, ["first", (parts, "second")], log=lambda *_: None)
+    assert agent.run("which?") == "two areas"
+    url, head, body = sent[1]
+    assert url == "http://h/second" and head == {"x-goog-api-key": "k"} and [t["role"] for t in body["contents"]] == ["user", "model", "user"]
+    assert [p["functionResponse"]["name"] for p in body["contents"][2]["parts"]] == ["list_areas", "last_run"]
+    assert all("parameters" not in t or t["parameters"]["properties"] for t in body["tools"][0]["functionDeclarations"])
+    assert parts.complete("m", "s", [{"role": "user", "text": "x"}], [])["text"].startswith("The model gave")
+
+
 def test_functions_in_sql(spark):
     import verdure
 
@@ -292,6 +309,19 @@ def test_mosaic_of_inputs(spark):
         mosaic.mosaic([])
 
 
+def test_catalog_is_opened_once(spark, tmp_path):
+    from verdure.sources import catalog
+
+    spark.range(3).write.parquet(str(tmp_path / "c"))
+    one = catalog.open_catalog(spark, str(tmp_path / "c"))
+    assert catalog.open_catalog(spark, str(tmp_path / "c")) is one and catalog.open_catalog(spark, str(tmp_path / "c"), fresh=True) is not one
+    waits = []
+    with pytest.raises(Exception, match="PATH_NOT_FOUND"):
+        catalog.open_catalog(spark, str(tmp_path / "none"), attempts=3, sleep=waits.append)
+    assert waits == [1.0, 2.0]
+    assert [catalog.resampling(*x) for x in (("s2", 10, "red"), ("s2", 30, "red"), ("s2", 30, "qa"), ("hls", 30, "qa"), ("hls", 60, "nir"))] == ["nearest", "average", "mode", "nearest", "average"]
+
+
 def test_freshness_stream(spark, tmp_path):
     schema = bindings.read(spark, SF, "events").schema
     rows = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(SF)

@@ -40,7 +40,9 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--bbox", nargs=4, type=float, metavar=("W", "S", "E", "N"))
     p.add_argument("--planting-month", type=int)
     p.add_argument("--no-skip-existing", action="store_true")
-    p.add_argument("--url", help="ask, chat: a chat-completions address")
+    p.add_argument("--url", help="ask, chat: the model's address")
+    p.add_argument("--backend", choices=["http", "parts"], default="http", help="what the address speaks: chat completions, or turns of parts")
+    p.add_argument("--places", help="parquet table (name, w, s, e, n) of small areas")
     p.add_argument("--key-variable", default="VERDURE_MODEL_KEY", help="environment variable that holds its key")
     p.add_argument("--models", nargs="*", default=[], help="models in the order of choice")
     p.add_argument("--yes", action="store_true", help="run without asking")
@@ -68,13 +70,13 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None, backe
         return 0
     spark = spark or SparkSession.builder.appName("verdure").getOrCreate()
     table = lambda path: spark.read.parquet(path) if path else None
-    runner = Runner(spark, own, table(args.units), table(args.obs))
+    runner = Runner(spark, own, table(args.units), table(args.obs), places=table(args.places))
     docs = search.package_docs(spark) if args.command in ("ask", "chat") else None
     tools = ToolRunner(runner, args.out, make_store("local", args.out), docs, (lambda *_: True) if args.yes else console_confirm)
     if docs is not None:
         if not args.models or not (backend or args.url):
             parser().error("ask and chat need --url and --models")
-        agent = Agent(backend or make_backend("http", url=args.url, key=os.environ.get(args.key_variable, "")), tools, args.models)
+        agent = Agent(backend or make_backend(args.backend, url=args.url, key=os.environ.get(args.key_variable, "")), tools, args.models)
         if args.command == "ask" and args.request:
             print(agent.run(args.request))
         else:

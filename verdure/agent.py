@@ -14,21 +14,28 @@ STEPS, RETRIES, REPLY = 25, 2, 20_000
 
 
 class Agent:
+    """``models``: names for the backend, or (backend, name) pairs where others take over."""
+
     def __init__(self, backend, tools: Callable[[str, dict], object], models: list[str], log: Callable[[str], None] = print, sleep: Callable[[float], None] = time.sleep):
         self.backend, self.tools, self.models, self.log, self.sleep = backend, tools, list(models), log, sleep
         self.messages: list[dict] = []
+        self.active = 0
 
     def system(self) -> str:
         listed = lambda names: "; ".join(f"{k} {v}" for k, v in names.items())
         return f"You run crop stage products with the given tools. Plan before you run, and report results as the tools give them. Stages: {listed(STAGES)}. Quality: {listed(QUALITY)}."
 
     def _complete(self) -> dict:
-        """Every request starts at the first model; a busy one is tried again after 2 and 4 seconds, then the next."""
+        """Every request starts at the first model; a busy one is tried again after 2 and 4 seconds, then the next takes the rest of the request."""
         problem: Exception | None = None
-        for model in self.models:
+        for i, choice in enumerate(self.models):
+            if i < self.active:
+                continue
+            self.active = i
+            backend, model = choice if isinstance(choice, tuple) else (self.backend, choice)
             for n in range(RETRIES + 1):
                 try:
-                    return self.backend.complete(model, self.system(), self.messages, tool_list())
+                    return backend.complete(model, self.system(), self.messages, tool_list())
                 except Unavailable as e:
                     problem = e
                     self.log(f"{model}: {e}")
@@ -42,6 +49,7 @@ class Agent:
 
     def run(self, request: str) -> str:
         self.messages.append({"role": "user", "text": request})
+        self.active = 0
         for _ in range(STEPS):
             reply = self._complete()
             self.messages.append({"role": "assistant", **reply})

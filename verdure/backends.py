@@ -72,9 +72,34 @@ class Http:
         return {"text": reply.get("content") or "", "tool_calls": calls}
 
 
+class HttpParts(Http):
+    """An address that takes turns of parts, with functions as parts of their own (the generateContent format)."""
+
+    def complete(self, model: str, system: str, messages: list[dict], tools: list[dict]) -> dict:
+        turns: list[dict] = []
+        for m in messages:
+            if m["role"] == "tool":
+                role, parts = "user", [{"functionResponse": {"name": m["name"], "response": {"result": m["content"]}}}]
+            else:
+                role = "user" if m["role"] == "user" else "model"
+                parts = [{"text": m.get("text") or ""}] if m.get("text") or not m.get("tool_calls") else []
+                parts += [{"functionCall": {"name": c["name"], "args": c["args"]}} for c in m.get("tool_calls") or []]
+            if turns and turns[-1]["role"] == role == "user" and m["role"] == "tool":  # results of one turn go together
+                turns[-1]["parts"] += parts
+            else:
+                turns.append({"role": role, "parts": parts})
+        # this format has no empty parameter lists
+        listed = [{k: v for k, v in t.items() if k != "parameters" or v["properties"]} for t in tools]
+        body = {"systemInstruction": {"parts": [{"text": system}]}, "contents": turns, "tools": [{"functionDeclarations": listed}]}
+        reply = self.post(self.url.format(model=model), {"x-goog-api-key": self.key} if self.key else {}, body)
+        parts = ((reply.get("candidates") or [{}])[0].get("content") or {}).get("parts") or []
+        calls = [{"id": f"call_{i}", "name": p["functionCall"]["name"], "args": arguments(p["functionCall"].get("args") or {})} for i, p in enumerate(parts) if "functionCall" in p]
+        return {"text": "".join(p.get("text", "") for p in parts) or ("" if calls else "The model gave no answer."), "tool_calls": calls}
+
+
 def make_backend(kind: str, **options):
     if kind == "scripted":
         return Scripted(options["replies"])
-    if kind == "http":
-        return Http(options["url"], options.get("key", ""), options.get("post"))
+    if kind in ("http", "parts"):
+        return (Http if kind == "http" else HttpParts)(options["url"], options.get("key", ""), options.get("post"))
     raise ValueError(f"unknown backend {kind}")

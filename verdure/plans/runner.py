@@ -15,7 +15,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from verdure.config import DATES, NO_STAGE, NO_VALUE, QUALITY, Phenology, Settings
+from verdure.config import DATES, NO_STAGE, NO_VALUE, QUALITY, STAGES, Phenology, Settings
 from verdure.functions import calendar
 from verdure.functions.text import file_name, name_key
 from verdure.operators import admin, composite, focal, grid, phenology, stages, summary
@@ -34,10 +34,12 @@ class Runner:
 
     ``units``: (name, region, planting_month_raw), one row a unit or several.
     ``obs``: (row, col, unit, ts, ndvi) observations on cropland.
+    ``places``: (name, w, s, e, n) boxes of small areas that recent runs can name.
     """
 
-    def __init__(self, spark: SparkSession, settings: Settings, units: DataFrame, obs: DataFrame, log: Callable[[str], None] = print):
+    def __init__(self, spark: SparkSession, settings: Settings, units: DataFrame, obs: DataFrame, log: Callable[[str], None] = print, places: DataFrame | None = None):
         self.spark, self.settings, self.units, self.obs, self.log = spark, settings, units, obs, log
+        self.places = places
         self.last: dict | None = None
 
     # settings and areas
@@ -51,8 +53,18 @@ class Runner:
         return admin.select_units(self.units, level or c.level, list(names), list(c.exclude))
 
     def areas(self, kind: str = "name", region: str | None = None, contains: str | None = None) -> DataFrame:
+        if kind == "place":
+            return admin.list_areas(self.places, "name", None, contains)
         return admin.list_areas(self.units, kind, region, contains)
 
+    def known(self, names: list[str]) -> dict[str, tuple | None]:
+        """The given names that exist: places with their boxes, units with None."""
+        wanted = [n.strip().upper() for n in names]
+        found: dict[str, tuple | None] = {r["name"]: None for r in self.units.where(name_key(F.col("name")).isin(wanted)).select("name").distinct().collect()}
+        if self.places is not None:
+            found |= {r["name"]: (r["w"], r["s"], r["e"], r["n"]) for r in self.places.where(name_key(F.col("name")).isin(wanted)).collect()}
+        return found
+
     def window_for(self, month: int, as_of: str | None = None) -> tuple[dt.date, dt.date]:
         """First and last day of the season that a planting month gives."""
         return calendar.window(month, self.settings.planting_year(month, dt.date.fromisoformat(_day(as_of))))
@@ -182,6 +194,8 @@ class Runner:
         c = self.settings
         cycles = self.cycles_of(due, day)
         rows = self.stages(cycles, due).withColumn("unit_file", file_name(F.col("unit")))
+        told = {"classes": "; ".join(f"{k}={v}" for k, v in STAGES.items()), "method": c.classify, "source": c.source, "season": c.name_at(dt.date.fromisoformat(day)), "nodata": NO_STAGE}
+        rows = rows.withColumn("growth_stage", F.col("growth_stage").alias("growth_stage", metadata=told))
         rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("label", "unit_file").parquet(f"{out_dir}/stages")
         if c.save_quality:
             year = c.planting_year({"wet": 6, "dry": 12}[c.season], dt.date.fromisoformat(day))
@@ -244,17 +258,18 @@ class Runner:
     def run_recent(self, names: list[str] = (), as_of: str | None = None, lookback_days: int | None = None, bbox: tuple | None = None) -> DataFrame:
         """Stage, data age and quality on a date from a rolling window that ends on it; always the latest cycle.
 
-        Over whole units, or over a box, which then is the unit's name.
+        Over whole units, the boxes of named places, or a box, which then is the unit's name.
         """
         c, day = self.settings, _day(as_of)
         back = lookback_days or c.lookback_days
         start = str(dt.date.fromisoformat(day) - dt.timedelta(days=back))
-        obs = self.obs.where(F.col("unit").isin(list(names))) if names or bbox is None else None
-        if not names and bbox is None:
-            obs = self.obs
+        boxes = {n: b for n, b in self.known(names).items() if b} if names else {}
         if bbox is not None:
-            inside = self.in_box(bbox).withColumn("unit", F.lit("BBOX_" + "_".join(f"{v:.3f}" for v in bbox)))
-            obs = inside if obs is None else obs.unionByName(inside)
+            boxes["BBOX_" + "_".join(f"{v:.3f}" for v in bbox)] = bbox
+        parts = [self.in_box(b).withColumn("unit", F.lit(n)) for n, b in boxes.items()]
+        if units := [n for n in names if n not in boxes]:
+            parts.append(self.obs.where(F.col("unit").isin(units)))
+        obs = reduce(DataFrame.unionByName, parts) if parts else self.obs
         config = replace(c.phenology, peak_select="last", peak_search=(30, back))
         cycles = self.smoothed(self.cycles(obs.where(F.to_date("ts") <= F.lit(day).cast("date")), start, day, config, align="end"))
         at = F.unix_date(F.lit(day).cast("date"))

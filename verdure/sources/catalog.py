@@ -43,6 +43,17 @@ def retried(act: Callable[[], DataFrame], attempts: int = 4, sleep: Callable[[fl
     raise AssertionError("unreachable")
 
 
+_opened: dict[tuple[str, str], DataFrame] = {}
+
+
+def open_catalog(spark: SparkSession, path: str, fresh: bool = False, attempts: int = 4, sleep: Callable[[float], None] = time.sleep) -> DataFrame:
+    """The scene table of a folder, opened once for a session; tried again after 1, 2, 4 seconds, and anew where ``fresh``."""
+    key = (spark.sparkContext.applicationId, path)
+    if fresh or key not in _opened:
+        _opened[key] = retried(lambda: spark.read.parquet(path), attempts, sleep, allow_empty=True)
+    return _opened[key]
+
+
 def search(scenes: DataFrame, source: str, bbox: tuple, start: str, end: str, max_cloud: float = Reflectance().max_cloud) -> DataFrame:
     """Scenes of a source's collections; all predicates are plain columns that reach the scan."""
     w, s, e, n = bbox

@@ -114,7 +114,7 @@ class ToolRunner:
     def t_run_recent(self, **args):
         if not args.get("names") and not args.get("bbox"):
             return {"error": "names or bbox must be given"}
-        known = {r[0] for r in self.runner.units.select("name").where(self.runner.units["name"].isin(list(args.get("names", [])))).distinct().collect()}
+        known = self.runner.known(args.get("names", []))
         if lack := [n for n in args.get("names", []) if n not in known]:
             return {"error": f"unknown areas {', '.join(lack)}"}
         return self.runner.save_recent(self.out_dir, **args)
