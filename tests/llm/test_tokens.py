@@ -69,7 +69,7 @@ def table(spark, rows):
     return spark.createDataFrame([(*r, "c", 5, 6) for r in rows], "doc_id long, text string, ids string, length int, part int")
 
 
-EDGES = [(5, "one two"), (1, None), (3, ""), (None, "three four"), (2, "word " * 9000), (4, "one two"), (4, "one two"), (9, "<|endoftext|>")]
+EDGES = [(8, "a" + " " * 500_000 + "\n" * 500_000 + "b"), (5, "one two"), (1, None), (3, ""), (None, "three four"), (2, "word " * 9000), (4, "one two"), (4, "one two"), (9, "<|endoftext|>")]
 
 
 def test_encoded_edges(spark, word):
