@@ -618,6 +618,20 @@ def reindex_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return catalog.on_grid(_points(spark, sf_dir), 0.01, 10.02, 0.05).select("p_partkey", "row", "col")
 
 
+_BITS = f"round(CASE WHEN red <> -9999 AND nir <> -9999 AND (qa & 31) = 0 AND ((qa >> 6) & 3) <> 3 AND qa <> 255 THEN {_INDEX.format(_HLS.format('red'), _HLS.format('nir'))} END, 9)"
+
+
+@query(f"SELECT CAST(floor(pixel_id / 40) AS INT) AS row, CAST(pixel_id % 40 AS INT) AS col, strftime(ts, '%Y-%m-%d %H:%M:%S') AS at, {_BITS} AS ndvi FROM ({b.SCENES})")
+def ndvi_stack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two sensors whose grids are a fifth of a step apart, as one stack of index values on the first one's grid."""
+    rows = b.scenes(spark, sf_dir)
+    k, second = F.col("pixel_id"), F.col("event_id") % 2
+    rows = rows.select((k % 40 * 0.01 + second * 0.002).alias("x"), (-F.floor(k / 40) * 0.01 - second * 0.002).alias("y"), "ts", "red", "nir", "qa", second.alias("second"))
+    parts = [rows.where(F.col("second") == i).drop("second") for i in (0, 1)]
+    made = catalog.stack(parts, "hls", 0.0, 0.0, 0.01)
+    return _rounded(made, "ndvi", digits=9).select("row", "col", F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("at"), "ndvi")
+
+
 # ---- search ------------------------------------------------------------------
 
 _QUERY = "the theand of_the heat ouand heat"

@@ -119,6 +119,11 @@ def merged(parts: list[DataFrame]) -> DataFrame:
     return out
 
 
+def stack(sensors: list[DataFrame], source: str, x0: float, y0: float, res: float, c: Reflectance | None = None) -> DataFrame:
+    """(row, col, ts, ndvi) of all sensors' observations (x, y, ts, red, nir, qa) on the first one's grid."""
+    return merged([ndvi(on_grid(s, x0, y0, res), source, c) for s in sensors])
+
+
 def cropland(cover: DataFrame, bbox: tuple, c: Reflectance | None = None, attempts: int = 1, sleep: Callable[[float], None] = time.sleep) -> DataFrame:
     """Cells (row, col) whose newest class is cropland; an error when no land cover touches the box."""
     c = c or Reflectance()
