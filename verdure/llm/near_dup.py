@@ -291,7 +291,7 @@ def _places(rows: DataFrame, group: str, few: Column, many: Column) -> DataFrame
 
 
 def _dealt(rows: DataFrame, act) -> DataFrame:
-    return rows.repartition("place").sortWithinPartitions("place").mapInArrow(_by_place(act), "a long, b long")
+    return rows.repartition("place").sortWithinPartitions("place").mapInArrow(common.lean(_by_place(act)), "a long, b long")
 
 
 class _Search:
@@ -318,7 +318,7 @@ class _Search:
         pairs = self.table(self.passing(pairs), f"pairs{n}")
         x, y = (self.sets.select(F.col("id").alias(i), F.col("set").alias(f"{i}_t")) for i in "ab")
         both = pairs.join(y, "b").join(x, "a").select("a", "b", "a_t", "b_t")
-        links = self.table(both.mapInArrow(_verify(self.percent), "a long, b long"), f"links{n}")
+        links = self.table(both.mapInArrow(common.lean(_verify(self.percent)), "a long, b long"), f"links{n}")
         self.drop(f"pairs{n}")
         return links
 
@@ -361,7 +361,7 @@ class _Search:
         members = self.table(bands.join(buckets, "bucket").select("bucket", "hub", "id"), "members")
         # the full texts move once, and only those of candidates
         candidates = self.table(members.select("id").distinct(), "candidates")
-        self.sets = self.table(texts(candidates).mapInArrow(_sketch(self.k), "id long, n long, sketch array<long>, set binary"), "sets")
+        self.sets = self.table(texts(candidates).mapInArrow(common.lean(_sketch(self.k)), "id long, n long, sketch array<long>, set binary"), "sets")
         n, links = 0, known.union(self.confirmed(self.hub_pairs(members.where("id <> hub")), 0))
         labels = components(self.spark, links, f"{self.at}/cc0")
         while True:
@@ -389,7 +389,7 @@ def _classes(docs: DataFrame, id_col: str, text_col: str, k: int, percent: int,
     spark = docs.sparkSession
     at = common.shared_dir(spark, "near-dup")
     plain = docs.select(F.col(id_col).cast("long").alias("id"), common.text_of(text_col).alias("text")).select("id", F.xxhash64("text").alias("own"), "text")
-    signed = common.table(spark, plain.mapInArrow(_sign(k), "id long, own long, n_shingles long, set_key string, bands array<long>"), f"{at}/signed")
+    signed = common.table(spark, plain.mapInArrow(common.lean(_sign(k)), "id long, own long, n_shingles long, set_key string, bands array<long>"), f"{at}/signed")
     full = signed.where("set_key is not null and id is not null")
     classes = full.groupBy("set_key").agg(F.min(F.struct("id", "own")).alias("first"))
     # numbers of rows as they are written: nodes stay apart where one id has several sets

@@ -141,7 +141,7 @@ def cut(docs: DataFrame, tokenizer: str, end_id: int, keeps_space: bool, capacit
         yield from common.batches(schema, rows(), weigh=lambda r: 64 + (4 * r["length"] if keep_ids else 0))
 
     plain = docs.select(F.col(id_col).cast("long").alias("id"), common.text_of(text_col).alias("text"))
-    return plain.mapInArrow(run, "id long, piece int, start long, length long, ids_crc32 long, part int, nth long" + (", ids array<int>" if keep_ids else ""))
+    return plain.mapInArrow(common.lean(run), "id long, piece int, start long, length long, ids_crc32 long, part int, nth long" + (", ids array<int>" if keep_ids else ""))
 
 
 def pack(docs: DataFrame, tokenizer: str, end_id: int = 1, keeps_space: bool = False, capacity: int = CAPACITY, id_col: str = "doc_id", text_col: str = "text", keep_ids: bool = False, **limits) -> DataFrame:
@@ -165,4 +165,4 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int = 1, keeps_space: bool = F
     ranked = pieces.join(ranks, ["part", "length"])
     ranked = ranked.select("id", "piece", "start", "length", "ids_crc32", *(["ids"] if keep_ids else []), (F.col("before") + F.col("nth")).alias("rank"))
     kinds = "id long, piece int, start long, length long, ids_crc32 long" + (", ids array<int>" if keep_ids else "") + ", sequence_id long, offset long"
-    return ranked.mapInArrow(run, kinds).withColumnRenamed("id", id_col)
+    return ranked.mapInArrow(common.lean(run), kinds).withColumnRenamed("id", id_col)

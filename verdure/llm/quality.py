@@ -143,7 +143,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = 3000, id_col: str =
             found = [features(t) for t in part.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array([b.tobytes() for b, _ in found], pa.binary()), pa.array([w.tobytes() for _, w in found], pa.binary())], names=["id", "label", "bins", "weight"])
 
-    found = rows.select("id", "text", "label").mapInArrow(run, "id long, label int, bins binary, weight binary")
+    found = rows.select("id", "text", "label").mapInArrow(common.lean(run), "id long, label int, bins binary, weight binary")
     got = found.groupBy("id").agg(F.min(F.struct("bins", "weight", "label")).alias("r")).collect()  # of repeated rows one: at most max_rows
     got.sort(key=lambda r: r["id"])
     rows_ = [(bytes(r["r"]["bins"]), bytes(r["r"]["weight"]), int(r["r"]["label"] > 0)) for r in got]
@@ -164,7 +164,7 @@ def rules(docs: DataFrame, model: Model, threshold: float = THRESHOLD, id_col: s
             yield pa.RecordBatch.from_arrays(cols, names=["id", *names, "base_failed", "kept", "p_quality"])
 
     common.prepare(docs.sparkSession)
-    out = docs.select(F.col(id_col).cast("long").alias("id"), common.text_of(text_col).alias("text")).mapInArrow(run, f"id long, {', '.join(f'{n} long' for n in names)}, base_failed boolean, kept boolean, p_quality double")
+    out = docs.select(F.col(id_col).cast("long").alias("id"), common.text_of(text_col).alias("text")).mapInArrow(common.lean(run), f"id long, {', '.join(f'{n} long' for n in names)}, base_failed boolean, kept boolean, p_quality double")
     return out.withColumnRenamed("id", id_col)
 
 
@@ -177,4 +177,4 @@ def keep_quality(docs: DataFrame, model: Model, threshold: float = THRESHOLD, te
             texts = [t or "" for t in part.column(text_col).to_pylist()]
             yield part.filter(pa.array([not breaks_rules(counts(t)) and model.probability(t) >= threshold for t in texts], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(common.lean(run), docs.schema)

@@ -379,7 +379,7 @@ def scan(docs: DataFrame, field: Field | None = None, id_col: str = "doc_id", te
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array(out, kind)], names=["id", "spans"])
 
     plain = docs.select(F.col(id_col).cast("long").alias("id"), common.text_of(text_col).alias("text"))
-    return plain.mapInArrow(run, "id long, spans array<struct<kind:string,start:long,stop:long>>").withColumnRenamed("id", id_col)
+    return plain.mapInArrow(common.lean(run), "id long, spans array<struct<kind:string,start:long,stop:long>>").withColumnRenamed("id", id_col)
 
 
 def redacted(docs: DataFrame, field: Field | None = None, mark: str = "[SECRET]", text_col: str = "text", length_col: str | None = "n_chars") -> DataFrame:
@@ -402,7 +402,7 @@ def redacted(docs: DataFrame, field: Field | None = None, mark: str = "[SECRET]"
             i = part.schema.get_field_index(text_col)
             yield part.set_column(i, part.schema.field(i), pa.array([clean(t) for t in part.column(i).to_pylist()], part.schema.field(i).type))
 
-    out = docs.mapInArrow(run, docs.schema)
+    out = docs.mapInArrow(common.lean(run), docs.schema)
     if length_col and length_col in docs.columns:
         out = out.withColumn(length_col, F.when(F.col(text_col).isNull(), F.col(length_col)).otherwise(F.length(text_col)).cast(docs.schema[length_col].dataType))
     return out
