@@ -129,8 +129,10 @@ def cut(docs: DataFrame, tokenizer: str, end_id: int, keeps_space: bool, capacit
 
         def rows():
             for part in parts:
-                for i, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
-                    ids = encoder.encode(text) + struct.pack("<I", end_id)
+                keys, texts = part.column(0).to_pylist(), part.column(1).to_pylist()
+                encoded = (x for at in range(0, len(texts), 256) for x in encoder.encode_all(texts[at : at + 256]))
+                for i, ids in zip(keys, encoded, strict=True):
+                    ids += struct.pack("<I", end_id)
                     for n, at in enumerate(range(0, len(ids), 4 * capacity)):
                         own = ids[at : at + 4 * capacity]
                         size = len(own) // 4

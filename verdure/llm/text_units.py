@@ -79,6 +79,9 @@ class ByteEncoder:
             return np.array(self._pieces(text), "<u4").tobytes()
         return self.engine.encode_to_numpy(text, allowed_special="all").astype("<u4").tobytes()
 
+    def encode_all(self, texts: list[str]) -> list[bytes]:
+        return [self.encode(t) for t in texts]
+
     def _pieces(self, text: str) -> list[int]:
         out: list[int] = []
         for part in self.marks.split(text) if self.marks else [text]:
@@ -94,40 +97,64 @@ class ByteEncoder:
         return out
 
 
-class WordEncoder(dict):
-    """Remembers the ids of units (runs without white space); at most ``most``, so memory stays bounded."""
+def is_plain(text: str, marks: tuple[str, ...]) -> bool:
+    """Whether lower case and ``lower_pattern`` cut a text as the library does."""
+    return (("\x1e" not in text) if text.isascii() else _PLAIN.fullmatch(text) is not None) and not ("<" in text and any(m in text for m in marks))
+
+
+def lower_pattern() -> re.Pattern:
+    """``WORDS`` for lower-cased texts of ``_PLAIN`` characters, with its classes written out for a faster engine."""
+    held = sorted({c for n in range(0x250) for c in chr(n).lower()})
+    of = lambda kind: "".join(re.escape(c) for c in held if regex.match(kind, c))
+    letters, numbers = of(r"\p{L}"), of(r"\p{N}")
+    return re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{letters}]+|[{numbers}]|[^\t-\r \x85\xa0{letters}{numbers}]+")
+
+
+class WordEncoder:
+    """Remembers the ids of words, and of units (runs without white space) of odd characters; at most ``most`` each, so memory stays bounded."""
 
     def __init__(self, path: str, most: int = 400_000):
-        super().__init__()
         own = _Spec(path)
         self.tokenizer, self.most = own.tokenizer, most
         self.engine = tiktoken.Encoding("words", pat_str=r"[^\x1e]*\x1e", mergeable_ranks=own.ranks, special_tokens={})
         self.ends = np.zeros(max(own.ranks.values()) + 1, bool)
         self.ends[[i for t, i in own.ranks.items() if t.endswith(_END)]] = True
         self.marks = tuple(own.special)
-
-    def _learn(self, units: list[str]) -> None:
-        plain = [u for u in units if _PLAIN.fullmatch(u) and not ("<" in u and any(m in u for m in self.marks))]
-        for u in set(units).difference(plain):
-            self[u] = np.asarray(self.tokenizer.encode(u, add_special_tokens=False).ids, "<u4").tobytes()
-        pieces = [WORDS.findall(u.lower()) for u in plain]
-        joined = "".join(p + "\x1e" for own in pieces for p in own)
-        ids = self.engine.encode_to_numpy(joined).astype("<u4")
-        cuts = np.concatenate(([0], np.flatnonzero(self.ends[ids]) + 1))
-        at = 0
-        for u, own in zip(plain, pieces, strict=True):
-            self[u] = ids[cuts[at] : cuts[at + len(own)]].tobytes()
-            at += len(own)
+        self.words: dict[str, bytes] = {}
+        self.units: dict[str, bytes] = {}
+        self.pattern = lower_pattern()
+
+    def _ids(self, memory: dict[str, bytes], cut: list[list[str]], learn) -> list[bytes]:
+        """The ids of each list of parts; what the memory lacks is learnt together."""
+        parts = set().union(*cut)
+        new = [x for x in parts if x not in memory]
+        if new:
+            if len(memory) + len(new) > self.most:
+                memory.clear()
+                new = list(parts)
+            memory.update(zip(new, learn(new), strict=True))
+        return [b"".join(map(memory.__getitem__, own)) for own in cut]
+
+    def _learn_words(self, words: list[str]) -> list[bytes]:
+        ids = self.engine.encode_to_numpy("\x1e".join(words) + "\x1e").astype("<u4")
+        raw, cuts = ids.tobytes(), [0, *(4 * np.flatnonzero(self.ends[ids]) + 4).tolist()]
+        return [raw[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+
+    def _learn_units(self, units: list[str]) -> list[bytes]:
+        plain = [u for u in units if is_plain(u, self.marks)]
+        own = dict(zip(plain, self._ids(self.words, [self.pattern.findall(u.lower()) for u in plain], self._learn_words), strict=True))
+        return [own[u] if u in own else np.asarray(self.tokenizer.encode(u, add_special_tokens=False).ids, "<u4").tobytes() for u in units]
+
+    def encode_all(self, texts: list[str]) -> list[bytes]:
+        """The ids of all texts as little-endian 32-bit integers."""
+        plain = [i for i, t in enumerate(texts) if is_plain(t, self.marks)]
+        out = dict(zip(plain, self._ids(self.words, [self.pattern.findall(texts[i].lower()) for i in plain], self._learn_words), strict=True))
+        odd = [i for i in range(len(texts)) if i not in out]
+        out |= zip(odd, self._ids(self.units, [_UNIT.findall(texts[i]) for i in odd], self._learn_units), strict=True)
+        return [out[i] for i in range(len(texts))]
 
     def encode(self, text: str) -> bytes:
-        units = _UNIT.findall(text)
-        new = [u for u in dict.fromkeys(units) if u not in self]
-        if new:
-            if len(self) + len(new) > self.most:
-                self.clear()
-                new = list(dict.fromkeys(units))
-            self._learn(new)
-        return b"".join(map(self.__getitem__, units))
+        return self.encode_all([text])[0]
 
 
 _encoders: dict[tuple, object] = {}
