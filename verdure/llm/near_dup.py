@@ -328,7 +328,10 @@ class _Search:
         per = own.groupBy("bucket", "label").agg(F.count("*").alias("n"), F.min(F.struct(F.xxhash64("id", F.lit(n)).alias("h"), "id")).alias("hub"))
         top = per.groupBy("bucket").agg(F.max(F.struct("n", "label", "hub.id")).alias("top"), F.sum("n").alias("size"), F.count("*").alias("parts")).where("parts > 1")
         top = top.select("bucket", F.col("top.label").alias("main"), F.col("top.id").alias("hub"), F.col("top.n").alias("rest"), (F.col("size") - F.col("top.n")).alias("outside"))
-        return self.table(own.join(top, "bucket").withColumn("odd", F.col("label") != F.col("main")).drop("main"), f"open{n}")
+        top = self.table(top, f"top{n}")  # the join then reads plain shuffles, which adaptive execution can split at a hot bucket
+        out = self.table(own.join(top, "bucket").withColumn("odd", F.col("label") != F.col("main")).drop("main"), f"open{n}")
+        self.drop(f"top{n}")
+        return out
 
     def hub_pairs(self, odd: DataFrame) -> DataFrame:
         """Each class with the hub of most of its buckets."""
@@ -349,7 +352,7 @@ class _Search:
         own = self.table(own, "clusters")
         per = own.groupBy("tree", "label").agg(F.sum("n").alias("n"))
         top = per.groupBy("tree").agg(F.max(F.struct("n", "label")).alias("top"), F.sum("n").alias("all"))
-        top = top.select("tree", F.col("top.label").alias("main"), F.col("top.n").alias("rest"), (F.col("all") - F.col("top.n")).alias("outside"))
+        top = self.table(top.select("tree", F.col("top.label").alias("main"), F.col("top.n").alias("rest"), (F.col("all") - F.col("top.n")).alias("outside")), "treetops")
         rows = own.drop("n").join(top, "tree").withColumn("odd", F.col("label") != F.col("main")).drop("main").where("outside > 0")
         dealt = _places(rows.join(self.sets.select("id", "set"), "id"), "tree", blocks("outside", WEIGHT), blocks("rest", WEIGHT)).drop("rest", "outside")
         return self.table(_dealt(dealt, exact_links(self.percent)), "links")
