@@ -98,7 +98,7 @@ class Vocabulary:
 class TrieEncoder:
     """Encodes sets of words; remembers the ids of the words and units of text it has met."""
 
-    def __init__(self, path: str, most: int = 650_000):
+    def __init__(self, path: str, most: int = 500_000):
         self.vocabulary = Vocabulary(path)
         self.most = most
         self.longest = max(map(len, self.vocabulary.ids))
@@ -106,6 +106,9 @@ class TrieEncoder:
         self.states: dict[str, tuple[str, int]] = {}  # of prefixes: the last token and where it begins
         self.ids: dict[str, bytes] = {}  # of units
         self.texts: dict[str, str] = {}
+        self.word_ids: dict[str, bytes] = {}  # of the words of plain texts
+        self.word_texts: dict[str, str] = {}
+        self.pattern = text_units.lower_pattern() if self.vocabulary.is_word_kind else None
         self.blank = False  # whether some unit has no ids
         marks = sorted(self.vocabulary.special, key=len, reverse=True)
         self.cut = re.compile("(" + "|".join(map(re.escape, marks)) + ")") if marks else None
@@ -178,17 +181,27 @@ class TrieEncoder:
                 out += [w for w, _ in t.pre_tokenizer.pre_tokenize_str(t.normalizer.normalize_str(part) if t.normalizer else part)]
         return out
 
-    def learn(self, units: Iterable[str]) -> None:
-        """Adds units to the memory with one trie for all their new words."""
+    def learn(self, parts: Iterable[str], how) -> None:
+        """Adds words or units to the memory with one trie for all new words."""
         collects = gc.isenabled()
         gc.disable()  # tries hold no cycles; scanning millions of small objects for some would cost more than the walk
         try:
-            self._learn(units)
+            how(parts)
         finally:
             if collects:
                 gc.enable()
 
-    def _learn(self, units: Iterable[str]) -> None:
+    def _learn_words(self, words: Iterable[str]) -> None:
+        byte_name, names = self.vocabulary.byte_name, self.vocabulary.names
+        shown = {w: w if w.isascii() and w.isprintable() else "".join(map(byte_name.__getitem__, w.encode())) for w in words}
+        found = self.encode_words(set(shown.values()))
+        for word, name in shown.items():
+            own = found[name]
+            self.blank |= not own
+            self.word_ids[word] = struct.pack(f"<{len(own)}I", *own)
+            self.word_texts[word] = " ".join([names[i] for i in own])
+
+    def _learn_units(self, units: Iterable[str]) -> None:
         pieces = {u: self._pieces(u) for u in units}
         met = {w for p in pieces.values() for w in p if isinstance(w, str)}
         if len(self.words) + len(met) > self.most:
@@ -206,13 +219,23 @@ class TrieEncoder:
 
     def encode(self, texts: list[str]) -> list[tuple[bytes, str]]:
         """For each whole text its ids as little-endian 32-bit integers and its decoded text."""
-        cut = [_UNIT.findall(t) for t in texts]
-        new = set().union(*cut)
-        if len(self.ids) + len(new) > self.most:
-            self.ids.clear()
-            self.texts.clear()
-        self.learn(new.difference(self.ids))
-        ids, names, out = self.ids.__getitem__, self.texts.__getitem__, []
+        marks = tuple(self.vocabulary.special)
+        plain = [self.pattern is not None and text_units.is_plain(t, marks) for t in texts]
+        words = iter(self._parts([self.pattern.findall(t.lower()) for t, p in zip(texts, plain, strict=True) if p], self.word_ids, self.word_texts, self._learn_words))
+        units = iter(self._parts([_UNIT.findall(t) for t, p in zip(texts, plain, strict=True) if not p], self.ids, self.texts, self._learn_units))
+        return [next(words if p else units) for p in plain]
+
+    def _parts(self, cut: list[list[str]], held_ids: dict[str, bytes], held_texts: dict[str, str], how) -> list[tuple[bytes, str]]:
+        """Ids and decoded texts of lists of words or units, through their memory."""
+        parts = set().union(*cut)
+        new = [x for x in parts if x not in held_ids]
+        if len(held_ids) + len(new) > self.most:
+            held_ids.clear()
+            held_texts.clear()
+            new = list(parts)
+        if new:
+            self.learn(new, how)
+        ids, names, out = held_ids.__getitem__, held_texts.__getitem__, []
         for own in cut:
             found = b"".join(map(ids, own))
             if self.vocabulary.has_decoder:
