@@ -200,6 +200,22 @@ class Bucket:
         return [k for k in self.data if k.startswith(p)]
 
 
+@pytest.mark.parametrize(("name", "windows"), [("run_recent", 1)])
+def test_runs_read_customers_once_a_window(spark, monkeypatch, name, windows):
+    """A table of their size that is joined with itself is broadcast, which a driver of 1 GB can't hold at 60 times sf0.1."""
+    frame, read = type(spark.range(1)), []
+    write = frame.write.fget
+
+    def recorded(df):
+        plan = df._jdf.queryExecution().optimizedPlan().toString()
+        read.append(sum("Relation [" in x and "c_custkey" in x for x in plan.splitlines()))
+        return write(df)
+
+    monkeypatch.setattr(frame, "write", property(recorded))
+    registry.QUERIES[name](spark, SF)
+    assert max(read) == windows
+
+
 def test_stores(tmp_path):
     (tmp_path / "a").write_text("hello")
     client = Bucket()
