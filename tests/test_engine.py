@@ -200,7 +200,7 @@ class Bucket:
         return [k for k in self.data if k.startswith(p)]
 
 
-@pytest.mark.parametrize(("name", "windows"), [("run_recent", 1), ("run_mosaic", 2), ("run_periodic", 2), ("run_summary", 2)])
+@pytest.mark.parametrize(("name", "windows"), [("run_recent", 1), ("run_mosaic", 2), ("run_periodic", 2), ("run_summary", 2), ("run_log", 2)])
 def test_runs_read_customers_once_a_window(spark, monkeypatch, name, windows):
     """A table of their size that is joined with itself is broadcast, which a driver of 1 GB can't hold at 60 times sf0.1."""
     frame, read = type(spark.range(1)), []
