@@ -152,6 +152,16 @@ def test_several_families_in_a_leaf(spark):
         assert [got[i] for i, _ in rows] == lines_by_hand(rows, min_tokens, similar)
 
 
+def test_line_dedup_has_one_plan_for_any_size(spark, monkeypatch):
+    """Small lists of leaves are merged like large ones: a plan that changes with the input can't be carried on to a larger one."""
+    frame, plans = type(spark.range(1)), []
+    write = frame.write.fget
+    monkeypatch.setattr(frame, "write", property(lambda df: plans.append(df._jdf.queryExecution().executedPlan().toString()) or write(df)))
+    line_dedup.drop_lines(table(spark, LINES))
+    joins = [x for plan in plans for x in plan.splitlines() if "Join [leaf#" in x and "LeftSemi" in x]
+    assert joins and all("SortMergeJoin" in x for x in joins)
+
+
 # ---- near duplicates ---------------------------------------------------------
 
 
