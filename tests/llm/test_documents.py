@@ -152,6 +152,30 @@ def test_several_families_in_a_leaf(spark):
         assert [got[i] for i, _ in rows] == lines_by_hand(rows, min_tokens, similar)
 
 
+def test_partners_that_a_model_hides(spark, tmp_path):
+    """Lines that agree with each other but not with their node's model; whole, no template that has a partner stays alone."""
+    lines = ["a b c d e f g h i j"] * 3 + ["a b c d e p q r s v", "a b c d e p w r s x"]
+    drop = lambda **how: [r["text"] for r in line_dedup.drop_lines(table(spark, list(enumerate(lines))), **how).orderBy("doc_id").collect()]
+    assert drop() == lines_by_hand(list(enumerate(lines))) == [lines[0], "", "", lines[3], lines[4]]
+    assert drop(whole=True) == [lines[0], "", "", lines[3], ""]
+    rng = random.Random(5)
+    found = sorted({"a b c " + " ".join(rng.choices(["d", "e"], [3, 1], k=12)) for _ in range(60)} | {"a b c " + " ".join(rng.choices("defgh", k=12)) for _ in range(60)})
+    texts = spark.createDataFrame([(1, i, i, 15, x, rng.randint(1, 3)) for i, x in enumerate(found)], "leaf long, k1 long, k2 long, size int, template string, n_docs long")
+    agree = lambda x, y: sum(a == b for a, b in zip(found[x].split(" "), found[y].split(" "), strict=True)) >= 12
+    near = {x for x in range(len(found)) for y in range(len(found)) if x != y and agree(x, y)}
+    alone = {}
+    for whole in (False, True):
+        got = [(r["k1"], r["m1"]) for r in line_dedup._joined(texts, 0.8, str(tmp_path / str(whole)), whole).collect()]
+        assert len(got) == len(dict(got)) and all(agree(*x) for x in got)
+        model = dict(got)
+        for x in model:  # chains end
+            for _ in range(len(found)):
+                x = model.get(x, x)
+            assert x not in model
+        alone[whole] = near - {x for pair in got for x in pair}
+    assert alone[False] and not alone[True]
+
+
 def test_line_dedup_has_one_plan_for_any_size(spark, monkeypatch):
     """Small lists of leaves are merged like large ones: a plan that changes with the input can't be carried on to a larger one."""
     frame, plans = type(spark.range(1)), []
