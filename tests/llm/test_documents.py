@@ -2,6 +2,7 @@
 
 import hashlib
 import math
+import os
 import random
 import re
 from collections import Counter, defaultdict
@@ -367,6 +368,19 @@ def test_quality_edges(spark):
     assert quality.rules(table(spark, rows).where("doc_id = 77"), model).count() == 0
 
 
+def test_quality_model_is_fitted_by_an_executor(spark, monkeypatch):
+    """The driver holds neither the labelled sample's features nor the matrix made of them."""
+    docs, labels = queries.documents(spark, SF), spark.read.parquet(f"{SF}/labels.parquet")
+    texts = {r["doc_id"]: r["text"] or "" for r in docs.collect()}
+    own = sorted((r["doc_id"], int(r["quality"] > 0)) for r in labels.where("quality is not null").collect() if r["doc_id"] in texts)
+    rows = [(*(x.tobytes() for x in quality.features(texts[i])), y) for i, y in own]
+    by_hand, model = quality.train([rows[i] for i in np.random.default_rng(11).permutation(len(rows))]), quality.fit(docs, labels)
+    assert np.abs(model.weights).max() > 0.1
+    assert np.allclose(model.weights, by_hand.weights, atol=1e-3) and np.allclose([model.bias, model.slope, model.shift], [by_hand.bias, by_hand.slope, by_hand.shift], atol=1e-3)
+    monkeypatch.setattr(quality, "train", lambda rows: quality.Model(np.zeros(1, np.float32), os.getpid()))
+    assert quality.fit(docs, labels).bias != os.getpid()
+
+
 # ---- secrets -----------------------------------------------------------------
 
 

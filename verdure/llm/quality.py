@@ -101,13 +101,13 @@ def train(rows: list[tuple[bytes, bytes, int]], steps: int = 250, decay: float =
     y = np.array([r[2] for r in rows], np.float32)
     if len(set(y.tolist())) < 2:
         return Model(np.zeros(BINS, np.float32), 10.0)
-    x = np.zeros((len(rows), BINS), np.float32)
-    for i, (bins, weight, _) in enumerate(rows):
-        x[i, np.frombuffer(bins, np.uint16)] = np.frombuffer(weight, np.float32)
     held = np.arange(len(rows)) % 5 == 4
     if len(set(y[held].tolist())) < 2 or len(set(y[~held].tolist())) < 2:
         held = np.zeros(len(rows), bool)
-    a, t = x[~held], y[~held]
+    x = np.zeros((len(rows), BINS), np.float32)  # the held rows last, so that both parts are views of it
+    for i, n in enumerate(np.argsort(held, kind="stable")):
+        x[i, np.frombuffer(rows[n][0], np.uint16)] = np.frombuffer(rows[n][1], np.float32)
+    a, t = x[: len(rows) - held.sum()], y[~held]
     w, bias = np.zeros(BINS, np.float32), 0.0
     m, v, mb, vb = np.zeros_like(w), np.zeros_like(w), 0.0, 0.0
     for step in range(1, steps + 1):  # Adam
@@ -120,7 +120,7 @@ def train(rows: list[tuple[bytes, bytes, int]], steps: int = 250, decay: float =
         bias -= float(rate * mb / (np.sqrt(vb) + 1e-8))
     slope, shift = 1.0, 0.0
     if held.any():
-        z, t = x[held] @ w + bias, (y[held] * held.sum() + 1) / (held.sum() + 2)
+        z, t = x[len(a) :] @ w + bias, (y[held] * held.sum() + 1) / (held.sum() + 2)
         for _ in range(50):  # Newton, slightly damped
             p = 1 / (1 + np.exp(-np.clip(slope * z + shift, -60, 60)))
             r, d = p - t, np.maximum(p * (1 - p), 1e-6)
@@ -133,7 +133,8 @@ def train(rows: list[tuple[bytes, bytes, int]], steps: int = 250, decay: float =
 
 
 def fit(docs: DataFrame, labels: DataFrame, max_rows: int = 3000, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> Model:
-    """Trains on at most ``max_rows`` labelled documents; their features, not their texts, come to the driver."""
+    """Trains on at most ``max_rows`` labelled documents, in one task of an executor: only the model comes to the driver."""
+    common.prepare(docs.sparkSession)
     own = labels.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("int").alias("label")).dropna()
     own = own.groupBy("id").agg(F.min("label").alias("label")).orderBy(F.xxhash64("id"), "id").limit(max_rows)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), common.text_of(text_col).alias("text")).join(F.broadcast(own), "id")
@@ -144,10 +145,15 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = 3000, id_col: str =
             yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array([b.tobytes() for b, _ in found], pa.binary()), pa.array([w.tobytes() for _, w in found], pa.binary())], names=["id", "label", "bins", "weight"])
 
     found = rows.select("id", "text", "label").mapInArrow(common.lean(run), "id long, label int, bins binary, weight binary")
-    got = found.groupBy("id").agg(F.min(F.struct("bins", "weight", "label")).alias("r")).collect()  # of repeated rows one: at most max_rows
-    got.sort(key=lambda r: r["id"])
-    rows_ = [(bytes(r["r"]["bins"]), bytes(r["r"]["weight"]), int(r["r"]["label"] > 0)) for r in got]
-    return train([rows_[i] for i in np.random.default_rng(11).permutation(len(rows_))])
+
+    def learn(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        got = sorted((i, bins, weight, int(label > 0)) for part in parts for i, bins, weight, label in zip(*(c.to_pylist() for c in part.columns), strict=True))
+        m = train([got[i][1:] for i in np.random.default_rng(11).permutation(len(got))])
+        yield pa.RecordBatch.from_arrays([pa.array([m.weights.tobytes()], pa.binary()), *(pa.array([float(v)], pa.float64()) for v in (m.bias, m.slope, m.shift))], names=["weights", "bias", "slope", "shift"])
+
+    one = found.groupBy("id").agg(F.min(F.struct("bins", "weight", "label")).alias("r")).select("id", "r.bins", "r.weight", "r.label")  # of repeated rows one: at most max_rows
+    m = one.coalesce(1).mapInArrow(common.lean(learn), "weights binary, bias double, slope double, shift double").head()
+    return Model(np.frombuffer(m["weights"], np.float32), m["bias"], m["slope"], m["shift"]) if m else train([])
 
 
 def rules(docs: DataFrame, model: Model, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
