@@ -216,6 +216,16 @@ def test_runs_read_customers_once_a_window(spark, monkeypatch, name, windows):
     assert max(read) == windows
 
 
+@pytest.mark.parametrize("name", ["run_mosaic", "run_periodic", "run_summary", "run_log"])
+def test_runs_write_stages_apart_from_windows(spark, monkeypatch, name):
+    """The sorts of the windows and of the writer in one task fail in a session of 1 GB at 60 times sf0.1."""
+    frame, plans = type(spark.range(1)), []
+    write = frame.write.fget
+    monkeypatch.setattr(frame, "write", property(lambda df: plans.append(df._jdf.queryExecution().optimizedPlan().toString()) or write(df)))
+    registry.QUERIES[name](spark, SF)
+    assert any("RepartitionByExpression" in p.splitlines()[0] and "Window" in p for p in plans)
+
+
 def test_stores(tmp_path):
     (tmp_path / "a").write_text("hello")
     client = Bucket()
